@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,12 @@ def with_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def running_total(df: DataFrame, key: str, order: str, value: str, out: str, per_bucket: int = 4096) -> DataFrame:
-    """Exclusive prefix sum of `value` within `key` in the order of the 63-bit hash column `order`, without one task for each key:
+def running_total(df: DataFrame, key: str, order: str, value: str, out: str, width: int = 63, per_bucket: int = 4096) -> DataFrame:
+    """Exclusive prefix sum of `value` within `key` in the order of the hash column `order` of `width` bits, without one task for each key:
     rows go to buckets of about `per_bucket` rows by the hash's high bits; a window adds up the buckets of a key, another the rows of a bucket."""
     n = df.count()
     bits = max(0, min(30, (max(1, n // per_bucket) - 1).bit_length()))
-    df = df.withColumn("_bucket", F.shiftrightunsigned(F.col(order), 63 - bits) if bits else F.lit(0).cast("long"))
+    df = df.withColumn("_bucket", F.shiftrightunsigned(F.col(order), width - bits) if bits else F.lit(0).cast("long"))
     sums = df.groupBy(key, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))

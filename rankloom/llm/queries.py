@@ -30,3 +30,86 @@ def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.transform(F.array_sort(F.transform("items", lambda x: x.cast("string"))), lambda x: x)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+
+
+@query
+def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import mixing
+
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op6_low_discrepancy_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM sized GROUP BY source),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][(s % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS bound FROM per),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) OVER (ORDER BY bound / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY bound / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+goals AS (
+  SELECT *, least(bound, w * (SELECT arg_min(level, bound / w * 1e6 + s) FROM levels WHERE bound / w >= level - 1e-9)) AS target FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 1e-6) AS goal,
+    coalesce(sum(d.size) OVER (PARTITION BY g.s ORDER BY ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), 1, 15))::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  (greatest(0, least(pos + size, goal) - pos) + greatest(0, least(source_size + pos + size, goal) - source_size - pos))::BIGINT AS taken
+FROM placed
+"""
+
+
+@query
+def op3_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
+@query
+def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import chat
+
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+SQL["op5_snapshot_collapse"] = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS said,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS chat
+  FROM turns GROUP BY conv_id),
+one AS (SELECT said, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n_turns) AS n_turns, any_value(chat) AS chat FROM whole GROUP BY said)
+SELECT a.conv_id, a.n_turns, a.n_copies, a.chat FROM one a
+WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.said[1] = a.said[1] AND b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
+"""
+
+
+def remainder(by: int):
+    """crc32 of the id as text, modulo `by`."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+@query
+def op1_partial_matching_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+    model = langid.train(docs.filter("not held_out"), "text", "lang", F.col("doc_id"))
+    return langid.predict(docs.drop("lang"), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op4_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import lattice
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False)))
+    return lattice.score(docs)
+
+
+@query
+def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import bagminhash
+
+    return bagminhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
