@@ -113,3 +113,11 @@ def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     from rankloom.llm import bagminhash
 
     return bagminhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
