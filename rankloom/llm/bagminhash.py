@@ -228,3 +228,15 @@ def grouped(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     by_class = ids.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     ids = ids.join(by_class, "class").select("key", "class_id", "class_size", "copies")
     return rows.join(ids, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+
+def filtered(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each class: of its texts, a row with the least doc_id. Rows without a word all stay."""
+    linked, key = classes(docs, text, similarity)
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(worded).withColumn("__near_key", key)
+    ids = rows.groupBy("__near_key").agg(F.min("doc_id").alias("least")).withColumnRenamed("__near_key", "key").join(linked, "key", "left")
+    stay = ids.groupBy(F.coalesce("class", "key").alias("c")).agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("one"))
+    stay = stay.select(F.col("one.least").alias("__near_id"), F.col("one.key").alias("__near_of"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_key") == F.col("__near_of"))).dropDuplicates(["doc_id", "__near_key"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~worded))

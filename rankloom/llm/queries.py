@@ -121,3 +121,10 @@ def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pii.detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op2_interleave_refined_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import suffix_dedup
+
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
