@@ -1 +1 @@
-
+"""Operators: DataFrames in, DataFrames out, no actions unless a docstring says so."""

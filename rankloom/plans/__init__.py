@@ -1 +1 @@
-
+"""Whole jobs, and the catalogue of queries."""

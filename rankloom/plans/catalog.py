@@ -1,4 +1,662 @@
-"""The named queries of the library and, for each that DuckDB can express, the SQL with the same result."""
+"""The named queries of the library and, for each that DuckDB can express, the SQL with the same result.
 
-QUERIES: dict = {}
+Each query applies operators to the driver's tables, which stand for the records they were made for: documents for
+entities, benchmark items for queries, labels for judgments, events for activity, orders for roles, part types for skills.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rankloom.functions import text as X
+from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(col):
+    return F.round(col, 6)
+
+
+# ---- text index and retrieval
+
+TOKENS_A = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+TOKENS_B = "list_transform(regexp_extract_all(text, '[A-Za-z0-9+#.]+'), lambda x: lower(x))"
+
+BM25_A = f"""
+t AS (SELECT doc_id, unnest({TOKENS_A}) AS term FROM documents),
+dl AS (SELECT doc_id, len({TOKENS_A}) AS dl FROM documents),
+st AS (SELECT count(*) AS n, sum(dl) / greatest(count(*), 1) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({TOKENS_A}) AS term FROM benchmark),
+bm AS (SELECT q.item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+BM25_B = f"""
+t AS (SELECT doc_id, unnest({TOKENS_B}) AS term FROM documents),
+dl AS (SELECT doc_id, len({TOKENS_B}) AS dl FROM documents),
+st AS (SELECT count(*) AS n, sum(dl) / greatest(count(*), 1) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS_B}) AS term FROM benchmark) GROUP BY ALL),
+okapi AS (SELECT q.item_id, tf.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def items(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q_text"))
+
+
+def bm25_scores(spark, sf_dir):
+    return index.bm25_a(documents(spark, sf_dir), items(spark, sf_dir), "doc_id", "text", "item_id", "q_text")
+
+
+def okapi_scores(spark, sf_dir):
+    return index.bm25_b(documents(spark, sf_dir), items(spark, sf_dir), "doc_id", "text", "item_id", "q_text")
+
+
+@query(f"WITH {BM25_A} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 20")
+def bm25_topk(spark, sf_dir):
+    ranked = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 20, "item_id", [F.desc("score"), F.asc("doc_id")])
+    return ranked.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {BM25_B} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM okapi) WHERE rank <= 20")
+def bm25_okapi_all_queries(spark, sf_dir):
+    ranked = index.top_k(okapi_scores(spark, sf_dir).withColumn("score", r6("score")), 20, "item_id", [F.desc("score"), F.asc("doc_id")])
+    return ranked.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {BM25_A} SELECT item_id, doc_id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM bm WINDOW w AS (PARTITION BY item_id)")
+def bm25_minmax(spark, sf_dir):
+    return index.min_max(bm25_scores(spark, sf_dir), "score", ["item_id"]).select("item_id", "doc_id", r6("scaled").alias("scaled"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_A}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def term_stats(spark, sf_dir):
+    post = index.postings(documents(spark, sf_dir), "doc_id", X.tokens_a("text"))
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+@query(f"SELECT count(*) AS n, round(sum(len({TOKENS_A})) / greatest(count(*), 1), 6) AS avgdl FROM documents")
+def corpus_statistics(spark, sf_dir):
+    return index.corpus_stats(documents(spark, sf_dir), X.tokens_a("text")).select("n", r6("avgdl").alias("avgdl"))
+
+
+COSINE = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6)"
+
+
+@query(f"SELECT query_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10")
+def knn_cosine(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv").filter("vec_id != query_id").withColumn("score", r6("score"))
+    return index.top_k(found, 10, "query_id", [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"SELECT query_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label BETWEEN 2 AND 5)) WHERE rank <= 5")
+def knn_filtered(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv", filters.payload_passes({"label": {"min": 2, "max": 5}})).withColumn("score", r6("score"))
+    return index.top_k(found, 5, "query_id", [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("SELECT count(*) AS n, sum(CASE WHEN len(embedding) = 64 THEN 1 ELSE 0 END)::BIGINT AS fitting FROM embeddings")
+def vector_dimensions(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(embed.checked(F.col("embedding"), 64).alias("v"))
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("v") == 64).alias("fitting"))
+
+
+@query("SELECT label, max(vec_id) AS vec_id, min(vec_id) AS pos FROM embeddings GROUP BY label")
+def vector_upsert_latest(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").withColumn("seq", F.col("vec_id"))
+    return index.upsert(e, "label", "seq", ["vec_id"]).select("label", "vec_id", "pos")
+
+
+HASHED = """
+tok AS (SELECT item_id, lower(unnest(regexp_extract_all('Represent this job description for retrieving matching candidates: ' || trim(text), '[A-Za-z0-9+#.]+'))) AS token FROM benchmark),
+cell AS (SELECT item_id, (('0x' || substr(sha256(token), 1, 8))::BIGINT % 128)::INT AS bucket, CASE WHEN ('0x' || substr(sha256(token), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM tok),
+cells AS (SELECT item_id, bucket, sum(sign)::DOUBLE AS value FROM cell GROUP BY ALL HAVING sum(sign) <> 0)"""
+
+
+@query(f"WITH {HASHED} SELECT item_id, bucket, value FROM cells")
+def hash_embed(spark, sf_dir):
+    return embed.sparse(items(spark, sf_dir), "item_id", embed.prepared(F.col("q_text"), embed.QUERY_PROMPT), 128)
+
+
+@query(f"WITH {HASHED}, size AS (SELECT item_id, sqrt(sum(value * value)) AS size FROM cells GROUP BY item_id) SELECT a.item_id AS item_a, b.item_id AS item_b, round(sum(a.value * b.value) / (any_value(sa.size) * any_value(sb.size)), 6) AS cosine FROM cells a JOIN cells b USING (bucket) JOIN size sa ON sa.item_id = a.item_id JOIN size sb ON sb.item_id = b.item_id WHERE a.item_id < b.item_id AND a.item_id % 20 = 0 GROUP BY ALL")
+def hash_embed_cosine(spark, sf_dir):
+    cells = embed.sparse(items(spark, sf_dir), "item_id", embed.prepared(F.col("q_text"), embed.QUERY_PROMPT), 128)
+    size = cells.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+    unit = cells.join(size, "item_id").select("item_id", "bucket", (F.col("value") / F.col("size")).alias("u"))
+    a, b = (unit.select(F.col("item_id").alias(f"item_{k}"), "bucket", F.col("u").alias(k)) for k in "ab")
+    return a.filter("item_a % 20 = 0").join(b, "bucket").filter("item_a < item_b").groupBy("item_a", "item_b").agg(r6(F.sum(F.col("a") * F.col("b"))).alias("cosine"))
+
+
+RRF = f"""{BM25_A}, {BM25_B.replace('t AS', 't2 AS', 1).replace('dl AS', 'dl2 AS', 1).replace('st AS', 'st2 AS', 1).replace('tf AS', 'tf2 AS', 1).replace('q AS', 'q2 AS', 1).replace('FROM t GROUP', 'FROM t2 GROUP').replace('FROM dl)', 'FROM dl2)').replace('FROM tf, st', 'FROM tf2, st2').replace('q.item_id, tf.doc_id', 'q2.item_id, tf2.doc_id').replace('FROM q JOIN tf', 'FROM q2 JOIN tf2').replace('JOIN dl USING (doc_id), st GROUP', 'JOIN dl2 USING (doc_id), st2 GROUP')},
+ra AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 50),
+rb AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM okapi) WHERE rank <= 50),
+fused AS (SELECT item_id, doc_id, ra.rank AS rank_a, rb.rank AS rank_b, coalesce(1 / (60 + ra.rank), 0) + coalesce(1 / (60 + rb.rank), 0) AS fused FROM ra FULL JOIN rb USING (item_id, doc_id))"""
+
+
+def fused_lists(spark, sf_dir, k=50):
+    best = [F.desc("score"), F.asc("doc_id")]
+    a, b = (index.top_k(s.withColumn("score", r6("score")), k, "item_id", best) for s in (bm25_scores(spark, sf_dir), okapi_scores(spark, sf_dir)))
+    return index.rrf(a, b, "item_id", "doc_id")
+
+
+@query(f"WITH {RRF} SELECT item_id, doc_id, round(fused, 6) AS fused FROM fused")
+def rrf_fusion(spark, sf_dir):
+    return fused_lists(spark, sf_dir).select("item_id", "doc_id", r6("fused").alias("fused"))
+
+
+@query(f"WITH {RRF} SELECT item_id, doc_id, place FROM (SELECT f.item_id, f.doc_id, row_number() OVER (PARTITION BY f.item_id ORDER BY round(fused, 9) DESC, rank_a NULLS LAST, rank_b NULLS LAST) AS place FROM fused f JOIN documents d USING (doc_id) WHERE d.lang = 'en' OR d.n_chars >= 500) WHERE place <= 10")
+def hybrid_shortlist(spark, sf_dir):
+    """Fused lists of a fixed depth, then the filter, then the head: the filter does not deepen the lists."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    kept = fused_lists(spark, sf_dir).withColumn("fused", F.round("fused", 9)).join(d, "doc_id").filter(filters.payload_passes({"lang": "en"}) | filters.payload_passes({"n_chars": {"min": 500}}))
+    return index.top_k(kept, 10, "item_id", index.fused_order(), "place").select("item_id", "doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT item_id, doc_id, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM (SELECT q.item_id, d.doc_id, count(*) AS overlap FROM (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM benchmark) q JOIN (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM documents) d USING (term) GROUP BY ALL)) WHERE rank <= 5")
+def keyword_baseline(spark, sf_dir):
+    found = index.keyword_overlap(documents(spark, sf_dir).withColumn("w", X.tokens_b("text")), items(spark, sf_dir).withColumn("w", X.tokens_b("q_text")), "doc_id", "w", "item_id", "w")
+    return index.top_k(found, 5, "item_id", [F.desc("overlap"), F.asc("doc_id")]).select("item_id", "doc_id", "overlap", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- cleaning, validation, deduplication
+
+PLAIN = "html"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({PLAIN}, '<[^>]+>', ' ', 'g'), '[\\s\\x0B\\x{{A0}}\\x{{85}}\\pZ]+', ' ', 'g'))) AS text_md5 FROM pages")
+def clean_html(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(X.clean_ascii("html")).alias("text_md5"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split_regex(p_type, '[ ]'), lambda x: trim(replace(replace(lower(x), '_', ' '), '-', ' '))), lambda x: x <> ''), '|') AS skills FROM part")
+def split_normalise_list(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(X.split_list("p_type", graph.canonical, "[ ]"), "|").alias("skills"))
+
+
+@query("SELECT event_id, coalesce(nullif(event_type, ''), 'none') AS label, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def alias_coalesce_cast(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(X.empty_to_null(tables.named(e, ["kind", "event_type"])), F.lit("none")).alias("label"), tables.to_number(F.get_json_object("props", "$.k")).alias("k"))
+
+
+ORDER_RULES = {"o_totalprice": "o_totalprice between 1000 and 400000", "o_orderpriority": "o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')", "o_orderstatus": "o_orderstatus in ('O', 'F')"}
+ORDER_REASON = "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT coalesce({r}, false) THEN '{n}' END" for n, r in ORDER_RULES.items()) + ")"
+
+
+def order_split(spark, sf_dir):
+    faults = X.flags({n: ~F.coalesce(F.expr(r), F.lit(False)) for n, r in ORDER_RULES.items()})
+    return records.split_valid(read(spark, sf_dir, "orders"), faults, "orders", "order", "o_orderkey", "o_orderkey")
+
+
+@query(f"SELECT CASE WHEN reason = '' THEN 'accepted' ELSE reason END AS outcome, count(*) AS n FROM (SELECT {ORDER_REASON} AS reason FROM orders) GROUP BY ALL")
+def validate_split(spark, sf_dir):
+    good, bad = order_split(spark, sf_dir)
+    return good.agg(F.lit("accepted").alias("outcome"), F.count(F.lit(1)).alias("n")).unionByName(bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))).filter("n > 0")
+
+
+@query(f"SELECT 'orders' AS source, o_orderkey::INT AS row_index, 'order' AS record_type, o_orderkey::VARCHAR AS record_id, reason FROM (SELECT *, {ORDER_REASON} AS reason FROM orders) WHERE reason <> '' UNION ALL SELECT 'documents', doc_id::INT, 'document', doc_id::VARCHAR, 'text' FROM documents WHERE length(text) < 50")
+def quarantine_union(spark, sf_dir):
+    _, orders = order_split(spark, sf_dir)
+    _, docs = records.split_valid(read(spark, sf_dir, "documents"), X.flags({"text": F.char_length("text") < 50}), "documents", "document", "doc_id", "doc_id")
+    return orders.unionByName(docs).drop("payload")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) - 1 AS dropped FROM documents GROUP BY text")
+def dedup_first_seen(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("key", F.md5("text"))
+    first, again = records.first_seen(d.select("doc_id", "key"), "key", "doc_id")
+    return first.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("dropped")), "key", "left").select("doc_id", F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+@query()
+def near_duplicates(spark, sf_dir):
+    stay, gone = tables.deduplicated(read(spark, sf_dir, "benchmark").withColumn("at", F.col("item_id")), "item_id", "text", "at")
+    return gone.select("item_id", "reason").unionByName(stay.select("item_id", F.lit("stays").alias("reason")))
+
+
+# ---- parsing
+
+
+@query()
+def section_split(spark, sf_dir):
+    return parse.sections(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.explode("sections").alias("section", "body")).select("doc_id", "section", F.md5("body").alias("body_md5"))
+
+
+@query(r"SELECT conv_id, turn, nullif(lower(regexp_extract(role || ' ' || text, '(?i)\b(intern|junior|mid|senior|staff|principal|lead)\b', 1)), '') AS seniority FROM conversations")
+def seniority_inference(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", parse.seniority(F.col("role"), F.col("text")).alias("seniority"))
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, text, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', E'\\1\n', 'g'), ';|\n'), lambda x: regexp_matches(x, '(?i)(^| )(the|of|la|der)( |$)')) AS s FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN len(s) > 0 THEN array_to_string(list_transform(s[1:8], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), '|') ELSE left(text, 160) END) AS picked FROM s""".replace("E'\\\\1\\n'", "'\\1' || chr(10)"))
+def responsibility_sentences(spark, sf_dir):
+    """The sentence picker with words of the tables' languages for its action words."""
+    plain = lambda s: F.btrim(F.regexp_replace(s, r"\s+", " "))
+    pick = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+|;|\n"), lambda s: s.rlike(r"(?i)(^| )(the|of|la|der)( |$)")), plain)
+    chosen = F.when(F.size(pick) > 0, F.array_join(F.slice(pick, 1, 8), "|")).otherwise(F.substring("text", 1, 160))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(chosen).alias("picked"))
+
+
+# ---- roles, skills, graph
+
+
+def roles(spark, sf_dir):
+    """A customer's orders as roles: the order's priority for a title, the months to the next order for a duration."""
+    o = read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    return o.select("o_custkey", "o_orderkey", "o_orderpriority", (F.row_number().over(w) - 1).alias("i"), (month(F.lead("o_orderdate").over(w)) - month("o_orderdate")).alias("months"))
+
+
+ROLES = "roles AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER w - 1 AS i, ((year(lead(o_orderdate) OVER w) * 12 + month(lead(o_orderdate) OVER w)) - (year(o_orderdate) * 12 + month(o_orderdate)))::INT AS months FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
+
+
+@query(f"WITH {ROLES} SELECT o_orderkey, i::INT AS i, months FROM roles")
+def tenure_months(spark, sf_dir):
+    return roles(spark, sf_dir).select("o_orderkey", "i", "months")
+
+
+@query(f"WITH {ROLES} SELECT o_custkey, count(*) AS roles, round(avg(months), 6) AS mean_months, count(*) >= 3 AND coalesce(avg(months) < 18, false) AS hopper FROM roles GROUP BY o_custkey")
+def job_hopper(spark, sf_dir):
+    return roles(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("roles"), r6(F.avg("months")).alias("mean_months"), ((F.count(F.lit(1)) >= 3) & F.coalesce(F.avg("months") < 18, F.lit(False))).alias("hopper"))
+
+
+@query(f"""
+WITH {ROLES}, r AS (SELECT 'candidate:' || o_custkey AS who, 'role:' || o_custkey || ':' || i || ':' || replace(lower(trim(o_orderpriority)), ' ', '_') AS role, 'company:' || o_orderkey AS firm, i FROM roles)
+SELECT who AS src, role AS dst, 'WORKED_AS' AS kind, 1.0::DOUBLE AS weight FROM r UNION ALL SELECT role, firm, 'AT_COMPANY', 1.0 FROM r
+UNION ALL SELECT lag(role) OVER (PARTITION BY who ORDER BY i) AS src, role, 'TRANSITIONED_TO', 1.0 FROM r QUALIFY src IS NOT NULL""")
+def role_transitions(spark, sf_dir):
+    return graph.role_edges(roles(spark, sf_dir).withColumn("at", F.col("o_orderkey").cast("string")), "o_custkey", "i", "o_orderpriority", "at")
+
+
+def bought(spark, sf_dir):
+    """A customer's skills: the types of the parts they ordered."""
+    o, l, p = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    return l.select("l_orderkey", "l_partkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select("o_custkey", graph.canonical(F.col("p_type")).alias("skill")).distinct()
+
+
+BOUGHT = "bought AS (SELECT DISTINCT o_custkey, lower(trim(p_type)) AS skill FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"WITH {BOUGHT} SELECT 'candidate:' || o_custkey AS src, 'skill:' || skill AS dst, 'HAS_SKILL' AS kind, 1.0::DOUBLE AS weight FROM bought")
+def graph_edges(spark, sf_dir):
+    return graph.skill_edges(bought(spark, sf_dir), "o_custkey", "skill")
+
+
+@query("SELECT src, dst, kind, weight FROM (SELECT 'job:' || p_brand AS src, 'skill:' || lower(trim(p_type)) AS dst, CASE WHEN bool_or(p_size > 25) THEN 'PREFERS_SKILL' ELSE 'REQUIRES_SKILL' END AS kind, CASE WHEN bool_or(p_size > 25) THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM part GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY p_brand, lower(trim(p_type))"))
+def wanted_skill_edges(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_brand", graph.canonical(F.col("p_type")).alias("skill"), (F.col("p_size") > 25).alias("preferred"))
+    return graph.wanted_edges(p, "p_brand", "skill", "preferred")
+
+
+@query(f"WITH {BOUGHT}, {ROLES} SELECT o_custkey, role_count, company_count, round(avg_months, 6) AS avg_months, coalesce(skill_count, 0) AS skill_count FROM (SELECT o_custkey, count(*) AS role_count, count(DISTINCT o_orderkey) AS company_count, coalesce(avg(months), 0) AS avg_months FROM roles GROUP BY ALL) LEFT JOIN (SELECT o_custkey, count(*) AS skill_count FROM bought GROUP BY ALL) USING (o_custkey)")
+def trajectory_vector(spark, sf_dir):
+    t = graph.trajectories(roles(spark, sf_dir), bought(spark, sf_dir), "o_custkey", "months", "o_orderkey", "skill")
+    return t.select("o_custkey", "role_count", "company_count", r6("avg_role_duration_months").alias("avg_months"), "skill_count")
+
+
+DISTANCE = f"""{BOUGHT}, e AS (SELECT 'c:' || o_custkey AS src, skill AS dst FROM bought WHERE o_custkey % 40 = 0 UNION SELECT skill, 'c:' || o_custkey FROM bought WHERE o_custkey % 40 = 0),
+have AS (SELECT DISTINCT dst AS s FROM e WHERE dst NOT LIKE 'c:%'), want AS (SELECT DISTINCT lower(trim(p_type)) AS s FROM part WHERE p_size = 1),
+d AS (SELECT h.s AS src, h.s AS dst, 0 AS d FROM have h JOIN want w USING (s) UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src IN (FROM have) AND b.dst IN (FROM want)),
+dist AS (SELECT src, dst, min(d)::INT AS distance FROM d GROUP BY ALL)"""
+
+
+def skill_distances(spark, sf_dir):
+    have = bought(spark, sf_dir).filter("o_custkey % 40 = 0").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"), F.col("skill").alias("dst"))
+    want = read(spark, sf_dir, "part").filter("p_size = 1").select(graph.canonical(F.col("p_type")).alias("node"))
+    return have, graph.distances(have, have.select(F.col("dst").alias("node")), want), want
+
+
+@query(f"WITH {DISTANCE} SELECT src, dst, distance FROM dist")
+def skill_distance(spark, sf_dir):
+    return skill_distances(spark, sf_dir)[1]
+
+
+@query(f"WITH {DISTANCE}, near AS (SELECT e.src AS who, w.s, min(coalesce(distance, 3)) AS d FROM e CROSS JOIN want w LEFT JOIN dist ON dist.src = e.dst AND dist.dst = w.s WHERE e.src LIKE 'c:%' GROUP BY ALL) SELECT who, round(1 / (1 + avg(d)), 6) AS closeness FROM near GROUP BY who")
+def graph_closeness(spark, sf_dir):
+    """Distances are an equi-join away; required skills without one count 3, from their number."""
+    have, dist, want = skill_distances(spark, sf_dir)
+    best = have.join(dist.select(F.col("src").alias("dst"), F.col("dst").alias("want"), "distance"), "dst").groupBy("src", "want").agg(F.min("distance").alias("d"))
+    got = best.groupBy("src").agg(F.sum(3 - F.col("d")).alias("gain"))
+    n = want.distinct().agg(F.count(F.lit(1)).alias("n"))
+    return have.select("src").distinct().join(got, "src", "left").crossJoin(n).select(F.col("src").alias("who"), r6(score.closeness(3 - F.coalesce("gain", F.lit(0)) / F.col("n"), F.lit(True))).alias("closeness"))
+
+
+@query(f"WITH {BOUGHT}, want AS (SELECT p_brand, list(DISTINCT lower(trim(p_type))) AS w FROM part GROUP BY ALL), have AS (SELECT o_custkey, list(skill) AS h FROM bought WHERE o_custkey % 20 = 0 GROUP BY ALL) SELECT o_custkey, p_brand, round(len(list_intersect(h, w)) / len(list_distinct(list_concat(h, w))), 6) AS jaccard FROM have, want WHERE len(list_intersect(h, w)) > 0")
+def skill_jaccard(spark, sf_dir):
+    """Shared skills by an equi-join, the union from the sizes: pairs that share none never meet."""
+    have = bought(spark, sf_dir).filter("o_custkey % 20 = 0")
+    want = read(spark, sf_dir, "part").select("p_brand", graph.canonical(F.col("p_type")).alias("skill")).distinct()
+    nh, nw = have.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nh")), want.groupBy("p_brand").agg(F.count(F.lit(1)).alias("nw"))
+    both = have.join(want, "skill").groupBy("o_custkey", "p_brand").agg(F.count(F.lit(1)).alias("n")).join(nh, "o_custkey").join(nw, "p_brand")
+    return both.select("o_custkey", "p_brand", r6(F.col("n") / (F.col("nh") + F.col("nw") - F.col("n"))).alias("jaccard"))
+
+
+# ---- activity
+
+
+@query("SELECT user_id, round(exp(-ln(2.0::DOUBLE) / 90 * greatest(date_diff('day', max(ts)::DATE, DATE '2024-01-31'), 0)), 6) AS recency FROM events GROUP BY user_id")
+def recency_decay(spark, sf_dir):
+    last = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").cast("date").alias("d"))
+    return last.select("user_id", r6(behaviour.recency(F.col("d"), "2024-01-31")).alias("recency"))
+
+
+ACTIVITY = """activity AS (SELECT user_id, sum(coalesce(value, 1)) AS frequency, exp(-ln(2.0::DOUBLE) / 90 * greatest(date_diff('day', max(ts)::DATE, DATE '2024-01-31'), 0)) AS recency, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY user_id)"""
+
+
+def activity(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.coalesce("value", F.lit(1.0))).alias("frequency"), F.max("ts").cast("date").alias("last"), F.count_distinct("event_type").alias("kinds"), F.count(F.lit(1)).alias("n"))
+    return e.select("user_id", "frequency", behaviour.recency(F.col("last"), "2024-01-31").alias("recency"), "kinds", "n")
+
+
+@query(f"WITH {ACTIVITY} SELECT user_id, round(frequency, 6) AS frequency FROM activity")
+def contribution_frequency(spark, sf_dir):
+    return activity(spark, sf_dir).select("user_id", r6("frequency").alias("frequency"))
+
+
+@query("""
+WITH s AS (SELECT user_id, ts::DATE AS d, list(DISTINCT event_type) AS kinds FROM events GROUP BY ALL),
+f AS (SELECT user_id, min(d) AS first, max(d) AS last, count(*) AS n, arg_min(kinds, d) AS had FROM s GROUP BY user_id),
+a AS (SELECT user_id, count(DISTINCT event_type) AS seen FROM events GROUP BY user_id)
+SELECT user_id, round(CASE WHEN n < 2 THEN 0 WHEN date_diff('day', first, last) / 365.25 <= 0.1 THEN seen - len(had) ELSE (seen - len(had)) / (date_diff('day', first, last) / 365.25) END, 6)::DOUBLE AS velocity FROM f JOIN a USING (user_id)""")
+def learning_velocity(spark, sf_dir):
+    days = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_set("event_type").alias("skills"))
+    snaps = days.groupBy("user_id").agg(F.collect_list(F.struct(F.date_format("d", "yyyy-MM-dd").alias("date"), "skills")).alias("snaps"))
+    return snaps.select("user_id", r6(behaviour.velocity(F.col("snaps"))).alias("velocity"))
+
+
+@query("SELECT user_id, round(least(1.0, 0.4 + 0.1 * count(DISTINCT event_type)), 6)::DOUBLE AS breadth FROM events GROUP BY user_id")
+def repo_breadth(spark, sf_dir):
+    t = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.struct(F.lit("").alias("date"), F.lit(1.0).alias("count"), F.col("event_type").alias("repo"))).alias("t"))
+    return t.select("user_id", r6(behaviour.breadth(F.lit("https://x"), F.col("t"))).alias("breadth"))
+
+
+@query(f"""WITH {ACTIVITY} SELECT user_id,
+  round(0.4 * recency + 0.4 * CASE WHEN kinds >= 5 THEN 1 ELSE 0 END + 0.2 * CASE WHEN n < 30 THEN 1 WHEN n <= 60 THEN 0.5 WHEN n <= 90 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS availability,
+  round(0.4 * 0.5 + 0.3 / (1 + n / 24) + 0.3 * recency, 6)::DOUBLE AS engagement,
+  round(0.2 * CASE WHEN kinds >= 2 THEN 1 ELSE 0 END + 0.2 * CASE WHEN kinds >= 3 THEN 1 ELSE 0 END + 0.2 * CASE WHEN kinds >= 4 THEN 1 ELSE 0 END + 0.4 * least(1, n / greatest(kinds, 1) / 5), 6)::DOUBLE AS trust FROM activity""")
+def availability_engagement_trust(spark, sf_dir):
+    a, k, n = activity(spark, sf_dir), F.col("kinds"), F.col("n")
+    return a.select("user_id", r6(behaviour.availability(F.col("recency"), k >= 5, n)).alias("availability"), r6(behaviour.engagement(F.lit(None).cast("double"), n, F.col("recency"))).alias("engagement"), r6(behaviour.trust(k >= 2, k >= 3, k >= 4, n, k)).alias("trust"))
+
+
+SCALE = "CASE WHEN max({0}) OVER () - min({0}) OVER () > 0 THEN ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) ELSE 0.5 END"
+
+
+@query(f"WITH {ACTIVITY} SELECT user_id, round({SCALE.format('frequency')}, 6)::DOUBLE AS frequency, round({SCALE.format('recency')}, 6)::DOUBLE AS recency FROM activity")
+def population_minmax(spark, sf_dir):
+    a = behaviour.population_scaled(activity(spark, sf_dir).select("user_id", "frequency", "recency"), ("frequency", "recency"))
+    return a.select("user_id", r6("frequency").alias("frequency"), r6("recency").alias("recency"))
+
+
+# ---- consistency and rules
+
+SKILLED = "s AS (SELECT l_orderkey, list({'name': l_partkey::VARCHAR, 'proficiency': CASE WHEN l_returnflag = 'R' THEN 'expert' ELSE 'advanced' END, 'months': l_quantity::INT - 1} ORDER BY l_linenumber) AS skills, sum(l_quantity)::INT AS months FROM lineitem GROUP BY l_orderkey), o AS (SELECT o_orderkey, (o_totalprice / 20000)::DOUBLE AS years, skills, months FROM orders JOIN s ON l_orderkey = o_orderkey)"
+
+
+def skilled(spark, sf_dir):
+    """Orders as entities: lines as skills (returned ones are expert, quantity less one as months), price as stated years."""
+    skill = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("name"), F.when(F.col("l_returnflag") == "R", "expert").otherwise("advanced").alias("proficiency"), F.lit(0).alias("endorsements"), (F.col("l_quantity").cast("int") - 1).alias("duration_months"))
+    s = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(skill)).alias("skills"), F.sum("l_quantity").cast("int").alias("total_career_months"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 20000).alias("years_of_experience")).join(s, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+@query(f"WITH {SKILLED} SELECT o_orderkey, array_to_string(list_concat(list_transform(list_filter(skills, lambda x: x.proficiency = 'expert' AND x.months <= 1), lambda x: 'expert_zero_duration:' || x.name), CASE WHEN months / 12 > years + 3 THEN ['experience_mismatch'] ELSE [] END), ';') AS flags FROM o")
+def inconsistency_flags_a(spark, sf_dir):
+    return skilled(spark, sf_dir).select("o_orderkey", F.array_join(records.inconsistencies_a(), ";").alias("flags"))
+
+
+@query(f"WITH {SKILLED} SELECT o_orderkey, array_to_string(list_concat(list_transform(list_filter(skills, lambda x: x.proficiency = 'expert' AND x.months = 0), lambda x: 'expert_skill_zero_duration:' || x.name), CASE WHEN years > 0 AND (months = 0 OR abs(years - months / 12) > greatest(3, 0.5 * years)) THEN ['inconsistent_experience_years'] ELSE [] END), ';') AS flags FROM o")
+def inconsistency_flags_b(spark, sf_dir):
+    history = F.array(F.struct(F.col("total_career_months").alias("duration_months")))
+    return skilled(spark, sf_dir).select("o_orderkey", F.array_join(records.inconsistencies_b(F.col("skills"), history, F.col("years_of_experience")), ";").alias("flags"))
+
+
+#: Words of the tables in place of the rules' own vocabularies.
+WORDS_UP, WORDS_DOWN = ["tion", "heit", "mente"], ["stupid", "trash", "***"]
+
+
+def any_of(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+@query(f"SELECT doc_id, concat_ws(',', CASE WHEN {any_of('lower(text)', WORDS_UP)} AND NOT {any_of('lower(text)', WORDS_DOWN)} THEN 'clean' END, CASE WHEN {any_of('lower(text)', WORDS_DOWN)} THEN 'rough' END, CASE WHEN n_chars < 200 THEN 'short' END) AS flags, CASE WHEN {any_of('lower(text)', WORDS_DOWN)} AND n_chars < 200 THEN 0.05 WHEN {any_of('lower(text)', WORDS_DOWN)} OR n_chars < 200 THEN 0.35 ELSE 1.0 END::DOUBLE AS multiplier FROM documents")
+def rule_flags_a(spark, sf_dir):
+    t = F.lower("text")
+    up, down, short = X.contains_any(t, WORDS_UP), X.contains_any(t, WORDS_DOWN), F.col("n_chars") < 200
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(X.flags({"clean": up & ~down, "rough": down, "short": short}), ",").alias("flags"), rules.multiplier_a(X.flags({"rough": down, "short": short})).alias("multiplier"))
+
+
+@query(f"SELECT doc_id, ({any_of('lower(text)', WORDS_UP)}::INT + (list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9+#.]+'), lambda x: lower(x)), 'the') OR contains(lower(text), 'schaft'))::INT + (lang IN ('en', 'fr'))::INT) AS positives, concat_ws(',', CASE WHEN {any_of('lower(text)', WORDS_DOWN)} AND NOT contains(lower(text), 'tion') THEN 'rough' END, CASE WHEN n_chars > 0 AND n_chars / 100 < 5 THEN 'thin' END) AS negatives FROM documents")
+def rule_flags_b(spark, sf_dir):
+    t, words = F.lower("text"), X.tokens_b("text")
+    up, down = X.contains_any(t, WORDS_UP), X.contains_any(t, WORDS_DOWN)
+    d = read(spark, sf_dir, "documents")
+    good = {"up": up, "the": X.any_member(words, ["the"]) | X.contains_any(t, ["schaft"]), "lang": F.col("lang").isin("en", "fr")}
+    bad = {"rough": down & ~F.contains(t, F.lit("tion")), "thin": (F.col("n_chars") > 0) & (F.col("n_chars") / 100 < 5)}
+    return d.select("doc_id", rules.count_true(good).alias("positives"), F.array_join(X.flags(bad), ",").alias("negatives"))
+
+
+# ---- filters
+
+
+@query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, lower(trim(a.n_name || ', ' || ra.r_name)) AS x, string_split_regex(lower(trim(a.n_name || ', ' || ra.r_name)), '[\\s,/;]+') AS tx FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN region ra ON a.n_regionkey = ra.r_regionkey) s, (SELECT c_custkey, lower(trim(b.n_name)) AS y, string_split_regex(lower(trim(b.n_name)), '[\\s,/;]+') AS ty FROM customer JOIN nation b ON c_nationkey = b.n_nationkey WHERE c_custkey % 50 = 0) c WHERE x = y OR list_has_any(tx, ty)")
+def location_filter(spark, sf_dir):
+    """The filter as a mask over a candidate list; the list comes from shared tokens, so no pair is made that cannot pass."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    place = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws(", ", "n_name", "r_name").alias("place"))
+    s = read(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("place").alias("x"))
+    c = read(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("y"))
+    pairs = s.withColumn("t", F.explode(filters.place_tokens(F.col("x")))).join(c.withColumn("t", F.explode(filters.place_tokens(F.col("y")))), "t").select("s_suppkey", "c_custkey", "x", "y").distinct()
+    return pairs.filter(filters.location_passes(F.col("x"), F.col("y"))).select("s_suppkey", "c_custkey")
+
+
+@query("SELECT o_orderkey, NOT coalesce(CASE WHEN o_orderpriority LIKE '%URGENT%' THEN years < 5 WHEN o_orderpriority LIKE '%HIGH%' THEN years < 3 END, false) AS passes FROM (SELECT o_orderkey, o_orderpriority, o_totalprice / 50000 AS years FROM orders)")
+def seniority_filter(spark, sf_dir):
+    title = F.when(F.contains("o_orderpriority", F.lit("URGENT")), "Senior Engineer").when(F.contains("o_orderpriority", F.lit("HIGH")), "Mid-level Engineer").otherwise("Engineer")
+    return read(spark, sf_dir, "orders").select("o_orderkey", filters.seniority_passes(F.col("o_totalprice") / 50000, title).alias("passes"))
+
+
+@query(f"WITH {BOUGHT}, have AS (SELECT o_custkey, list(skill) AS h FROM bought GROUP BY ALL) SELECT o_custkey, len(list_filter(h, lambda k: contains(k, 'brass') OR contains(k, 'steel') OR contains('brass', k) OR contains('steel', k))) > 0 AND len(list_filter(h, lambda k: contains(k, 'promo') OR contains('promo', k))) > 0 AS passes FROM have")
+def must_have_filter(spark, sf_dir):
+    have = bought(spark, sf_dir).groupBy("o_custkey").agg(F.collect_list("skill").alias("h"))
+    wanted = F.array(F.lit("Metal"), F.lit("Promo"))
+    return have.select("o_custkey", filters.must_have_passes(F.col("h"), wanted, {"metal": ["brass", "steel"]}).alias("passes"))
+
+
+@query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), 'china') OR contains(lower(n_name), 'china') OR contains(lower(c_mktsegment), 'china')")
+def catalogue_search(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.filter(filters.catalogue_search("CHINA", F.col("c_name"), F.col("n_name"), F.array("c_mktsegment"))).select("c_custkey")
+
+
+# ---- scores, explanations, metrics
+
+FEATURES = f"""{ACTIVITY}, a AS (SELECT user_id, {SCALE.format('frequency')} AS f1, {SCALE.format('recency')} AS f2, CASE WHEN n % 3 = 0 THEN NULL ELSE kinds / 5 END AS f3, n / (n + 8) AS f4, n % 4 AS negatives, kinds AS positives, n % 7 = 0 AS flagged, n FROM activity),
+scored AS (SELECT *, (0.4 * f1 + 0.3 * f2 + 0.2 * coalesce(f3, 0) + 0.1 * f4) / (0.4 + 0.3 + CASE WHEN f3 IS NULL THEN 0 ELSE 0.2 END + 0.1) AS score FROM a)"""
+FEATURE_WEIGHTS = {"f1": 0.4, "f2": 0.3, "f3": 0.2, "f4": 0.1}
+
+
+def features(spark, sf_dir):
+    a = activity(spark, sf_dir)
+    a = a.join(behaviour.population_scaled(a.select("user_id", F.col("frequency").alias("f1"), F.col("recency").alias("f2")), ("f1", "f2")), "user_id")
+    a = a.withColumns({"f3": F.when(F.col("n") % 3 != 0, F.col("kinds") / 5), "f4": score.squashed(F.col("n")), "negatives": (F.col("n") % 4).cast("int"), "positives": F.col("kinds"), "flagged": F.col("n") % 7 == 0})
+    return a.withColumn("score", score.weighted({k: F.col(k) for k in FEATURE_WEIGHTS}, FEATURE_WEIGHTS))
+
+
+@query(f"WITH {FEATURES} SELECT user_id, round(score, 6)::DOUBLE AS score FROM scored")
+def weighted_score_renorm(spark, sf_dir):
+    return features(spark, sf_dir).select("user_id", r6("score").alias("score"))
+
+
+@query(f"WITH {FEATURES} SELECT user_id, round(score * CASE WHEN negatives = 0 THEN 1 WHEN positives >= 5 THEN greatest(0, 1 - 0.1 * negatives) ELSE pow(0.5, negatives) END * CASE WHEN flagged THEN 0.01 ELSE 1 END, 6)::DOUBLE AS score FROM scored")
+def penalised_score(spark, sf_dir):
+    return features(spark, sf_dir).select("user_id", r6(score.penalised(F.col("score"), F.col("negatives"), F.col("positives"), F.col("flagged"))).alias("score"))
+
+
+@query(f"""WITH {FEATURES} SELECT user_id, concat_ws(',', CASE WHEN f2 >= 0.9 THEN 'Strong Seniority Fit' END, CASE WHEN f1 >= 0.5 THEN 'High Engagement' END, CASE WHEN f1 >= 0.5 AND f4 < 0.3 AND coalesce(f3, 0) < 0.3 THEN 'Hidden Gem' END,
+  CASE WHEN f1 >= 0.5 AND f2 >= 0.3 THEN 'Fast Learner' END, CASE WHEN f2 >= 0.4 AND coalesce(f3, 0) < 0.1 THEN 'Career Switcher' END, CASE WHEN coalesce(f3, 0) < 0.05 THEN 'Skill Gap Risk' END, CASE WHEN NOT flagged THEN 'Verified Profile' END) AS tags FROM scored""")
+def tags(spark, sf_dir):
+    c = F.col
+    f = {"seniority_match": c("f2"), "behavioral_score": c("f1"), "bm25_score": c("f4"), "dense_similarity": c("f3"), "trajectory_alignment": c("f2"), "skill_overlap": c("f3"), "inconsistency": c("flagged").cast("double")}
+    return features(spark, sf_dir).select("user_id", F.array_join(explain.tags(f), ",").alias("tags"))
+
+
+ONE_QUERY = f"WITH {BM25_A}, one AS (SELECT d.doc_id, lang, source, n_chars, coalesce(score, 0) AS score FROM documents d LEFT JOIN (SELECT * FROM bm WHERE item_id = 0) b USING (doc_id)), n AS (SELECT *, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-9 THEN 0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS norm FROM one)"
+
+
+@query(f"""{ONE_QUERY}, c AS (SELECT doc_id, n_chars, norm, lang, (0.40 * norm + 0.30 * CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + 0.15 * CASE WHEN n_chars < 300 THEN 1 WHEN n_chars <= 600 THEN 0.6 WHEN n_chars <= 900 THEN 0.3 ELSE 0 END + 0.15 * CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE 0.5 END) * CASE WHEN n_chars < 50 THEN 0.35 ELSE 1 END * CASE WHEN n_chars % 50 = 0 THEN 0 ELSE 1 END AS score FROM n),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM c)
+SELECT doc_id, rank, round(score, 6)::DOUBLE AS score, 'doc, ' || printf('%.1f', floor(n_chars / 100)) || ' yrs experience' || CASE WHEN lang = 'en' THEN '; based in India or open to relocation' ELSE '' END ||
+  CASE WHEN n_chars < 50 THEN '. Concern: average tenure under 18 months across recent roles' WHEN norm < 0.15 AND lang <> 'en' THEN '. Thin signal overall -- ranked primarily on absence of red flags, not strong positive match' WHEN rank <= 10 THEN '. Strong overall alignment with the role' ELSE '. Reasonable but partial alignment with the role' END AS reasoning FROM r WHERE rank <= 100""")
+def rank_fixed_query(spark, sf_dir):
+    """The first ranker's last steps: scaled BM25 for one query, composite, head, rank, reasoning."""
+    d = read(spark, sf_dir, "documents")
+    one = index.bm25_a(d, items(spark, sf_dir).filter("item_id = 0"), "doc_id", "text", "item_id", "q_text").select("doc_id", "score")
+    n = index.min_max(d.join(one, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "score", out="norm")
+    c = F.col
+    positive, negative = X.flags({"india_or_relocate": c("lang") == "en"}), X.flags({"job_hopper": c("n_chars") < 50})
+    composite = score.composite_a(c("norm"), F.size(positive) / 5, rules.notice_a(c("n_chars") / 10), c("source").isin("src1", "src2"), rules.multiplier_a(negative), c("n_chars") % 50 == 0)
+    top = n.select("doc_id", r6(composite).alias("score"), "norm", positive.alias("positive"), negative.alias("negative"), "n_chars").orderBy(F.desc("score"), "doc_id").limit(100)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    return ranked.select("doc_id", c("rank").cast("long").alias("rank"), "score", explain.reasoning_a(F.lit("doc"), F.floor(c("n_chars") / 100).cast("double"), c("positive"), c("negative"), c("norm"), c("rank")).alias("reasoning"))
+
+
+@query()
+def rerank_blend(spark, sf_dir):
+    """Shortlists of 20 reranked by token-set ratio and blended; Python sees only the shortlists."""
+    top = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 20, "item_id", [F.desc("score"), F.asc("doc_id")])
+    both = top.join(documents(spark, sf_dir), "doc_id").join(items(spark, sf_dir), "item_id")
+    blend = score.blended(score.rerank_offline(F.col("q_text"), F.col("text")), score.squashed(F.col("score")))
+    again = index.top_k(both.select("item_id", "doc_id", F.col("rank").alias("original_rank"), r6(blend).alias("blend")), 20, "item_id", [F.desc("blend"), F.asc("original_rank")], "new_rank")
+    return again.select("item_id", "doc_id", "original_rank", "new_rank", "blend", (F.col("original_rank") - F.col("new_rank")).alias("moved"))
+
+
+@query(f"""WITH {BOUGHT}, h AS (SELECT o_custkey, list(skill) AS h FROM bought GROUP BY ALL) SELECT o_custkey,
+  CASE WHEN list_contains(h, 'promo steel') OR list_contains(h, 'small brass') THEN concat_ws('|', CASE WHEN list_contains(h, 'promo steel') THEN 'Demonstrates matching proficiency in ''PROMO STEEL''.' END, CASE WHEN list_contains(h, 'small brass') THEN 'Demonstrates matching proficiency in ''small brass''.' END) ELSE 'Matches core qualifications for ''Buyer''.' END AS matched,
+  CASE WHEN list_contains(h, 'promo steel') THEN '' ELSE 'PROMO STEEL' END AS missing FROM h""")
+def match_points(spark, sf_dir):
+    h = bought(spark, sf_dir).groupBy("o_custkey").agg(F.collect_list("skill").alias("h"))
+    must, nice = F.array(F.lit("PROMO STEEL")), F.array(F.lit("small brass"))
+    return h.select("o_custkey", F.array_join(explain.matched_points(must, nice, F.col("h"), F.lit("Buyer")), "|").alias("matched"), F.array_join(explain.lacking(must, F.col("h")), "|").alias("missing"))
+
+
+@query(f"""WITH {FEATURES} SELECT user_id, 'Candidate ' || user_id || ' is ranked #1 for the ''Analyst'' role with a composite score of ' || printf('%.2f', round(score, 6)) || '. They show a skill overlap of ' || printf('%.1f', round(coalesce(f3, 0), 6) * 100) || '%, matching requirements like [sql] and missing [spark]. Seniority alignment is rated at ' || printf('%.1f', round(f2, 6) * 100) || '% based on relevant experience. Located in ''Here'' (not open to relocation); notice period is ' || n || ' days. Profile is verified with a behavioral engagement score of ' || printf('%.2f', round(f1, 6)) || ' (honeypot risk: ' || CASE WHEN flagged THEN '1.00' ELSE '0.00' END || ', GitHub score: -1). Key classification tag(s): Known.' AS narrative FROM scored""")
+def narrative(spark, sf_dir):
+    c = F.col
+    row = {"candidate_id": c("user_id").cast("string"), "rank": F.lit(1), "title": F.lit("Analyst"), "score": r6("score"), "overlap": r6("f3"), "seniority": r6("f2"), "behaviour": r6("f1"), "inconsistency": c("flagged").cast("double"), "must": F.array(F.lit("sql"), F.lit("spark")), "nice": F.array().cast("array<string>"), "skills": F.array(F.lit("SQL ")), "tags": F.array(F.lit("Known")), "location": F.lit("Here"), "willing": F.lit(False), "notice": c("n"), "activity": F.lit(None).cast("int")}
+    return features(spark, sf_dir).select("user_id", explain.narrative(row).alias("narrative"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(text, '[.]'), lambda p: contains(lower(p), 'the') OR contains(lower(p), 'tion')), '|') AS kept FROM conversations")
+def hallucination_filter(spark, sf_dir):
+    points = F.split("text", "[.]")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(explain.grounded(points, F.array(F.lit("THE"), F.lit("tion"))), "|").alias("kept"))
+
+
+@query(r"SELECT conv_id, turn, nullif(regexp_extract('x{' || text || '} y', '(?s)\{.*\}', 0), '') = '{' || text || '}' AS whole FROM conversations")
+def json_grab(spark, sf_dir):
+    wrapped = F.concat(F.lit("x{"), F.col("text"), F.lit("} y"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", (explain.json_part(wrapped) == F.concat(F.lit("{"), F.col("text"), F.lit("}"))).alias("whole"))
+
+
+JUDGED = f"""{BM25_A}, rk AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 50),
+rel AS (SELECT doc_id, 2 * quality + 1 - toxic AS rel FROM labels),
+j AS (SELECT item_id, doc_id, rank, coalesce(rel, 0) AS rel FROM rk LEFT JOIN rel USING (doc_id)),
+ideal AS (SELECT item_id, rel, row_number() OVER (PARTITION BY item_id ORDER BY rel DESC) AS place FROM rk JOIN rel USING (doc_id))"""
+
+
+def judged(spark, sf_dir):
+    """Rankings of 50, and judgments of the labelled documents among them."""
+    ranked = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 50, "item_id", [F.desc("score"), F.asc("doc_id")]).select("item_id", "doc_id", "rank")
+    rel = read(spark, sf_dir, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).cast("int").alias("rel"))
+    judgments = ranked.join(rel, "doc_id").select("item_id", "doc_id", "rel")
+    return ranked, judgments, evaluate.judged(ranked, judgments, "item_id", "doc_id")
+
+
+@query(f"WITH {JUDGED} SELECT item_id, round(count(*) FILTER (rank <= 5 AND rel >= 1) / 5, 6)::DOUBLE AS value FROM j GROUP BY item_id")
+def precision_at_k(spark, sf_dir):
+    return evaluate.precision_at(judged(spark, sf_dir)[2], "item_id", 5).select("item_id", r6("value").alias("value"))
+
+
+@query(f"WITH {JUDGED} SELECT item_id, round(coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0), 6)::DOUBLE AS value FROM j GROUP BY item_id")
+def mrr(spark, sf_dir):
+    return evaluate.reciprocal_rank(judged(spark, sf_dir)[2], "item_id").select("item_id", r6("value").alias("value"))
+
+
+NDCG = "SELECT item_id, CASE WHEN any_value(i) > 0 THEN coalesce(any_value(d), 0) / any_value(i) ELSE 0 END AS value FROM (SELECT item_id, sum((pow(2, rel) - 1) / log2(place + 1)) FILTER (place <= {0}) AS i FROM ideal GROUP BY ALL) LEFT JOIN (SELECT item_id, sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= {0}) AS d FROM j GROUP BY ALL) USING (item_id) GROUP BY item_id"
+
+
+@query(f"WITH {JUDGED} SELECT item_id, round(value, 6)::DOUBLE AS value FROM ({NDCG.format(10)})")
+def ndcg_at_k(spark, sf_dir):
+    _, judgments, rows = judged(spark, sf_dir)
+    return evaluate.ndcg_at(rows, judgments, "item_id", 10).select("item_id", r6("value").alias("value"))
+
+
+@query(f"""WITH {JUDGED} SELECT item_id, round(coalesce(sum(CASE WHEN rel >= 1 THEN hits / rank END) / nullif(max(total), 0), 0), 6)::DOUBLE AS value FROM (SELECT j.*, sum((rel >= 1)::INT) OVER (PARTITION BY item_id ORDER BY rank) AS hits FROM j) JOIN (SELECT item_id, count(*) FILTER (rel >= 1) AS total FROM ideal GROUP BY ALL) USING (item_id) GROUP BY item_id""")
+def average_precision(spark, sf_dir):
+    _, judgments, rows = judged(spark, sf_dir)
+    return evaluate.average_precision(rows, judgments, "item_id").select("item_id", r6("value").alias("value"))
+
+
+@query(f"""WITH {JUDGED}, asked AS (SELECT DISTINCT item_id FROM ideal), b AS (SELECT item_id, doc_id, 51 - rank AS rank, rel FROM j),
+p AS (SELECT 'Precision@5' AS metric_name, avg(coalesce(x, 0)) AS baseline, avg(coalesce(y, 0)) AS system FROM asked LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS y FROM j GROUP BY ALL) USING (item_id)),
+m AS (SELECT 'MRR', avg(coalesce(x, 0)), avg(coalesce(y, 0)) FROM asked LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS y FROM j GROUP BY ALL) USING (item_id)),
+d AS (SELECT 'NDCG@5', avg(coalesce(x.value, 0)), avg(coalesce(y.value, 0)) FROM asked LEFT JOIN ({NDCG.format(5).replace('FROM j', 'FROM b')}) x USING (item_id) LEFT JOIN ({NDCG.format(5)}) y USING (item_id))
+SELECT metric_name, round(baseline, 6)::DOUBLE AS baseline_score, round(system, 6)::DOUBLE AS system_score, round(system - baseline, 6)::DOUBLE AS delta FROM (FROM p UNION ALL FROM m UNION ALL FROM d)""")
+def metric_comparison(spark, sf_dir):
+    """The ranking against itself upside down."""
+    ranked, judgments, _ = judged(spark, sf_dir)
+    out = evaluate.compared(ranked.withColumn("rank", 51 - F.col("rank")), ranked, judgments, "item_id", "doc_id")
+    return out.select("metric_name", *[r6(c).alias(c) for c in ("baseline_score", "system_score", "delta")])
+
+
+@query("SELECT * FROM (VALUES ('missing rank', 1::BIGINT), ('repeated rank', 1), ('score increases', 1)) t(fault, n)")
+def result_validator(spark, sf_dir):
+    """A ranking of 100 documents with one rank given twice and one score too high."""
+    d = read(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(100).withColumn("r", F.row_number().over(Window.orderBy("doc_id")))
+    r = F.col("r")
+    table = d.select(F.format_string("CAND_%07d", "doc_id").alias("candidate_id"), F.when(r == 40, 39).otherwise(r).cast("string").alias("rank"), F.when(r == 70, 0.99).otherwise(1 - r / 1000).cast("string").alias("score"), F.lit("").alias("reasoning"))
+    return evaluate.result_faults(table)
+
+
+@query(f"WITH {BM25_A} SELECT item_id, string_agg(doc_id || ':' || score::DECIMAL(18, 6), ',' ORDER BY rank) AS results FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 5 GROUP BY item_id")
+def results_per_query_nested(spark, sf_dir):
+    top = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 5, "item_id", [F.desc("score"), F.asc("doc_id")])
+    lists = top.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("l"))
+    return lists.select("item_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["score"].cast("decimal(18,6)").cast("string"))), ",").alias("results"))

@@ -1 +1 @@
-
+"""Activity features over streams."""
