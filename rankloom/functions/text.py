@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters and digits of lower-cased text; and the second ranker's, which keeps +, # and full stops.
 WORDS_A, WORDS_B = "[a-z0-9]+", "[A-Za-z0-9+#.]+"
@@ -20,7 +21,7 @@ def tokens_a(text: Column | str) -> Column:
 
 
 def tokens_b(text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({WORDS_B})")), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({WORDS_B})")), lambda x: F.lower(x))
 
 
 def clean_string(value: str | None) -> str:
@@ -31,7 +32,7 @@ def clean_string(value: str | None) -> str:
     return " ".join(plain.replace("\xa0", " ").split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(values: pd.Series) -> pd.Series:
     """clean_string on batches: Spark has neither the compatibility forms nor the table of character references."""
     return values.map(clean_string)
@@ -51,7 +52,7 @@ def empty_to_null(col: Column) -> Column:
 
 def split_list(text: Column | str, clean=F.btrim, separators: str = r"[,\|]") -> Column:
     """The parts between commas or bars, cleaned, without empty ones; none of null."""
-    return F.coalesce(F.filter(F.transform(F.split(text, separators), clean), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(text, separators), lambda x: clean(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
@@ -110,7 +111,7 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(best, edit_ratio(both, with_a), edit_ratio(both, with_b)) if both else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

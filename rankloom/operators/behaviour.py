@@ -22,7 +22,7 @@ def recency(last: Column, as_of: str | Column = AS_OF, half_life: float = HALF_L
     """Halves every half_life days; 0.5 for a missing or unreadable date; days in the future count as none."""
     as_of = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
     days = F.greatest(F.datediff(as_of, last), F.lit(0))
-    return F.coalesce(F.exp(-F.log(F.lit(2.0)) / half_life * days), F.lit(0.5))
+    return F.when(last.isNull(), 0.5).otherwise(F.exp(-F.log(F.lit(2.0)) / half_life * days))
 
 
 def frequency(timeline: Column) -> Column:
@@ -59,7 +59,7 @@ def engagement(response: Column, hours: Column, completion: Column) -> Column:
 def trust(email: Column, phone: Column, linked: Column, endorsements: Column, skills: Column) -> Column:
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     rate = F.least(F.lit(1.0), endorsements / F.greatest(skills, F.lit(1)) / 5)
-    return 0.2 * yes(email) + 0.2 * yes(phone) + 0.2 * yes(linked) + 0.4 * or_half(rate)
+    return 0.2 * yes(email) + 0.2 * yes(phone) + 0.2 * yes(linked) + 0.4 * F.when(endorsements.isNull(), 0.5).otherwise(rate)
 
 
 def confidence(has_signals: Column, *parts: Column) -> Column:

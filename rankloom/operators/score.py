@@ -43,7 +43,7 @@ def behaviour(recency: Column, frequency: Column, velocity: Column, breadth: Col
 
 def seniority(years: Column, wanted: Column) -> Column:
     need = expected_years(wanted)
-    return F.coalesce(F.when(years >= need, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (need - years) / need)), F.lit(1.0))
+    return F.when(need.isNull() | years.isNull() | (years >= need), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (need - years) / need))
 
 
 def weighted(features: dict[str, Column], weights: dict[str, float] | None = None) -> Column:

@@ -95,7 +95,7 @@ def vectors(spark: SparkSession, path: str, payload: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("payload", F.from_json("payload", payload))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def document_text(content: pd.Series) -> pd.Series:
     """The paragraphs of word-processor files (zipped XML), a line each."""
 
