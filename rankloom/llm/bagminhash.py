@@ -6,11 +6,12 @@ a time, a height and a register, and a point counts if its height lies below the
 earliest point that counts. Two texts agree in a register with the probability of their weighted Jaccard similarity, and
 a shingle costs a number of processes logarithmic in its count. Times are followed only as far as registers need them.
 
-Registers are banded. Texts that share a band are candidates; instead of all pairs of a bucket, its members are compared
-with two centres of the bucket, exactly, on their bags. Connected texts form classes. Where members of a bucket are still
-in different classes, members from outside its largest class become centres, a few each round, until those that were
-none are all in one class. So no pair that shares a band and reaches the similarity stays unlinked, at a cost that
-follows the texts that are not alike rather than the square of a group's size.
+Registers are banded. Texts that share a band are candidates; instead of all pairs of a bucket, a member is compared,
+exactly and on the bags, with the bucket's centre (the member with the largest buckets in all) and with the members beside
+it in the order of the following bands, which agree in more registers than others. Connected texts form classes. Where a
+bucket still has members in different classes, small buckets are then compared pair by pair across classes, and in larger
+ones each text outside the largest class with that class's centre. A link can only be missed where all buckets that two
+texts share are large and no other link joins them.
 
 With 32 bands of 4 registers, a pair at similarity 0.8 shares no band with probability 5e-8.
 
@@ -33,7 +34,8 @@ FIVE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-CENTRES = 8
+#: Buckets of at most this many texts are compared pair by pair where it matters; neighbours of a text in larger ones.
+SMALL, BESIDE = 24, 3
 G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,29 +54,24 @@ def bags(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The distinct shingles of each text, as sorted 64-bit hashes, and how often it has them."""
     import xxhash
 
-    seen: dict[bytes, int] = {}
-    out = []
+    number: dict[bytes, int] = {}
+    places, sizes = [], []
     for text in rows:
         words = text.lower().split()
-        codes = []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w)
-            codes.append(h)
-        codes = np.array(codes, dtype=np.uint64)
-        n = len(codes)
-        if n > FIVE:
-            h = np.zeros(n - FIVE + 1, dtype=np.uint64)
-            for j in range(FIVE):
-                h = mix(h * G + codes[j : j + len(h)])
-        elif n:
-            h = np.zeros(1, dtype=np.uint64)
-            for j in range(n):
-                h = mix(h * G + codes[j : j + 1])
-        else:
-            h = codes
-        out.append(np.unique(h, return_counts=True))
+        sizes.append(len(words))
+        places += [number.setdefault(w, len(number)) for w in words]
+    codes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)[np.array(places, dtype=np.int64)]
+
+    def chained(of: np.ndarray, n: int) -> np.ndarray:
+        h = np.zeros(max(0, len(of) - n + 1), dtype=np.uint64)
+        for j in range(n):
+            h = mix(h * G + of[j : j + len(h)])
+        return h
+
+    shingles, at, out = chained(codes, FIVE), 0, []
+    for n in sizes:
+        out.append(np.unique(shingles[at : at + n - FIVE + 1] if n >= FIVE else chained(codes[at : at + n], n) if n else codes[:0], return_counts=True))
+        at += n
     return out
 
 
@@ -182,35 +179,32 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     key: 128 bits of the text's hash. class: the least key of the texts that links connect."""
     key = text_key(text)
     distinct = written(docs.filter(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text")), "texts")
-    banded = with_columns(distinct, lambda b: {"bands": band_keys(texts(b, "text"))}, {"bands": "array<long>"}, ["key"])
-    member = banded.select("key", F.posexplode("bands").alias("band", "hash"))
+    banded = written(with_columns(distinct, lambda b: {"bands": band_keys(texts(b, "text"))}, {"bands": "array<long>"}, ["key"]), "bands")
     bucket = ["band", "hash"]
-    member = written(member, "members")
-    many = member.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("c1"), F.min_by("key", F.xxhash64("key", "hash")).alias("c2")).filter("n > 1")
-    member = written(member.join(many, bucket), "buckets")
-    of = written(distinct.join(member.select("key").distinct(), "key", "left_semi"), "candidates")
+    member = banded.select("key", F.posexplode("bands").alias("band", "hash"))
+    counts = member.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = written(member.join(counts, bucket), "buckets")
+    degree = member.groupBy("key").agg(F.sum("n").alias("degree"))
+    of = written(distinct.join(degree.select("key"), "key", "left_semi"), "candidates")
+    # In a bucket, texts that agree in the following bands too stand side by side.
+    member = written(member.join(degree, "key").join(banded, "key").select(*bucket, "key", "n", "degree", *[F.element_at("bands", ((F.col("band") + j) % BANDS + 1).cast("int")).alias(f"next{j}") for j in (1, 2, 3)]), "ordered")
+    side = Window.partitionBy(*bucket).orderBy("next1", "next2", "next3", "key")
+    centre = F.max(F.struct("degree", "key")).over(Window.partitionBy(*bucket))["key"]
+    beside = F.array_compact(F.array(centre, *[F.lag("key", j).over(side) for j in range(1, BESIDE + 1)]))
     ordered = lambda df: df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(ordered(member.select(F.col("key").alias("a"), F.explode(F.array("c1", "c2")).alias("b"))), "tried")
+    tried = written(ordered(member.select(F.col("key").alias("a"), beside.alias("beside")).select("a", F.explode("beside").alias("b"))), "tried")
     links = written(verified(tried, of, similarity), "verified")
-    # Members that were no centre yet: only pairs of such are untried.
-    waiting = member.filter("key != c1 and key != c2").select(*bucket, "key")
-    while True:
-        roots = components(links)
-        rooted = waiting.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*bucket, "key", F.coalesce("root", "key").alias("class"))
-        sizes = rooted.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("size"))
-        split = sizes.groupBy(*bucket).agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-        rooted = written(rooted.join(split, bucket), "open")
-        if not rooted.limit(1).count():
-            break
-        # The next centres of a bucket: a few members from outside its largest class, the smallest classes first.
-        few = Window.partitionBy(*bucket).orderBy("size", "class", "key")
-        centres = rooted.filter("class != largest").join(sizes, [*bucket, "class"]).withColumn("place", F.row_number().over(few)).filter(F.col("place") <= CENTRES)
-        centres = written(centres.select(*bucket, F.col("key").alias("centre"), F.col("class").alias("own")), "centres")
-        new = centres.join(rooted, bucket).filter("class != own").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-        new = written(ordered(new).join(tried, ["a", "b"], "left_anti"), "untried")
-        waiting = written(rooted.select(*bucket, "key").join(centres.select(*bucket, F.col("centre").alias("key")), [*bucket, "key"], "left_anti"), "waiting")
-        tried = tried.unionByName(new)
-        links = written(links.unionByName(verified(new, of, similarity)), "verified")
+    # What buckets with several classes leave: all pairs across classes of small ones; in others, each text outside the largest class with that class's centre.
+    roots = components(links)
+    rooted = written(member.select(*bucket, "key", "n", "degree").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root"), "rooted")
+    sizes = rooted.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("degree", "key"))["key"].alias("rep"))
+    split = sizes.groupBy(*bucket).agg(F.max(F.struct("size", "class", "rep")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(*bucket, F.col("top.class").alias("largest"), F.col("top.rep").alias("rep"))
+    left = written(rooted.join(split, bucket), "left")
+    few = left.filter(F.col("n") <= SMALL)
+    other = few.select(*bucket, F.col("key").alias("b"), F.col("class").alias("class_b"))
+    new = few.join(other, bucket).filter("key < b and class != class_b").select(F.col("key").alias("a"), "b").unionByName(left.filter((F.col("n") > SMALL) & (F.col("class") != F.col("largest"))).select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    new = ordered(new).join(tried, ["a", "b"], "left_anti")
+    roots = components(links.unionByName(verified(new, of, similarity)))
     return roots.select(F.col("node").alias("key"), F.col("root").alias("class")).unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("class")).distinct()), key
 
 
