@@ -32,6 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The table replaces what led to it: once the driver's garbage is collected, Spark deletes those shuffle files.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,9 @@ grouped, and the rounds are uneven:
   1. A window's anchor is the place of its least hashed gram of GRAM bytes. It depends on the window's content only, so
      equal windows have equal grams at equal places. Neighbouring windows with one anchor are a run. Runs are blocked by
      gram; blocks of one run end here. Runs of a block whose whole stretch of text is equal are repeated intervals.
-  2. What is left in blocks of different stretches is cut where windows are STEP further from the anchor, and blocked by
-     the text that all windows of such a piece share (its common prefix with the block is WINDOW - STEP + 1 bytes).
-  3. What is still left is blocked window by window.
+  2. What is left in blocks of different stretches is cut where windows are a STEP further from the anchor, and blocked by
+     the text that all windows of such a piece share: WINDOW - STEP + 1 bytes are then the common prefix of a block.
+  3. So on with smaller steps, at last window by window.
 A block's name is a 64-bit hash of the text it shares and its place; equality is by two of them at the least (block and
 stretch). At each round one member of each kind of stretch goes on, so copies do not multiply, and hot blocks are only
 counted and joined, never gathered.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from rankloom.llm.common import texts, with_columns, written
 
 WINDOW = 400
 GRAM = 16
-STEP = 8
+STEPS = (64, 8, 1)
 SEGMENT = 1 << 21
 MULTIPLIER = 0x9E3779B97F4A7C15
 PIECE = "key binary, start int, n int, ahead int, block long, stretch long"
@@ -114,7 +115,7 @@ def runs(rows: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray,
 
 
 def cut(rows: list[bytes], row: np.ndarray, start: np.ndarray, n: np.ndarray, ahead: np.ndarray, step: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Rounds 2 and 3: the given runs cut where the distance to the anchor is a multiple of `step`; the same columns as of `runs`."""
+    """The later rounds: the given runs cut where the distance to the anchor is a multiple of `step`; the same columns as of `runs`."""
     sizes = np.array([len(x) for x in rows], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     stream = Stream(b"".join(rows))
@@ -173,7 +174,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     left = written(left, "left")
     open_ = written(docs.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "open")
     all_marks = [marks]
-    for step in (STEP, 1):
+    steps = [s for s in STEPS if 2 * s <= window]
+    for step in steps:
         per_text = left.groupBy("key").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"), F.collect_list("ahead").alias("ahead"))
 
         def further(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
@@ -188,8 +190,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         marks, left = refined(pieces, step == 1)
         left = written(left, "left") if left is not None else None
         all_marks.append(marks)
-    union = all_marks[0].unionByName(all_marks[1]).unionByName(all_marks[2])
-    return union.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("key", F.col("marks.start").alias("starts"), F.col("marks.n").alias("counts"))
+    return reduce(DataFrame.unionByName, all_marks).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("key", F.col("marks.start").alias("starts"), F.col("marks.n").alias("counts"))
 
 
 def removed(size: int, starts: list[int] | None, counts: list[int] | None, window: int = WINDOW) -> list[tuple[int, int]]:
