@@ -9,9 +9,10 @@ a shingle costs a number of processes logarithmic in its count. Times are follow
 Registers are banded. Texts that share a band are candidates; instead of all pairs of a bucket, a member is compared,
 exactly and on the bags, with the bucket's centre (the member with the largest buckets in all) and with the members beside
 it in the order of the following bands, which agree in more registers than others. Connected texts form classes. Where a
-bucket still has members in different classes, small buckets are then compared pair by pair across classes, and in larger
-ones each text outside the largest class with that class's centre. A link can only be missed where all buckets that two
-texts share are large and no other link joins them.
+bucket still has members in different classes, all pairs across classes are then compared: those of small buckets as rows;
+in larger ones the members outside the largest class and all members are dealt to blocks by their hash, and a task compares
+two blocks by a product of their matrices of shingle occurrences. So texts of the similarity that share a bucket always end
+in one class.
 
 With 32 bands of 4 registers, a pair at similarity 0.8 shares no band with probability 5e-8.
 
@@ -34,8 +35,11 @@ FIVE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Buckets of at most this many texts are compared pair by pair where it matters; neighbours of a text in larger ones.
+#: Split buckets of at most SMALL texts are compared as rows of pairs, larger ones by blocks of about BLOCK texts and BLOCK_BYTES at most; BESIDE neighbours are tried first.
 SMALL, BESIDE = 24, 3
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Shingle occurrences in one product of two blocks.
+WIDE = 4096
 G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,6 +157,70 @@ def verified(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFr
     return with_columns(two, compare, {"similarity": "double"}, ["a", "b"]).filter(F.col("similarity") >= similarity)
 
 
+def occurrences(of: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every occurrence of a shingle, the second of a shingle told from the first: sets whose overlap is that of the bags."""
+    owner = np.repeat(np.arange(len(of)), [len(h) for h, _ in of])
+    shingle, count = (np.concatenate([x[i] for x in of]) if of else np.zeros(0, np.int64) for i in (0, 1))
+    count = count.astype(np.int64)
+    owner, shingle = np.repeat(owner, count), np.repeat(shingle.astype(np.uint64), count)
+    nth = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    return owner, np.where(nth == 0, shingle, mix(shingle + nth * G))
+
+
+def overlaps(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of each bag of a with each of b."""
+    (own_a, in_a), (own_b, in_b) = occurrences(a), occurrences(b)
+    common = np.intersect1d(in_a, in_b)
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def placed(owner: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, has), max(0, len(common) - 1))
+        ok = common[at] == has if len(common) else np.zeros(len(has), bool)
+        order = np.argsort(at[ok], kind="stable")
+        return owner[ok][order], at[ok][order]
+
+    (own_a, at_a), (own_b, at_b) = placed(own_a, in_a), placed(own_b, in_b)
+    for low in range(0, len(common), WIDE):
+        sides = []
+        for owner, at, n in ((own_a, at_a, len(a)), (own_b, at_b, len(b))):
+            i, j = np.searchsorted(at, [low, low + WIDE])
+            side = np.zeros((n, min(WIDE, len(common) - low)), dtype=np.float32)
+            side[owner[i:j], at[i:j] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    sums = np.array([c.sum() for _, c in a], dtype=np.float64)[:, None] + np.array([c.sum() for _, c in b], dtype=np.float64)[None, :]
+    return both / np.maximum(1, sums - both)
+
+
+def across(left: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes with a link between their members in a bucket. left: band, hash, key, class, bytes, largest (of the bucket's classes).
+
+    Members outside the largest class meet all members, a block of the ones and a block of the others in a task."""
+    bucket = ["band", "hash"]
+    outer = F.col("class") != F.col("largest")
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    sizes = left.groupBy(*bucket).agg(parts(F.count(F.lit(1)), F.sum("bytes")).alias("all_parts"), parts(F.count_if(outer), F.sum(F.when(outer, F.col("bytes")))).alias("outer_parts"))
+    rows = left.join(sizes, bucket).join(of.select("key", "text"), "key")
+    dealt = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    ones = rows.filter(outer).select(*bucket, "class", "text", F.lit(0).alias("side"), dealt(F.col("outer_parts")).alias("i"), F.explode(each("all_parts")).alias("j"))
+    others = rows.select(*bucket, "class", "text", F.lit(1).alias("side"), F.explode(each("outer_parts")).alias("i"), dealt(F.col("all_parts")).alias("j"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        found, number = block.column("class").to_pylist(), {}
+        cls = np.array([number.setdefault(c, len(number)) for c in found], dtype=np.int64)
+        bag = bags([x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()])
+        one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = overlaps([bag[k] for k in one], [bag[k] for k in other]) >= similarity
+        x, y = np.nonzero(near & (cls[one][:, None] != cls[other][None, :]))
+        names = list(number)
+        links = np.unique(np.stack([cls[one][x], cls[other][y]], axis=1), axis=0).tolist()
+        return pa.table({"a": pa.array([names[i] for i, _ in links], pa.binary()), "b": pa.array([names[j] for _, j in links], pa.binary())})
+
+    return ones.unionByName(others).groupBy(*bucket, "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that links reach from it) of all nodes of links (a, b), by alternating large and small stars."""
     least = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
@@ -179,7 +247,7 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     key: 128 bits of the text's hash. class: the least key of the texts that links connect."""
     key = text_key(text)
     distinct = written(docs.filter(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text")), "texts")
-    banded = written(with_columns(distinct, lambda b: {"bands": band_keys(texts(b, "text"))}, {"bands": "array<long>"}, ["key"]), "bands")
+    banded = written(with_columns(distinct, lambda b: {"bands": band_keys(rows := texts(b, "text")), "bytes": [len(x) for x in rows]}, {"bands": "array<long>", "bytes": "long"}, ["key"]), "bands")
     bucket = ["band", "hash"]
     member = banded.select("key", F.posexplode("bands").alias("band", "hash"))
     counts = member.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -187,24 +255,25 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     degree = member.groupBy("key").agg(F.sum("n").alias("degree"))
     of = written(distinct.join(degree.select("key"), "key", "left_semi"), "candidates")
     # In a bucket, texts that agree in the following bands too stand side by side.
-    member = written(member.join(degree, "key").join(banded, "key").select(*bucket, "key", "n", "degree", *[F.element_at("bands", ((F.col("band") + j) % BANDS + 1).cast("int")).alias(f"next{j}") for j in (1, 2, 3)]), "ordered")
+    member = written(member.join(degree, "key").join(banded, "key").select(*bucket, "key", "n", "degree", "bytes", *[F.element_at("bands", ((F.col("band") + j) % BANDS + 1).cast("int")).alias(f"next{j}") for j in (1, 2, 3)]), "ordered")
     side = Window.partitionBy(*bucket).orderBy("next1", "next2", "next3", "key")
     centre = F.max(F.struct("degree", "key")).over(Window.partitionBy(*bucket))["key"]
     beside = F.array_compact(F.array(centre, *[F.lag("key", j).over(side) for j in range(1, BESIDE + 1)]))
     ordered = lambda df: df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(ordered(member.select(F.col("key").alias("a"), beside.alias("beside")).select("a", F.explode("beside").alias("b"))), "tried")
     links = written(verified(tried, of, similarity), "verified")
-    # What buckets with several classes leave: all pairs across classes of small ones; in others, each text outside the largest class with that class's centre.
+    # What buckets with several classes leave: all pairs across classes, of small ones as rows and of others by blocks.
     roots = components(links)
-    rooted = written(member.select(*bucket, "key", "n", "degree").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root"), "rooted")
-    sizes = rooted.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("degree", "key"))["key"].alias("rep"))
-    split = sizes.groupBy(*bucket).agg(F.max(F.struct("size", "class", "rep")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(*bucket, F.col("top.class").alias("largest"), F.col("top.rep").alias("rep"))
+    rooted = written(member.select(*bucket, "key", "n", "bytes").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root"), "rooted")
+    sizes = rooted.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy(*bucket).agg(F.max(F.struct("size", "class")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(*bucket, F.col("top.class").alias("largest"))
     left = written(rooted.join(split, bucket), "left")
     few = left.filter(F.col("n") <= SMALL)
     other = few.select(*bucket, F.col("key").alias("b"), F.col("class").alias("class_b"))
-    new = few.join(other, bucket).filter("key < b and class != class_b").select(F.col("key").alias("a"), "b").unionByName(left.filter((F.col("n") > SMALL) & (F.col("class") != F.col("largest"))).select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    new = few.join(other, bucket).filter("key < b and class != class_b").select(F.col("key").alias("a"), "b")
     new = ordered(new).join(tried, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(verified(new, of, similarity)))
+    wide = across(left.filter(F.col("n") > SMALL), of, similarity)
+    roots = components(links.select("a", "b").unionByName(verified(new, of, similarity).select("a", "b")).unionByName(wide))
     return roots.select(F.col("node").alias("key"), F.col("root").alias("class")).unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("class")).distinct()), key
 
 

@@ -148,6 +148,32 @@ def test_near_duplicates(spark):
     assert bagminhash.grouped(df.limit(0)).count() == 0 and bagminhash.filtered(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """Pairs at 0.8 to 0.9 in a family of hundreds of texts at 0.6 to 0.7, so that their buckets are large and few neighbours are links."""
+    base = [f"{w}{i}" for i, w in enumerate(prose(31, 300).split())]
+    texts = []
+    for k in range(300):
+        r = random.Random(k)
+        common = [(p, f"c{k}x{p}") for p in r.sample(range(5, 295), 3)]
+        for side in "ab":
+            words = list(base)
+            for p, w in [*common, *[(p, f"{side}{k}x{p}") for p in r.sample(range(5, 295), 3)]]:
+                words[p] = w
+            texts.append(" ".join(words))
+    random.Random(9).shuffle(texts)
+    want = near_classes(texts)
+    assert 200 < len(set(want)) < 500
+    got = {r.doc_id: r.class_id for r in bagminhash.grouped(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_overlaps_of_blocks(monkeypatch):
+    monkeypatch.setattr(bagminhash, "WIDE", 7)
+    bags = bagminhash.bags([(t or "").encode() for t in [*TEXTS[:9], "a b c d e " * 9, "a b c d e " * 5 + "f"]])
+    got = bagminhash.overlaps(bags, bags[2:])
+    assert all(abs(got[i, j] - bagminhash.overlap(a, b)) < 1e-9 for i, a in enumerate(bags) for j, b in enumerate(bags[2:]))
+
+
 def test_signatures_estimate_the_weighted_similarity():
     r = np.random.default_rng(0)
     shingles = r.integers(0, 2**63, 300).astype(np.uint64)
