@@ -2,7 +2,8 @@
 
 Each rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns estimates
 for each rule how it votes on good and on bad documents, and the share of good ones; a document's posterior probability
-of being good then decides, in place of a demand that all rules pass.
+of being good then decides, in place of a demand that all rules pass. Rules in ALONE reject by a bad vote of their own:
+abusive prose has the shape of good prose, so no other rule's vote speaks against it.
 
 Null text counts as empty. Empty tables give empty results. Repeated rows each get their own row. Rules that never vote
 leave the posterior at the prior. Whole texts are read, whatever their length.
@@ -11,6 +12,8 @@ leave the posterior at the prior. Whole texts are read, whatever their length.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import texts, with_columns, written
 
-FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long"}
+FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long", "n_abusive": "long", "n_abusive_stems": "long"}
 
 #: Rule: (numerator, denominator, good at or below, bad at or above). Between the two bounds, or where the denominator is 0, it abstains.
 RULES = {
@@ -29,8 +32,28 @@ RULES = {
     "unended_lines": ("n_unended", "n_lines", 0.3, 0.8),
     "short_words": ("n_words", "word_chars", 0.34, 0.6),
     "long_words": ("word_chars", "n_words", 9.0, 16.0),
+    "abusive_words": ("n_abusive", "n_words", 0.0, 0.003),
+    "abusive_stems": ("n_abusive_stems", "n_words", 0.006, 0.012),
 }
 
+#: Rules whose bad vote rejects a document whatever the others say.
+ALONE = ("abusive_words", "abusive_stems")
+
+#: The first ten stand in toxic documents of sf0.1's labels and in no more than one other; the rest are their plurals and like words of the four languages.
+ABUSIVE = frozenset(
+    "idiot moron stupid pathetic worthless disgusting trash scum clown loser "
+    "idiots morons losers clowns imbecile imbeciles retard retarded bastard bastards asshole assholes "
+    "imbécile imbéciles connard connards salaud abruti idiote idiotes "
+    "vollidiot abschaum arschloch idioten schwachkopf "
+    "idiota idiotas imbécil imbéciles estúpido estúpida gilipollas pendejo".split()
+)
+#: Stems of toxic wording are fitted on so many labelled documents at most, the first by the hash of their ids: starts of 3 to 8 letters that stand in at
+#: least FEWEST documents at a rate of one of RATES, with this share of toxic ones among these. At most MOST of them are used.
+LABELLED, FEWEST, RATES, PURE, MOST = 20_000, 5, (0.006, 0.012), 0.9, 2_000
+#: Bytes of words are letters and bytes beyond ASCII; upper case to lower, all others to a space.
+PLAIN = bytes(c | 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
+ABUSIVE_BYTES = frozenset(w.encode() for w in ABUSIVE)
+
 #: Where expectation-maximisation starts: how often a rule that doesn't abstain votes bad on a good and on a bad document.
 BAD_VOTES = {True: 0.01, False: 0.3}
 
@@ -41,7 +64,7 @@ KINDS = bytes(ord("#" if c in SYMBOLS else " " if c in WHITE_AND_TAILS[:6] else
 
 
 def features(text: bytes) -> tuple[int, ...]:
-    """The counts named in FEATURES, of one whole text. n_unplain: words without a letter or with a symbol; n_unended: lines that end in no sentence mark."""
+    """The counts named in FEATURES but the last two, of one whole text. n_unplain: words without a letter or with a symbol; n_unended: lines that end in no sentence mark."""
     words = text.split()
     n = len(words)
     seen: set[bytes] = set()
@@ -65,9 +88,46 @@ def features(text: bytes) -> tuple[int, ...]:
     return n, len(text.translate(None, WHITE_AND_TAILS)), len(text) - len(text.translate(None, SYMBOLS)), n_dup, n_repeat, n_lines, n_unplain, n_unended
 
 
-def with_features(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+def stem_pattern(stems: list[bytes]) -> re.Pattern | None:
+    return re.compile(b" (?:" + b"|".join(re.escape(x) for x in stems) + b")") if stems else None
+
+
+def abusive(text: bytes, stems: re.Pattern | None = None) -> tuple[int, int]:
+    """How many words of a text are abusive, and how many start with one of the stems, without regard to ASCII case and marks around them."""
+    plain = text.translate(PLAIN)
+    words = plain.split()
+    found = 0 if ABUSIVE_BYTES.isdisjoint(words) else sum([w in ABUSIVE_BYTES for w in words])
+    return found, len(stems.findall(b" " + plain)) if stems else 0
+
+
+def toxic_stems(docs: DataFrame, labels: DataFrame | None, text: str = "text") -> list[bytes]:
+    """Starts of words that set toxic documents apart, from the labels (doc_id, toxic) of at most LABELLED documents."""
+    if labels is None:
+        return []
+    some = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    known = docs.select("doc_id", text).join(F.broadcast(some), "doc_id").select("toxic", text)
+
+    def run(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for toxic, x in zip(batch.column(0).to_pylist(), texts(batch, text)):
+                words = x.translate(PLAIN).decode("utf-8", "replace").split()
+                starts = Counter([w[:k] for w in words for k in range(3, min(8, len(w)) + 1)])
+                for j, rate in enumerate(RATES):
+                    seen.update([(s, j, toxic) for s, n in starts.items() if n > 1 and n >= rate * len(words)])
+            made = list(seen.items())
+            yield pa.RecordBatch.from_arrays([pa.array([m[0][0] for m in made], pa.string()), pa.array([m[0][1] for m in made], pa.int32()), pa.array([m[1] * (m[0][2] > 0) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], names=["stem", "j", "toxic", "n"])
+
+    counts = known.mapInArrow(run, "stem string, j int, toxic long, n long").groupBy("stem", "j").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    pure = counts.filter((F.col("toxic") >= FEWEST) & (F.col("toxic") >= PURE * F.col("n"))).groupBy("stem").agg(F.max("toxic").alias("toxic"))
+    found = {r.stem for r in pure.orderBy(F.desc("toxic"), "stem").limit(MOST).collect()}
+    return sorted(s.encode() for s in found if not any(s[:k] in found for k in range(3, len(s))))
+
+
+def with_features(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None, stems: list[bytes] | None = None) -> DataFrame:
     def count(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = [features(x) for x in texts(batch, text)]
+        pattern = stem_pattern(stems or [])
+        rows = [(*features(x), *abusive(x, pattern)) for x in texts(batch, text)]
         return {f"{prefix}{name}": [r[i] for r in rows] for i, name in enumerate(FEATURES)}
 
     return with_columns(docs, count, {f"{prefix}{n}": t for n, t in FEATURES.items()}, keep)
@@ -120,18 +180,24 @@ def judged(df: DataFrame, post: dict[str, float], votes_col: str, prefix: str =
     """Adds quality (posterior of good), base_failed and kept."""
     look_up = F.create_map(*[F.lit(x) for p in post.items() for x in p]) if post else F.lit(None).cast("map<string,double>")
     n = F.col(f"{prefix}n_words")
+    alone = F.lit(False)
+    for j, name in enumerate(RULES):
+        if name in ALONE:
+            alone = alone | (F.substring(votes_col, j + 1, 1) == "-")
     failed = (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
-    return df.withColumns({f"{prefix}quality": look_up[F.col(votes_col)], f"{prefix}base_failed": failed}).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}quality") >= 0.5))
+    return df.withColumns({f"{prefix}quality": look_up[F.col(votes_col)], f"{prefix}base_failed": failed}).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}quality") >= 0.5) & ~alone)
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, votes, quality, base_failed and kept of every row of docs (doc_id, text)."""
-    scored = written(with_features(docs.select("doc_id", "text"), keep=["doc_id"]).withColumn("votes", votes()), "quality")
+def assess(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, the counts, votes, quality, base_failed and kept of every row of docs (doc_id, text). labels (doc_id, toxic) are for the stems of toxic wording."""
+    stems = toxic_stems(docs, labels)
+    scored = written(with_features(docs.select("doc_id", "text"), keep=["doc_id"], stems=stems).withColumn("votes", votes()), "quality")
     return judged(scored, verdicts(scored), "votes")
 
 
-def filtered(docs: DataFrame) -> DataFrame:
+def filtered(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns. Texts are read twice: to fit, and to decide."""
-    fitted = verdicts(with_features(docs.select("text"), keep=[]).select(votes().alias("votes")))
+    stems = toxic_stems(docs, labels)
+    fitted = verdicts(with_features(docs.select("text"), keep=[], stems=stems).select(votes().alias("votes")))
     p = "__quality_"
-    return judged(with_features(docs, prefix=p).withColumn(f"{p}votes", votes(p)), fitted, f"{p}votes", p).filter(f"{p}kept").select(*docs.columns)
+    return judged(with_features(docs, prefix=p, stems=stems).withColumn(f"{p}votes", votes(p)), fitted, f"{p}votes", p).filter(f"{p}kept").select(*docs.columns)

@@ -20,7 +20,7 @@ def query(fn):
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm import quality
 
-    return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
 
 
 @query

@@ -52,6 +52,27 @@ def test_quality_keeps_clean_documents_and_rejects_rough_ones(spark):
     assert quality.fit({}) == {}
 
 
+def test_quality_rejects_abusive_prose(spark):
+    """Abusive words in texts of good shape reject on their own; a single one in a long text doesn't."""
+    clean = [prose(i, 100) for i in range(60)]
+    abusive = [prose(i, 50) + " You IDIOT, " + prose(i + 1, 50) + " such scum!" for i in range(200, 210)]
+    df = documents(spark, [*clean, *abusive, prose(300, 600) + " trash " + prose(301, 600), prose(302, 100) + " idiotic trashcan"])
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    assert all(got[i].kept for i in [*range(60), 70, 71]) and not any(got[i].kept for i in range(60, 70))
+    assert got[60].n_abusive == 2 and not got[60].base_failed
+    assert {r.doc_id for r in quality.filtered(df).collect()} == {*range(60), 70, 71}
+
+
+def test_toxic_stems_come_from_labels(spark):
+    toxic = [" ".join(w if i % 20 else f"vequ{w}" for i, w in enumerate(prose(k, 100).split())) for k in range(400, 412)]
+    df = documents(spark, [*[prose(i, 100) for i in range(60)], *toxic])
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in [*range(30), *range(60, 68)]], "doc_id long, toxic int")
+    assert quality.toxic_stems(df, labels) == [b"veq"] and quality.toxic_stems(df, None) == []
+    got = {r.doc_id: r.kept for r in quality.assess(df, labels).collect()}
+    assert [got[i] for i in range(72)] == [True] * 60 + [False] * 12
+    assert {r.doc_id for r in quality.filtered(df, labels).collect()} == set(range(60))
+
+
 def brute_hits(texts, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
