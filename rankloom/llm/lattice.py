@@ -5,8 +5,7 @@ pieces. Piece scores are log probabilities of one piece after another; a word's
 by a forward recursion in log space, and a document's is the product over its words and its end.
 
 The vocabulary gives the pieces and first scores (by their order). Scores are then re-estimated by expectation-maximisation:
-rounds over the FREQUENT most frequent words, which the driver holds, and a last round over all training words on the
-executors. Words of all texts are counted with one pass; each distinct word's lattice is computed once, not once a token.
+each of the ROUNDS goes over all words of training rows, on the executors. Words of all texts are counted with one pass; each distinct word's lattice is computed once, not once a token.
 
 To score documents, the FREQUENT words (a fixed bound) travel to the workers as a table; all other words of a document
 are joined with the table of words, so there is no limit on the vocabulary.
@@ -29,7 +28,7 @@ from rankloom.llm.common import texts, with_columns, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 200_000
-ROUNDS = 2
+ROUNDS = 3
 HELD = 1 << 20
 SPACE = "▁".encode()
 LN10 = math.log(10)
@@ -153,18 +152,17 @@ def most_frequent(words: DataFrame, at_most: int) -> list[tuple[bytes, int]]:
     return [] if lowest is None else sorted(((bytes(r.word), r.c) for r in words.filter(step >= lowest).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def re_estimated(words: DataFrame, frequent: list, pieces: list[bytes], n_docs: int, rounds: int = ROUNDS) -> tuple[list[float], float]:
-    """Piece and end scores after `rounds` rounds over the frequent words and one over all words that training rows have."""
+def re_estimated(words: DataFrame, pieces: list[bytes], n_docs: int, rounds: int = ROUNDS) -> tuple[list[float], float]:
+    """Piece and end scores after `rounds` rounds over all words that training rows have."""
     order = [1.0 / (k + 10) for k in range(len(pieces))]
-    scores = [math.log(p / sum(order)) for p in order]
-    if not n_docs:
-        return scores, math.log(0.05)
-    for _ in range(rounds):
-        lattice, into = Lattice(pieces, scores), [0.0] * len(pieces)
-        for word, c in frequent:
-            if c:
-                lattice.expected(word, c, into)
-        scores, _ = scores_of(into, n_docs)
+    scores, end = [math.log(p / sum(order)) for p in order], math.log(0.05)
+    for _ in range(rounds if n_docs else 0):
+        scores, end = scores_of(uses(words, pieces, scores), n_docs)
+    return scores, end
+
+
+def uses(words: DataFrame, pieces: list[bytes], scores: list[float]) -> list[float]:
+    """Expected number of uses of each piece in all words that training rows have."""
     shared = words.sparkSession.sparkContext.broadcast((pieces, scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +176,8 @@ def re_estimated(words: DataFrame, frequent: list, pieces: list[bytes], n_docs:
     into = [0.0] * len(pieces)
     for r in words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
         into[r.piece] = round(r.uses, 6)  # sums of partitions in any order
-    return scores_of(into, n_docs)
+    shared.unpersist()
+    return into
 
 
 def score(docs: DataFrame, path: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
@@ -190,7 +189,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, frequent: int = FREQUENT) ->
     total, distinct = (seen or 0) + n_docs, (distinct or 0) + (n_docs > 0)
     top = most_frequent(words, frequent)
     pieces = vocabulary(path)
-    scores, end = re_estimated(words, [w for w in top if w[1]][: frequent // 4], pieces, n_docs)
+    scores, end = re_estimated(words, pieces, n_docs)
     shared = spark.sparkContext.broadcast((pieces, scores))
     floor = math.log10(total + distinct + 1) if total else 0.0
 

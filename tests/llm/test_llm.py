@@ -329,6 +329,27 @@ def test_lattice_scores(spark):
     assert lattice.score(df.limit(0)).count() == 0
 
 
+def test_lattice_rounds_go_over_all_training_words(spark):
+    """Scores are those of three rounds over all training words, however few words travel as a table."""
+    texts = [*TEXTS[:8], "gamma gamma delta unseen", "zeta held out words"]
+    held = [i >= 8 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "doc_id long, text string, held_out boolean")
+    words, n_docs = Counter(w for t in texts[:8] for w in (t or "").encode().lower().split()), 8
+    pieces = lattice.vocabulary()
+    first = [1.0 / (k + 10) for k in range(len(pieces))]
+    scores = [math.log(p / sum(first)) for p in first]
+    for _ in range(3):
+        tree, into = lattice.Lattice(pieces, scores), [0.0] * len(pieces)
+        for w, c in words.items():
+            tree.expected(w, c, into)
+        scores, end = lattice.scores_of(into, n_docs)
+    tree = lattice.Lattice(pieces, scores)
+    for frequent in (200_000, 4):
+        got = {r.doc_id: r.score for r in lattice.score(df, frequent=frequent).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == pytest.approx((sum(tree.forward(w) for w in (t or "").encode().lower().split()) + end) / math.log(10), abs=1e-4)
+
+
 def test_main_text():
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Title</h1><p>First &amp; <b>bold</b>\n text.<p>Second<script>var p="</p>"</script> one.</article><div id="comments"><p>I agree with all of this, very much so indeed.</p></div><footer>&copy; me</footer>'
     assert html_text.main_text(page) == "Title\nFirst & bold text.\nSecond one."
