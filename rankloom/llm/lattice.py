@@ -7,11 +7,13 @@ by a forward recursion in log space, and a document's is the product over its wo
 The vocabulary gives the pieces and first scores (by their order). Scores are then re-estimated by expectation-maximisation:
 each of the ROUNDS goes over all words of training rows, on the executors. Words of all texts are counted with one pass; each distinct word's lattice is computed once, not once a token.
 
-To score documents, the FREQUENT words (a fixed bound) travel to the workers as a table; all other words of a document
-are joined with the table of words, so there is no limit on the vocabulary.
+To score documents, the FREQUENT most frequent words of at most SHORT bytes (a fixed bound) travel to the workers as a table
+that saves the join; all other words of a document are joined with the table of words, so there is no limit on the
+vocabulary. The table has no part in training, and scores do not depend on its size.
 
 Null text counts as empty: its only token is the end. Without training rows every count is 0 and pieces keep their first
-scores. Repeated rows are scored each on its own. Words of any length are covered: bytes without a piece have one each.
+scores. Repeated rows are scored each on its own, empty tables give empty results, and columns other than doc_id, text and
+held_out are not read. Words of any length are covered: bytes without a piece have one each.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ FREQUENT = 200_000
 ROUNDS = 3
 HELD = 1 << 20
 SPACE = "▁".encode()
+#: Words of at most SHORT bytes are scored side by side, up to BATCH of them.
+SHORT, BATCH = 64, 10_000
 LN10 = math.log(10)
 
 
@@ -46,69 +51,122 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
 
 
 class Lattice:
-    """Pieces with natural log scores as a tree of bytes; key -1 of a node holds the piece's (score, number)."""
+    """Pieces with natural log scores as a tree of bytes: `step` leads from a node's row and a byte to the next node, `piece` has what ends there.
+
+    Words of at most SHORT bytes go through their lattices side by side, a place and a length of pieces at a time; longer
+    ones one by one, with memory for two numbers a byte. Both are the same recursion."""
 
     def __init__(self, pieces: list[bytes], scores: list[float]):
-        self.root: dict = {}
-        for k, (piece, score) in enumerate(zip(pieces, scores)):
-            node = self.root
+        children: list[dict[int, int]] = [{}]
+        ends: dict[int, int] = {}
+        for k, piece in enumerate(pieces):
+            node = 0
             for b in piece:
-                node = node.setdefault(b, {})
-            node[-1] = (score, k)
-
-    def forward(self, word: bytes) -> float:
-        """Log of the sum over all segmentations of a word after its space mark."""
-        word, root = SPACE + word, self.root
-        n = len(word)
-        terms: list[list[float]] = [[] for _ in range(n + 1)]
-        terms[0].append(0.0)
-        for i in range(n):
-            at = logsum(terms[i])
-            node = root
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                if -1 in node:
-                    terms[j + 1].append(at + node[-1][0])
-            terms[i] = None
-        return logsum(terms[n])
-
-    def expected(self, word: bytes, times: float, into: list[float]) -> None:
-        """Adds the expected number of uses of each piece in `times` such words."""
-        word, root = SPACE + word, self.root
-        n = len(word)
-        terms: list[list[float]] = [[] for _ in range(n + 1)]
-        terms[0].append(0.0)
-        alpha, edges = [0.0] * (n + 1), []
+                if b not in children[node]:
+                    children[node][b] = len(children)
+                    children.append({})
+                node = children[node][b]
+            ends[node] = k
+        inner = [n for n, c in enumerate(children) if c]
+        self.row = np.zeros(len(children), dtype=np.int64)
+        self.row[inner] = np.arange(1, len(inner) + 1) * 256
+        self.step = np.full((len(inner) + 1) * 256, -1, dtype=np.int32)
+        for n in inner:
+            self.step[self.row[n] + np.fromiter(children[n], np.int64)] = np.fromiter(children[n].values(), np.int32)
+        self.piece = np.full(len(children), -1, dtype=np.int32)
+        self.piece[np.fromiter(ends, np.int64)] = np.fromiter(ends.values(), np.int32)
+        self.score = np.array(scores, dtype=np.float64)
+        self.children, self.ends, self.scores = children, ends, list(scores)
+
+    def edges(self, word: bytes, i: int) -> Iterator[tuple[int, int]]:
+        """End and number of each piece that starts at place i."""
+        node = 0
+        for j in range(i, len(word)):
+            node = self.children[node].get(word[j])
+            if node is None:
+                return
+            if node in self.ends:
+                yield j + 1, self.ends[node]
+
+    def _long(self, word: bytes, times: float | None = None, into: np.ndarray | None = None) -> float:
+        word, scores = SPACE + word, self.scores
+        n, minus = len(word), -math.inf
+        alpha = [minus] * (n + 1)
+        alpha[0] = 0.0
         for i in range(n):
-            alpha[i] = logsum(terms[i])
-            node = root
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                if -1 in node:
-                    score, k = node[-1]
-                    terms[j + 1].append(alpha[i] + score)
-                    edges.append((i, j + 1, score, k))
-        total = logsum(terms[n])
-        back: list[list[float]] = [[] for _ in range(n + 1)]
-        back[n].append(0.0)
-        beta = [0.0] * (n + 1)
-        for i, j, score, k in reversed(edges):
-            if back[j] is not None:  # all edges out of j are done
-                beta[j] = logsum(back[j])
-                back[j] = None
-            back[i].append(score + beta[j])
-            into[k] += times * math.exp(alpha[i] + score + beta[j] - total)
-
-
-def logsum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    most = max(terms)
-    return most + math.log(sum([math.exp(t - most) for t in terms]))
+            for j, k in self.edges(word, i):
+                alpha[j] = added(alpha[j], alpha[i] + scores[k])
+        if into is not None:
+            beta = [minus] * (n + 1)
+            beta[n] = 0.0
+            for i in range(n - 1, -1, -1):
+                for j, k in self.edges(word, i):
+                    beta[i] = added(beta[i], scores[k] + beta[j])
+                    into[k] += times * math.exp(alpha[i] + scores[k] + beta[j] - alpha[n])
+        return alpha[n]
+
+    def _side_by_side(self, words: list[bytes], times: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
+        sizes = np.array([len(w) for w in words], dtype=np.int64) + len(SPACE)
+        order = np.argsort(-sizes, kind="stable")
+        n = sizes[order]
+        data = np.frombuffer(b"".join([SPACE + words[i] + b"\0" for i in order]), dtype=np.uint8)
+        begin = np.cumsum(n + 1) - n - 1
+        alpha = np.full(len(data), -np.inf)
+        alpha[begin] = 0.0
+        steps = []
+        for i in range(int(n[0])):
+            here = begin[: np.searchsorted(-n, -i, side="left")] + i  # the words that are longer than i come first
+            left, node, size = n[: len(here)] - i, np.zeros(len(here), dtype=np.int32), 0
+            while len(here):
+                node = self.step[self.row[node] + data[here + size]]
+                size += 1
+                stay = np.flatnonzero(node >= 0)
+                here, left, node = here[stay], left[stay], node[stay]
+                piece = self.piece[node]
+                has = np.flatnonzero(piece >= 0)
+                start, piece = here[has], piece[has]
+                end = start + size  # of one place and size, so no end comes twice
+                alpha[end] = np.logaddexp(alpha[end], alpha[start] + self.score[piece])
+                if into is not None:
+                    steps.append((start, end, piece))
+                stay = np.flatnonzero(left > size)
+                here, left, node = here[stay], left[stay], node[stay]
+        total = alpha[begin + n]
+        if into is not None:
+            word = np.repeat(np.arange(len(n)), n + 1)
+            beta = np.full(len(data), -np.inf)
+            beta[begin + n] = 0.0
+            weigh = times[order]
+            for start, end, piece in reversed(steps):
+                rest = self.score[piece] + beta[end]
+                beta[start] = np.logaddexp(beta[start], rest)
+                of = word[start]
+                into += np.bincount(piece, weigh[of] * np.exp(alpha[start] + rest - total[of]), minlength=len(into))
+        out = np.empty(len(words))
+        out[order] = total
+        return out
+
+    def forward(self, words: list[bytes], times: list[float] | None = None, into: np.ndarray | None = None) -> np.ndarray:
+        """Log of the sum over all segmentations of each word after its space mark. Where `into` is given, adds to it the expected
+        number of uses of each piece in `times` such words."""
+        out = np.empty(len(words))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        weights = None if times is None else np.array(times, dtype=np.float64)
+        for at in range(0, len(short), BATCH):
+            part = short[at : at + BATCH]
+            out[part] = self._side_by_side([words[i] for i in part], None if weights is None else weights[part], into)
+        if len(short) < len(words):
+            for i, w in enumerate(words):
+                if len(w) > SHORT:
+                    out[i] = self._long(w, None if times is None else times[i], into)
+        return out
+
+
+def added(a: float, b: float) -> float:
+    """Log of the sum of two numbers given by their logs."""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a))
 
 
 def scores_of(counts: list[float], ends: float) -> tuple[list[float], float]:
@@ -142,8 +200,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(words: DataFrame, at_most: int) -> list[tuple[bytes, int]]:
-    """(word, c) of the most frequent words: those above the lowest frequency, in steps of an eighth of an octave, that leaves at most `at_most`."""
+    """(word, c) of the most frequent words of at most SHORT bytes: those above the lowest frequency, in steps of an eighth of an octave, that leaves at most `at_most`."""
     step = F.floor(F.log2("n") * 8)
+    words = words.filter(F.octet_length("word") <= SHORT)
     left, lowest = at_most, None
     for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         if (left := left - r[1]) < 0:
@@ -166,12 +225,11 @@ def uses(words: DataFrame, pieces: list[bytes], scores: list[float]) -> list[flo
     shared = words.sparkSession.sparkContext.broadcast((pieces, scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into = Lattice(*shared.value), [0.0] * len(shared.value[0])
+        lattice, into = Lattice(*shared.value), np.zeros(len(shared.value[0]))
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.expected(word, c, into)
-        used = [k for k, v in enumerate(into) if v]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([into[k] for k in used], pa.float64())], names=["piece", "uses"])
+            lattice.forward(batch.column(0).to_pylist(), batch.column(1).to_pylist(), into)
+        used = np.flatnonzero(into)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(into[used])], names=["piece", "uses"])
 
     into = [0.0] * len(pieces)
     for r in words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
@@ -196,11 +254,11 @@ def score(docs: DataFrame, path: str = VOCABULARY, frequent: int = FREQUENT) ->
     def lattices(batch: pa.RecordBatch, made: list = []) -> dict[str, list]:  # noqa: B006  one tree for each worker
         if not made or made[0] is not shared:
             made[:] = [shared, Lattice(*shared.value)]
-        return {"lp": [made[1].forward(w) / LN10 for w in batch.column(0).to_pylist()]}
+        return {"lp": (made[1].forward(batch.column(0).to_pylist()) / LN10).tolist()}
 
     table = written(with_columns(words.select("word", "c"), lattices, {"lp": "double"}), "lattice")
-    lattice = Lattice(pieces, scores)
-    tops = spark.sparkContext.broadcast({w: (c, lattice.forward(w) / LN10) for w, c in top})
+    logs = (Lattice(pieces, scores).forward([w for w, _ in top]) / LN10).tolist()
+    tops = spark.sparkContext.broadcast({w: (c, lp) for (w, c), lp in zip(top, logs)})
     end_base, end_score = math.log10(n_docs + 1) - floor, end / LN10
 
     def sums(batch: pa.RecordBatch) -> dict[str, list]:

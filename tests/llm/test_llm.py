@@ -290,7 +290,7 @@ def test_code_lengths_are_exact():
         assert languages.code_lengths([text])[0][0] == pytest.approx(want, rel=1e-5)
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     pieces = ["▁a".encode(), "▁".encode(), b"a", b"b", b"ab", b"bab", *[bytes([x]) for x in range(256) if bytes([x]) not in (b"a", b"b")]]
     scores = [math.log((k % 5 + 1) / 700) for k in range(len(pieces))]
     net, table = lattice.Lattice(pieces, scores), dict(zip(pieces, scores))
@@ -298,14 +298,15 @@ def test_lattice_sums_all_segmentations():
     def all_cuts(w):
         return [[w]] * (w in table) + [[w[:k], *rest] for k in range(1, len(w)) if w[:k] in table for rest in all_cuts(w[k:])]
 
-    for word in (b"", b"a", b"ab", b"abab", "é".encode()):
-        cuts = all_cuts(lattice.SPACE + word)
-        assert net.forward(word) == pytest.approx(math.log(sum(math.exp(sum(table[p] for p in c)) for c in cuts)))
-        uses = [0.0] * len(pieces)
-        net.expected(word, 2, uses)
-        weights = [math.exp(sum(table[p] for p in c) - net.forward(word)) for c in cuts]
+    words = [b"", b"a", b"ab", b"abab", "é".encode(), b"ab"]
+    cuts = [all_cuts(lattice.SPACE + word) for word in words]
+    logs = [math.log(sum(math.exp(sum(table[p] for p in c)) for c in cs)) for cs in cuts]
+    for short in (64, 1):  # all words side by side, and longer ones one by one
+        monkeypatch.setattr(lattice, "SHORT", short)
+        uses = np.zeros(len(pieces))
+        assert net.forward(words, [2, 3, 1, 1, 5, 4], uses) == pytest.approx(logs) and net.forward(words) == pytest.approx(logs)
         for k, p in enumerate(pieces):
-            assert uses[k] == pytest.approx(2 * sum(w * c.count(p) for w, c in zip(weights, cuts)), abs=1e-9)
+            assert uses[k] == pytest.approx(sum(t * math.exp(sum(table[q] for q in c) - log) * c.count(p) for t, cs, log in zip([2, 3, 1, 1, 5, 4], cuts, logs) for c in cs), abs=1e-9)
 
 
 def test_lattice_scores(spark):
@@ -339,15 +340,14 @@ def test_lattice_rounds_go_over_all_training_words(spark):
     first = [1.0 / (k + 10) for k in range(len(pieces))]
     scores = [math.log(p / sum(first)) for p in first]
     for _ in range(3):
-        tree, into = lattice.Lattice(pieces, scores), [0.0] * len(pieces)
-        for w, c in words.items():
-            tree.expected(w, c, into)
-        scores, end = lattice.scores_of(into, n_docs)
+        into = np.zeros(len(pieces))
+        lattice.Lattice(pieces, scores).forward(list(words), list(words.values()), into)
+        scores, end = lattice.scores_of(into.tolist(), n_docs)
     tree = lattice.Lattice(pieces, scores)
     for frequent in (200_000, 4):
         got = {r.doc_id: r.score for r in lattice.score(df, frequent=frequent).collect()}
         for i, t in enumerate(texts):
-            assert got[i] == pytest.approx((sum(tree.forward(w) for w in (t or "").encode().lower().split()) + end) / math.log(10), abs=1e-4)
+            assert got[i] == pytest.approx((sum(tree.forward((t or "").encode().lower().split())) + end) / math.log(10), abs=1e-4)
 
 
 def test_main_text():
