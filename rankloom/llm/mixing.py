@@ -1,14 +1,17 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 6).
 
-Sources get weights, which share out the words of the mix up to a bound for each source. Golden-ratio points, mapped
-through the cumulative shares, say which source a slot of the schedule takes from; slots are ranked within their source;
-the slot of rank r takes block r of the source's shuffled stream. A stream is the source's documents in the order of a
-hash, repeated `passes` times and cut into blocks of BLOCK words, so a document's share of a block is an overlap of
-intervals. Slots beyond a source's target are left out, and slots that the points owe it are added at the end, so every
-source ends within one word of its target.
+Sources get weights, which share out the words of the mix up to a bound for each source. The schedule has a slot for every
+BLOCK words of the mix. Golden-ratio points, mapped through the cumulative shares, say which source a slot takes from; slots
+are ranked within their source; the slot of rank r takes block r of the source's shuffled stream: its documents in the order
+of a hash, repeated `passes` times and cut into blocks of BLOCK words. A slot's words are thus parts of a few documents, and
+what is taken of a document is what slots take. The points alone decide how many slots a source gets; their discrepancy is
+that of a few slots, so a source ends within a few blocks of its target. Blocks beyond the stream's end are short or empty,
+so no document is taken more than `passes` times.
 
 Null text has size 0 and null is a source of its own, the last. Sources of size 0 have target 0. Repeated rows are taken
-each on its own. An empty table gives an empty mix. Nothing depends on how rows are partitioned, so reruns agree.
+each on its own; equal hashes tie in any order, which moves words between rows of the same id and size only. An empty table
+gives an empty mix. Columns other than doc_id, source and text are not read. Nothing depends on how rows are partitioned,
+so reruns agree. Windows over sources hold one row a source; ranks are counted by chunk of CHUNK slots.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import running_total, texts, with_columns, written
 
-BLOCK = 256
+BLOCK = 32
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
 CELLS = 1024
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: 2 ** 32 divided by the golden ratio, as an odd integer: t * STEP mod 2 ** 32 are the golden-ratio points.
 STEP = 2654435769
 
@@ -65,30 +68,36 @@ def schedule(mix: DataFrame, block: int = BLOCK) -> DataFrame:
     """slot, s and rank (the block of s's stream that the slot takes), for sources as `targets` gives them.
 
     Points meet shares in CELLS equal cells, an equi-join that needs no broadcast; ranks come from counts by chunk of slots."""
-    spark = mix.sparkSession
     words = mix.agg(F.sum("goal")).first()[0] or 0
-    slots = spark.range(math.ceil(words / block)).select(F.col("id").alias("slot"), ((F.col("id") % (1 << 31) * STEP % (1 << 32)) / float(1 << 32)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    slots = mix.sparkSession.range(math.ceil(words / block)).select(F.col("id").alias("slot"), ((F.col("id") % (1 << 31) * STEP % (1 << 32)) / float(1 << 32)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     shares = mix.filter("goal > 0").select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least(F.col("hi"), F.lit(1 - 1e-12)) * CELLS))).alias("cell"))
     placed = slots.join(shares, "cell").filter("u >= lo and u < hi").select("slot", "s", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("s", "chunk").count().select("s", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1).join(starts, ["s", "chunk"]).select("slot", "s", (F.col("start") + F.col("at")).alias("rank"))
-    quota = mix.filter("goal > 0").select("s", F.ceil(F.col("goal") / block).alias("quota"))
-    kept = ranked.join(quota, "s").filter("rank < quota").select("slot", "s", "rank")
-    made = kept.groupBy("s").agg(F.count(F.lit(1)).alias("made"))
-    owed = quota.join(made, "s", "left").withColumn("made", F.coalesce("made", F.lit(0))).filter("made < quota").select("s", F.explode(F.sequence(F.col("made"), F.col("quota") - 1)).alias("rank"))
-    return kept.unionByName(owed.select((F.row_number().over(Window.orderBy("rank", "s")) - 1 + math.ceil(words / block)).cast("long").alias("slot"), "s", "rank"))
+    return placed.withColumn("at", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1).join(starts, ["s", "chunk"]).select("slot", "s", (F.col("start") + F.col("at")).alias("rank"))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, passes: int = PASSES) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words of the row that the mix takes, repeats counted) of every row."""
+def streams(docs: DataFrame, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """(the rows of docs as `sized` gives them, with their source's number, size and target and their place `pos` in its stream; the sources)."""
     rows = sized(docs)
     mix = written(targets(rows, passes=passes), "targets")
-    rows = rows.join(mix.select(F.col("source").alias("of"), "s", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = written(running_total(rows, "s", "ord", "size", "pos", width=60), "placed")
-    begin = F.col("pass") * F.col("source_size") + F.col("pos")
-    pieces = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("goal"))).filter("begin < end")
-    pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
-    part = F.least(F.col("end"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)
-    took = pieces.select("row", "s", "rank", part.alias("part")).join(schedule(mix, block), ["s", "rank"]).groupBy("row").agg(F.sum("part").alias("took"))
+    rows = rows.join(mix.select(F.col("source").alias("of"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return written(running_total(rows, "s", "ord", "size", "pos", width=60), "placed"), mix
+
+
+def slotted(placed: DataFrame, mix: DataFrame, block: int = BLOCK, passes: int = PASSES) -> DataFrame:
+    """The mix itself: slot, s, row, doc_id, begin and end, the words (from 0) of the row that the slot takes. In the order of slot
+    and, within it, of `place` (of its first word in the source's stream), the rows are the mixed corpus."""
+    start = F.col("pass") * F.col("source_size") + F.col("pos")
+    pieces = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("start", start)
+    pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    first, last = F.greatest(F.col("start"), F.col("rank") * block), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block)
+    pieces = pieces.select("row", "doc_id", "s", "rank", first.alias("place"), (first - F.col("start")).alias("begin"), (last - F.col("start")).alias("end"))
+    return pieces.join(schedule(mix, block), ["s", "rank"]).select("slot", "s", "place", "row", "doc_id", "begin", "end")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, passes: int = PASSES) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words of the row that the mix takes, repeats counted) of every row."""
+    placed, mix = streams(docs, passes)
+    took = slotted(placed, mix, block, passes).groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("took"))
     return placed.join(took, "row", "left").select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("took", F.lit(0)).cast("long").alias("taken"))

@@ -49,13 +49,19 @@ levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) OVER (ORDER BY bound / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY bound / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goals AS (
-  SELECT *, least(bound, w * (SELECT arg_min(level, bound / w * 1e6 + s) FROM levels WHERE bound / w >= level - 1e-9)) AS target FROM levels),
+  SELECT *, floor(target + 1e-6) AS goal FROM (
+    SELECT *, least(bound, w * (SELECT arg_min(level, bound / w * 1e6 + s) FROM levels WHERE bound / w >= level - 1e-9)) AS target FROM levels)),
+shares AS (
+  SELECT *, sum(goal) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / greatest(sum(goal) OVER (), 1) AS hi,
+    coalesce(sum(goal) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(goal) OVER (), 1) AS lo FROM goals),
+points AS (SELECT (slot % 2147483648 * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS u FROM range((SELECT ceil(coalesce(sum(goal), 0) / 32)::BIGINT FROM goals)) r(slot)),
+slots AS (SELECT s, 32 * count(u) AS words FROM shares LEFT JOIN points ON u >= lo AND u < hi GROUP BY s),
 placed AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 1e-6) AS goal,
+  SELECT d.doc_id, d.size, g.source_size, g.target, w.words,
     coalesce(sum(d.size) OVER (PARTITION BY g.s ORDER BY ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), 1, 15))::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source JOIN slots w ON w.s = g.s)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (greatest(0, least(pos + size, goal) - pos) + greatest(0, least(source_size + pos + size, goal) - source_size - pos))::BIGINT AS taken
+  (greatest(0, least(pos + size, words) - pos) + greatest(0, least(source_size + pos + size, words) - source_size - pos))::BIGINT AS taken
 FROM placed
 """
 
