@@ -43,8 +43,8 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def with_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], new: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (default all) and those that fn computes of each Arrow batch. new: name to Spark type."""
-    keep = df.columns if keep is None else keep
+    """df's columns `keep` (default all) and those that fn computes of each Arrow batch, which replace any of the same name. new: name to Spark type."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items()])
     kinds = {n: ARROW[t] for n, t in new.items()}
 

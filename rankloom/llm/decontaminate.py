@@ -1,15 +1,18 @@
 """Benchmark decontamination by suffix arrays of the training shards (operator 7).
 
 A shard is a run of document rows of about SHARD_WORDS words. Its suffix array orders the places where a benchmark item's
-window could start by the ten words that follow; every suffix of every test item is binary-searched in it, which gives
-the range of its verbatim occurrences and their places, and from the neighbours of that range its longest match.
+window could start by the ten words that follow; every suffix of every test item is binary-searched in it, which gives the
+range of its verbatim occurrences and their places. Occurrences of following windows at following places are one match, so
+a match is as long as the texts agree; where no window occurs, the neighbours of a suffix's place give its longest match.
 
 Words that no item has are one code that ends every match, so codes stay small and several fit one 64-bit sort key.
-Items are few beside the documents; they come to the driver in blocks of at most BLOCK_BYTES of text, one pass over
-the documents a block, so a broadcast never exceeds that bound.
+Items are few beside the documents; they come to the driver in blocks of about BLOCK_BYTES of text (an item is never split),
+and an index takes about 15 bytes for each of these. With several blocks there is one pass over the documents a block, each
+written before the next index is sent, so one index at a time is alive.
 
 Null and empty texts have no words and no hits; items without a word match nothing. Items that share an id count once,
-items without an id make hits but are not listed. Repeated documents each get their own row. No row is dropped.
+items without an id make hits but are not listed. Repeated documents each get their own row. No row is dropped. Empty
+tables give no rows, or no hits. Texts of any length are read in slices. A column of docs with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -22,53 +25,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import texts
+from rankloom.llm.common import texts, written
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+SLICE = 4 << 20
+PAIRS = 1 << 20
 
 #: A-Z to a-z; other ASCII than letters and digits to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+MATCHES = "array<struct<item:{0},start:int,item_start:int,words:int>>"
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+def words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about SLICE bytes."""
+    text, at = text.translate(FOLD), 0
+    while at < len(text):
+        to = text.find(b" ", at + SLICE)
+        yield text[at : to if to >= 0 else len(text)].split()
+        at = to if to >= 0 else len(text)
 
 
 class Suffixes:
-    """The suffixes of a block of items, packed as sort keys, to search for in shards."""
+    """The suffixes of a block of items, packed as sort keys, to search for in shards. q numbers them, item by item."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.ids: dict[bytes, int] = {}
         self.item_ids = [i for i, _ in items]
-        tokens = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)] for _, t in items]
+        tokens = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for ws in words(t) for w in ws], dtype=np.int64) for _, t in items]
         self.bits = max(1, len(self.ids).bit_length())
         self.per_key = 63 // self.bits
         self.n_keys = -(-WINDOW // self.per_key)
-        rows, lengths, owner, whole = [], [], [], []
-        for k, t in enumerate(tokens):
-            for p in range(len(t)):
-                rows.append(t[p : p + WINDOW] + [0] * max(0, WINDOW - len(t) + p))
-                lengths.append(min(WINDOW, len(t) - p))
-                owner.append(k)
-                whole.append(len(t) - p >= WINDOW or p == 0)  # it is a window, not only a tail
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, WINDOW)
-        self.lengths, self.owner, self.whole = np.array(lengths, dtype=np.int64), np.array(owner, dtype=np.int64), np.array(whole, dtype=bool)
-        self.low = self.pack(self.rows.T)
-        top = np.where(np.arange(WINDOW) < self.lengths[:, None], self.rows, (1 << self.bits) - 1)
-        self.high = self.pack(top.T)
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        gap = np.zeros(WINDOW, dtype=np.int64)
+        self.flat = np.concatenate([x for t in tokens for x in (t, gap)] or [gap])
+        self.owner = np.repeat(np.arange(len(tokens)), sizes)
+        self.base = np.cumsum(sizes) - sizes  # q of an item's first suffix
+        place = np.arange(sizes.sum()) - self.base[self.owner]
+        self.at = np.arange(sizes.sum()) + WINDOW * self.owner
+        rest = sizes[self.owner] - place
+        self.lengths = np.minimum(WINDOW, rest)
+        self.whole = (rest >= WINDOW) | (place == 0)  # it is a window, not only a tail
+        self.low = self.pack(self.flat, self.at)
+        self.high = self.pack(self.flat, self.at, (1 << self.bits) - 1)
         self.starts = np.zeros(len(self.ids) + 1, dtype=bool)
-        self.starts[self.rows[:, 0]] = True
-        self.starts[0] = False
+        self.starts[self.flat[self.at]] = True
 
-    def pack(self, columns: np.ndarray) -> list[np.ndarray]:
-        """WINDOW columns of codes as n_keys columns that sort alike."""
+    def pack(self, codes: np.ndarray, at: np.ndarray, over: int = 0) -> list[np.ndarray]:
+        """The WINDOW codes from each of the places as n_keys columns that sort alike; what lies beyond an item's end counts as `over`."""
         keys = []
         for k in range(self.n_keys):
-            key = np.zeros(columns.shape[1], dtype=np.int64)
+            key = np.zeros(len(at), dtype=np.int64)
             for j in range(k * self.per_key, (k + 1) * self.per_key):
-                key = (key << self.bits) | (columns[j] if j < WINDOW else 0)
+                code = codes[at + j] if j < WINDOW else 0
+                if over and j < WINDOW:
+                    code = np.where(j < self.lengths, code, over)
+                key = (key << self.bits) | code
             keys.append(key)
         return keys
 
@@ -91,85 +104,121 @@ def search(keys: list[np.ndarray], sought: list[np.ndarray], right: bool) -> np.
     return lo
 
 
-def match(shard: list[bytes], test: Suffixes) -> list[tuple[int, np.ndarray, set[int], int]]:
-    """For each text of a shard: its number of words, the places of hit words, the numbers of the items found, and the longest
-    match, in words up to WINDOW, of any test suffix within it."""
+def paired(test: Suffixes, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, q) of all occurrences of windows, for whole items at a time and about PAIRS of them."""
+    q = np.flatnonzero((last > first) & test.whole)
+    times = last[q] - first[q]
+    at = 0
+    total = np.cumsum(times)
+    while at < len(q):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)))
+        while to < len(q) and test.owner[q[to]] == test.owner[q[to - 1]]:
+            to += 1
+        n = times[at:to]
+        of = np.repeat(np.arange(at, to), n)
+        yield places[first[q[of]] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], q[of]
+        at = to
+
+
+def match(shard: list[bytes], test: Suffixes) -> list[tuple[int, np.ndarray, list[tuple[int, int, int, int]], int]]:
+    """For each text of a shard: its number of words, the places of hit words, the matches of windows as (item number, first word in
+    the text, first word in the item, words), and the words of the longest match of any test suffix."""
     get = test.ids.get
-    coded = [[get(w, 0) for w in words(t)] for t in shard]
-    sizes = np.array([len(c) for c in coded], dtype=np.int64)
+    parts, sizes = [], []
+    for t in shard:
+        coded = [np.array([get(w, 0) for w in ws], dtype=np.int64) for ws in words(t)]
+        sizes.append(sum(map(len, coded)))
+        parts += [*coded, np.zeros(1, np.int64)]  # a 0 after each text ends its matches
+    sizes = np.array(sizes, dtype=np.int64)
+    codes = np.concatenate([*parts, np.zeros(WINDOW, np.int64)])
+    del parts
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
-    codes = np.zeros(int(ends[-1]) + WINDOW, dtype=np.int64)  # a 0 after each text ends its matches
-    for c, b in zip(coded, begins):
-        codes[b : b + len(c)] = c
-    del coded
     places = np.flatnonzero(test.starts[codes])
     hit = np.zeros(len(codes), dtype=bool)
-    found: list[set[int]] = [set() for _ in shard]
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in shard]
     longest = np.zeros(len(shard), dtype=np.int64)
-    if len(places) and len(test.rows):
-        keys = test.pack(np.stack([codes[places + j] for j in range(WINDOW)]))
+    if len(places) and len(test.at):
+        keys = test.pack(codes, places)
         order = np.lexsort(keys[::-1])
         keys, places = [k[order] for k in keys], places[order]  # the suffix array of this shard
         first, last = search(keys, test.low, False), search(keys, test.high, True)
-        for q in np.flatnonzero((last > first) & test.whole):
-            at, n = places[first[q] : last[q]], test.lengths[q]
-            hit[(at[:, None] + np.arange(n)).ravel()] = True
-            for d in np.unique(np.searchsorted(ends, at, side="right")):
-                found[d].add(int(test.owner[q]))
-        # The longest match of a suffix is that with one of the neighbours of its place in the order.
+        for at, q in paired(test, places, first, last):
+            # Windows that follow each other in both texts are one match.
+            order = np.lexsort((at, at - q, test.owner[q]))
+            at, q = at[order], q[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(q) != 1) | (np.diff(test.owner[q]) != 0)]))
+            start, n = at[new], np.diff(np.append(new, len(at))) - 1 + test.lengths[q[new]]
+            doc = np.searchsorted(ends, start, side="right")
+            np.maximum.at(longest, doc, n)
+            edges = np.zeros(len(codes) + 1, dtype=np.int64)
+            np.add.at(edges, start, 1)
+            np.add.at(edges, start + n, -1)
+            hit |= np.cumsum(edges[:-1]) > 0
+            item = test.owner[q[new]]
+            for d, *m in zip(doc.tolist(), item.tolist(), (start - begins[doc]).tolist(), (q[new] - test.base[item]).tolist(), n.tolist()):
+                found[d].append(tuple(m))
+        # The longest match of a suffix that is no match of a window is that with one of the neighbours of its place in the order.
         for side in (first - 1, first):
             ok = (side >= 0) & (side < len(places))
             at = places[np.clip(side, 0, len(places) - 1)]
-            same = np.stack([codes[at + j] == test.rows[:, j] for j in range(WINDOW)]) & (test.rows.T > 0)
-            shared = np.cumprod(same, axis=0).sum(axis=0) * ok
+            shared, same = np.zeros(len(at), dtype=np.int64), ok
+            for j in range(WINDOW):
+                code = test.flat[test.at + j]
+                same = same & (codes[at + j] == code) & (code > 0)
+                shared += same
             np.maximum.at(longest, np.searchsorted(ends, at, side="right"), shared)
     return [(int(n), np.flatnonzero(hit[b : b + n]), f, int(m)) for b, n, f, m in zip(begins, sizes, found, longest)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs' columns `keep` (default all) with n_words, n_hit, items (distinct ids of the items found) and longest (words of the
-    longest verbatim match found beside a test suffix, up to WINDOW)."""
-    keep = docs.columns if keep is None else keep
+    """docs' columns `keep` (default all) with n_words, n_hit, items (distinct ids of the items found), longest (words of the longest
+    verbatim match with an item) and matches (item, place of the first word in the text and in the item, and words of each match that
+    holds a window)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items", "longest", "matches")]
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     kind = benchmark.schema[item_id].dataType
-    made = T.StructType([T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(kind)), ("longest", T.LongType()), ("_hits", T.ArrayType(T.IntegerType())))])
+    places = T._parse_datatype_string(MATCHES.format(kind.simpleString()))
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    out, before = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in made if f.name in ("_hits", "items", "longest")}), [c for c in docs.columns if c in keep or c == text]
-    out = out.select(*before, F.col("items").alias("__items"), F.col("longest").alias("__longest"), F.col("_hits").alias("__hits"))
+    carried = T.StructType([T.StructField("__longest", T.LongType()), T.StructField("__matches", places), T.StructField("__hits", T.ArrayType(T.IntegerType()))])
+    told = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(kind)), T.StructField("longest", T.LongType()), T.StructField("matches", places)])
+    before = list(dict.fromkeys([*keep, text]))
+    out = docs.select(*before, *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
     for b in range(blocks):
         last = b == blocks - 1
         items = sorted({(r.i, (r.t or "").encode()) for r in rows.filter(F.col("b") == b).collect()}, key=str)
         index = docs.sparkSession.sparkContext.broadcast(Suffixes(items))
         stay = keep if last else before
-        names = ["n_words", "n_hit", "items", "longest", "_hits"] if last else ["__items", "__longest", "__hits"]
-        by_name = {f.name: f for f in made}
-        schema = T.StructType([docs.schema[c] for c in stay] + ([by_name[n] for n in names[:4]] if last else [T.StructField(n, by_name[m].dataType) for n, m in zip(names, ("items", "longest", "_hits"))]))
+        schema = T.StructType([docs.schema[c] for c in stay] + list(told if last else carried))
 
         def run(batches: Iterator[pa.RecordBatch], index=index, last=last, stay=stay, schema=schema) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            test, into, held, n = index.value, to_arrow_schema(schema), [], 0
+            test, into = index.value, to_arrow_schema(schema)
             take = lambda batch, c: batch.column(batch.schema.get_field_index(c))
 
             def done(batch: pa.RecordBatch) -> pa.RecordBatch:
-                cols = {k: [] for k in ("n_words", "n_hit", "items", "longest", "_hits")}
-                earlier = zip(take(batch, "__items").to_pylist(), take(batch, "__longest").to_pylist(), take(batch, "__hits").to_pylist())
-                for (n_words, hits, found, longest), (items, most, more) in zip(match(texts(batch, text), test), earlier):
+                made = []
+                earlier = zip(*[take(batch, f.name).to_pylist() for f in carried])
+                for (n_words, hits, found, longest), (most, matches, more) in zip(match(texts(batch, text), test), earlier):
                     hits = np.union1d(hits, more or []).astype(np.int64)
-                    ids = {test.item_ids[k] for k in found} | set(items or ())
-                    for k, v in (("n_words", n_words), ("n_hit", len(hits)), ("items", sorted(ids - {None})), ("longest", max(longest, most or 0)), ("_hits", hits.tolist())):
-                        cols[k].append(v)
-                values = [cols[k] for k in (("n_words", "n_hit", "items", "longest") if last else ("items", "longest", "_hits"))]
-                arrays = [take(batch, c) for c in stay]
-                return pa.RecordBatch.from_arrays(arrays + [pa.array(v, type=into.field(len(stay) + i).type) for i, v in enumerate(values)], names=into.names)
+                    found = [(test.item_ids[k], *m) for k, *m in found] + [tuple(m.values()) for m in matches or ()]
+                    found = [dict(zip(("item", "start", "item_start", "words"), m)) for m in sorted(set(found), key=lambda m: (m[1], m[3], str(m[0]), m[2]))]
+                    longest = max(longest, most or 0)
+                    items = sorted({m["item"] for m in found} - {None})
+                    made.append((n_words, len(hits), items, longest, found) if last else (longest, found, hits.tolist()))
+                arrays = [pa.array([m[k] for m in made], type=into.field(len(stay) + k).type) for k in range(len(into) - len(stay))]
+                return pa.RecordBatch.from_arrays([take(batch, c) for c in stay] + arrays, names=into.names)
 
             for batch in batches:
                 for at in range(0, batch.num_rows, step := max(1, int(batch.num_rows * SHARD_WORDS * 6 / max(1, batch.nbytes)))):
                     yield done(batch.slice(at, step))
 
         out = out.mapInArrow(run, schema)
+        if not last:
+            out = written(out, "decontaminated")
+            index.destroy()
     return out
 
 

@@ -112,6 +112,36 @@ def test_longest_match(spark):
     assert [r.longest for r in decontaminate.find(df, bench).orderBy("doc_id").collect()] == [3, 2, 0]
 
 
+@pytest.mark.parametrize(("block", "pairs"), [(decontaminate.BLOCK_BYTES, decontaminate.PAIRS), (200, 3)])
+def test_matches_are_whole_and_placed(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    monkeypatch.setattr(decontaminate, "SLICE", 50)
+    r = random.Random(5)
+    items = [[r.choice("ab") for _ in range(r.randint(1, 40))] for _ in range(12)] + [["x"], ["y"], list("pqrstuvwxyzabcd") * 3]
+    docs = [items[-1][7:44], items[3] + ["z"] + items[4][2:30], ["x", "y", "x"], [r.choice("ab") for _ in range(80)], items[-1] * 2, []]
+
+    def brute(doc):
+        out = set()
+        for k, item in enumerate(items):
+            for i in range(len(doc)):
+                for j in range(len(item)):
+                    if doc[i] == item[j] and not (i and j and doc[i - 1] == item[j - 1]):
+                        n = 0
+                        while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                            n += 1
+                        if n >= min(10, len(item)):
+                            out.add((k, i, j, n))
+        return out
+
+    df = spark.createDataFrame([(i, " ".join(d), "old") for i, d in enumerate(docs)], "doc_id long, text string, matches string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    for row in decontaminate.find(df, bench).collect():
+        want = brute(docs[row.doc_id])
+        assert {(m.item, m.start, m.item_start, m.words) for m in row.matches} == want and len(row.matches) == len(want)
+        assert row.longest >= max([m[3] for m in want], default=0) and set(row["items"]) == {m[0] for m in want}
+
+
 def brute_repeats(texts, window):
     seen = Counter(t[p : p + window] for t in texts for p in range(len(t) - window + 1))
     out = []
