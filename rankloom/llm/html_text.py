@@ -3,11 +3,19 @@
 A page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
 known by element name, role, or a word of class or id, count for nothing. Every other node gets its characters per tag,
 adjusted for the characters and tags of links, and the sum of its children's densities. The subtree with the greatest
-sum is the content; the lowest density on its path to the body is the threshold that a node around it must reach to be
-taken along, and an enclosing article or main element is taken whole.
+sum is the content. The lowest density on its path to the body is the threshold: from the body on, every node that reaches
+it is entered, and adds the subtree with the greatest sum below it; a node that doesn't reach it adds nothing, whatever it
+holds. Where the body itself has the greatest sum, blocks of links only go. An article or main element around the greatest sum is taken whole, and then nothing else is.
 
-Null and empty pages give an empty text. Broken markup is read as browsers do in the main: open elements end with what
-holds them, an unfinished tag at the end is dropped, unknown references stay as they are. Whole pages are read.
+Words of class and id are of two kinds. Those of BESIDE name what stands beside an article's text, wherever they stand. Those
+of LAYOUT may also name a part of it (section-header, related work): within an article they count only where links make
+half of the element's text, or where the word is a whole class of BOX and the element has at most a fifth of the article's text;
+outside, not where the element has most of the page's text.
+
+Null and empty pages give an empty text, n_chars 0; empty tables give no rows. Broken markup is read as browsers do in the
+main: open elements end with what holds them, an unfinished tag at the end is dropped, unknown references stay as they are.
+Of subtrees with equal sums the denser one is chosen, then the first. Repeated pages each get their own row. Whole pages are
+read, in time linear in their length and nesting. A column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -33,44 +41,53 @@ CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr html body dd dt
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th tbody thead", "table"), "tfoot": ("tr td th tbody thead", "table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 FENCE = frozenset("table td th caption button object template html body".split())
-SKIPPED = frozenset("head script style textarea title xmp noscript iframe noframes nav footer aside form button select option input menu dialog template svg math object canvas audio video map label search".split())
+SKIPPED = frozenset("head script style textarea title xmp noscript iframe noframes nav footer aside form button select option input menu dialog template svg audio video search".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promotion related respond share sharing sidebar social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
 WHOLE = frozenset(["article", "main"])
+#: Words of classes and ids.
+BESIDE = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr modal nav navbar navigation newsletter popup sidebar sponsor sponsored sponsors subscribe subscription".split())
+LAYOUT = frozenset("banner footer header masthead menu notice notices promo promos promotion related respond share sharing social toolbar widget widgets".split())
+BOX = frozenset("banner notice notices promo promos promotion respond share sharing toolbar widget widgets".split())
+#: How far an element's names say that it is no content: not at all, perhaps, by a whole class of BOX, for sure.
+NOT_NAMED, LAYOUT_NAMED, BOX_NAMED, NAMED = range(4)
 
 
-def named_unwanted(tag: str, attributes: str) -> bool:
-    """Whether a role, or a word of a class or id, says that the element is no content."""
+def named(tag: str, attributes: str) -> int:
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return NOT_NAMED
+    found = NOT_NAMED
     for name, *values in MARK.findall(attributes):
         value = "".join(values).lower()
-        if name.lower() == "role" and SKIPPED_ROLES.intersection(value.split()):
-            return True
-        if name.lower() != "role" and SKIPPED_WORDS.intersection(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        if name.lower() == "role":
+            found = NAMED if SKIPPED_ROLES.intersection(value.split()) else found
+        elif not BESIDE.isdisjoint(parts := re.split(r"[\s_-]+", value)):
+            return NAMED
+        elif not LAYOUT.isdisjoint(parts):
+            found = max(found, LAYOUT_NAMED if BOX.isdisjoint(value.split()) else BOX_NAMED)
+    return found
 
 
 class Page:
     """The tree of a page in page order: a node's descendants follow it. events: (node, text), or (node, None) at a block's edge."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.named, self.events = ["#root"], [-1], [False], []
+        self.tag, self.parent, self.named, self.events = ["#root"], [-1], [NOT_NAMED], []
         stack, raw, at = [0], None, 0
+        opened: dict[str, list[int]] = {}  # of each name, where it stands on the stack
 
         def close(k: int) -> None:
             for node in reversed(stack[k:]):
+                opened[self.tag[node]].pop()
                 if self.tag[node] in BLOCK:
                     self.events.append((node, None))
             del stack[k:]
 
+        def innermost(tags) -> int:
+            return max([opened[t][-1] for t in tags if opened.get(t)], default=0)
+
         def close_within(tags: frozenset, fence: frozenset) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in tags:
-                    return close(k)
-                if self.tag[stack[k]] in fence:
-                    return None
+            if (k := innermost(tags)) > innermost(fence):
+                close(k)
 
         while at < len(source):
             if raw:
@@ -89,30 +106,27 @@ class Page:
                 continue
             name = name.lower()
             if ending:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        close(k)
-                        break
-                    if self.tag[stack[k]] in FENCE and name not in BLOCK:
-                        break
+                if (k := innermost([name])) and (name in BLOCK or k >= innermost(FENCE)):
+                    close(k)
                 continue
-            if name in ("html", "body") and name in (self.tag[k] for k in stack):
+            if name in ("html", "body") and opened.get(name):
                 continue
             if name in CLOSES_P:
                 close_within(frozenset(["p"]), FENCE)
             if name in ENDS:
                 close_within(*ENDS[name])
-            if name == "body" or name in BLOCK and name != "html" and "head" in (self.tag[k] for k in stack[:4]):
+            if opened.get("head") and (name == "body" or name in BLOCK and name != "html"):
                 close_within(frozenset(["head"]), frozenset(["body"]))
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.named.append(named_unwanted(name, attributes))
+            self.named.append(named(name, attributes))
             if name in BLOCK:
                 self.events.append((node, None))
             elif name == "br":
                 self.events.append((stack[-1], " "))
             if name not in VOID and not attributes.rstrip().endswith("/"):
+                opened.setdefault(name, []).append(len(stack))
                 stack.append(node)
                 raw = name if name in RAW else None
         close(1)
@@ -121,23 +135,32 @@ class Page:
     def _mark(self) -> list[bool]:
         """Which nodes count for nothing. A name does not count on what holds the article or main element with half of the text: it is a layout's."""
         n = len(self.tag)
-        within, inside, size = [False] * n, [False] * n, [0] * n
+        within, inside, article, linked = [False] * n, [False] * n, [0] * n, [t == "a" for t in self.tag]
         for k in range(1, n):
             p = self.parent[k]
+            article[k] = p if self.tag[p] == "article" else article[p]
             inside[k] = inside[p] or self.tag[p] in WHOLE
+            linked[k] |= linked[p]
             within[k] = within[p] or self.tag[k] in SKIPPED or self.tag[k] == "header" and not inside[k]
+        size, links = [0] * n, [0] * n
         for k, text in self.events:
             if text is not None and not within[k]:
                 size[k] += len(text)
+                links[k] += len(text) * linked[k]
         for k in range(n - 1, 0, -1):
             size[self.parent[k]] += size[k]
+            links[self.parent[k]] += links[k]
         holds = [False] * n
         for k in range(n - 1, 0, -1):
             if holds[k] or self.tag[k] in WHOLE and not within[k] and 2 * size[k] >= size[0]:
                 holds[self.parent[k]] = True
         marked = [False] * n
         for k in range(1, n):
-            marked[k] = marked[self.parent[k]] or within[k] or self.named[k] and not holds[k]
+            says = self.named[k]
+            if says in (LAYOUT_NAMED, BOX_NAMED):
+                small = 5 * size[k] <= size[article[k]]
+                says = 2 * links[k] >= size[k] or says == BOX_NAMED and small if article[k] else 2 * size[k] < size[0]
+            marked[k] = marked[self.parent[k]] or within[k] or bool(says) and not holds[k]
         self.size = size
         return marked
 
@@ -166,6 +189,7 @@ class Page:
                 link_tags[p] += link_tags[k] + (self.tag[k] == "a")
         body = next((k for k in range(n) if self.tag[k] == "body"), 0)
         body_links = link_chars[body] / max(1, chars[body])
+        self.links_only = [chars[k] > 0 and link_chars[k] == chars[k] for k in range(n)]
         density, total = [0.0] * n, [0.0] * n
         for k in range(n - 1, -1, -1):
             if chars[k] and not self.marked[k]:
@@ -176,42 +200,58 @@ class Page:
                 total[self.parent[k]] += density[k]
         return density, total
 
-    def content(self) -> int | None:
-        """The node that holds the main text."""
+    def content(self) -> list[int]:
+        """The nodes whose subtrees are the main text, in page order."""
+        n = len(self.tag)
         density, total = self.densities()
-        best = max(range(len(total)), key=lambda k: (total[k], density[k], -k))
+        best = max(range(n), key=lambda k: (total[k], density[k], -k))
         if not total[best] and not density[best]:
-            best = max(range(len(density)), key=lambda k: (density[k], -k))
-            if not density[best]:
-                return None if not any(t and t.strip() and not self.marked[k] for k, t in self.events) else next((k for k in range(len(self.tag)) if self.tag[k] in WHOLE and not self.marked[k]), next((k for k in range(len(self.tag)) if self.tag[k] == "body"), 0))
-        whole = [k for k in range(len(self.tag)) if self.tag[k] in WHOLE and not self.marked[k]]
+            best = next((k for k in range(n) if self.tag[k] == "body"), 0)
+        whole = [k for k in range(n) if self.tag[k] in WHOLE and not self.marked[k]]
         path = [best, *self.above(best)]
         for kind in ("article", "main"):
             if around := [k for k in path if self.tag[k] == kind]:
-                return around[-1]
+                return around[-1:]
         if whole and self.tag[best] in ("body", "html", "#root") and 2 * self.size[most := max(whole, key=lambda k: self.size[k])] >= self.size[best]:
-            return most
+            return [most]
+        if self.tag[best] in ("body", "html", "#root"):  # the page's layout itself has the greatest sum: its blocks of nothing but links go
+            for k in range(1, n):
+                self.marked[k] = self.marked[k] or self.marked[self.parent[k]] or self.tag[k] in BLOCK and self.links_only[k]
         path = path[: next((i for i, k in enumerate(path) if self.tag[k] == "body"), len(path) - 1) + 1]
         threshold = min(density[k] for k in path)
-        while self.tag[best] not in ("body", "#root") and (self.tag[best] not in BLOCK or self.tag[best] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "pre")) and density[self.parent[best]] >= threshold:
-            best = self.parent[best]
-        return best
+        # The greatest sum below each node, or its own; ties as above.
+        top = list(range(n))
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            top[p] = max(top[p], top[k], key=lambda j: (total[j], density[j], -j))
+        entered, taken = [False] * n, set()
+        for k in range(path[-1], n):
+            if (k == path[-1] or self.parent[k] >= 0 and entered[self.parent[k]]) and density[k] >= threshold and not self.marked[k]:
+                entered[k] = True
+                # A leaf of the tree has no sum; what its parent adds then holds it.
+                taken.add(top[k] if total[top[k]] else k)
+        return sorted({self.block_of(k) for k in taken})
+
+    def block_of(self, k: int) -> int:
+        """k, or the element around it that a browser sets as one block: parts of a sentence don't stand alone."""
+        while self.tag[k] not in BLOCK and self.tag[k] != "#root":
+            k = self.parent[k]
+        return k
 
     def text(self) -> str:
-        root = self.content()
-        if root is None:
-            return ""
-        end = next((k for k in range(root + 1, len(self.tag)) if self.parent[k] < root), len(self.tag))
-        blocks, parts = [], []
-        for k, piece in [*self.events, (root, None)]:
-            if root <= k < end and (piece is None or not self.marked[k]):
-                if piece is not None:
-                    parts.append(piece)
-                elif not self.marked[k] or k == root:
+        n, roots = len(self.tag), set(self.content())
+        of = [-1] * n  # the outermost root around each node
+        for k in range(n):
+            of[k] = of[self.parent[k]] if k and of[self.parent[k]] >= 0 else k if k in roots else -1
+        blocks, parts, last = [], [], -1
+        for k, piece in self.events:
+            if of[k] >= 0:
+                if piece is not None and self.marked[k]:
+                    continue
+                if of[k] != last or piece is None and (not self.marked[k] or k == of[k]):
                     blocks.append("".join(parts))
-                    parts = []
-                else:
-                    parts.append(" ")
+                    parts, last = [], of[k]
+                parts.append(" " if piece is None else piece)
         blocks.append("".join(parts))
         return "\n".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)
 

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -408,9 +410,85 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_names_within_an_article():
+    kept = '<div class="section-header"><h2>Head</h2></div><p>A paragraph of the article, long enough.</p><div class="social-history related"><p>More text</p></div>'
+    gone = '<div class="comments"><p>First!</p></div><div class="notice">Note</div><ul class="related-posts"><li><a href="x">Another</a></li></ul><div class="ad-box">Buy</div>'
+    assert html_text.main_text(f"<article>{gone}{kept}</article>") == "Head\nA paragraph of the article, long enough.\nMore text"
+    assert html_text.main_text("<p>one <label>two</label> <math>x</math></p>") == "one two x"
+
+
+def tree_densities(source):
+    """(tag, density, sum of the children's) of each element of well-formed source, straight from the definition."""
+    root, out = ElementTree.fromstring(source), []
+    size = lambda t: len("".join((t or "").split()))
+    chars = lambda e: size("".join(e.itertext()))
+    link_chars = lambda e, inside=False: chars(e) if inside or e.tag == "a" else sum(map(link_chars, e))
+    tags, links = lambda e: sum(1 for _ in e.iter()) - 1, lambda e: sum(x.tag == "a" for x in e.iter()) - (e.tag == "a")
+
+    def density(e, inside):
+        c, t, lc, lt = chars(e), max(1, tags(e)), link_chars(e, inside), max(1, links(e))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + link_chars(root) / chars(root) * c + math.e)
+        return c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 1 + 1e-9)))
+
+    def walk(e, inside):
+        inside = inside or e.tag == "a"
+        out.append((e.tag, density(e, inside), sum(density(x, inside or x.tag == "a") for x in e)))
+        for x in e:
+            walk(x, inside)
+
+    walk(root, False)
+    return out
+
+
+def random_tree(r, depth=0):
+    tag = r.choice(["div", "div", "section", "p", "a", "b"]) if depth else "body"
+    inner = "".join(r.choice([" ".join(r.choice(WORDS) for _ in range(r.randint(1, 25))), ""]) + (random_tree(r, depth + 1) if depth < 4 and tag not in ("a", "b", "p") else "") for _ in range(r.randint(1, 4)))
+    return f"<{tag}>{inner}</{tag}>"
+
+
+def test_densities_and_threshold_against_the_definition():
+    for seed in range(60):
+        source = random_tree(random.Random(seed))
+        page = html_text.Page(source)
+        density, total = page.densities()
+        want = tree_densities(source)
+        assert page.tag[1:] == [w[0] for w in want]
+        assert density[1:] == pytest.approx([w[1] for w in want]) and total[1:] == pytest.approx([w[2] for w in want])
+        order = lambda k: (total[k], density[k], -k)
+        best = max(range(len(total)), key=order)
+        children = [[j for j in range(len(total)) if page.parent[j] == k] for k in range(len(total))]
+        below = lambda k: [k, *[x for j in children[k] for x in below(j)]]
+        if not total[best] or page.tag[best] in ("body", "#root"):
+            continue
+        threshold = min(density[k] for k in [best, *page.above(best)][:-1])
+        taken = set()
+
+        def enter(k):
+            if density[k] >= threshold:
+                top = max(below(k), key=order)
+                taken.add(page.block_of(top if total[top] else k))
+                for j in children[k]:
+                    enter(j)
+
+        enter(1)
+        assert page.content() == sorted(taken) and best in {x for k in taken for x in below(k)}
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    assert html_text.main_text("<body>" + "<div>" * 100_000 + "text" + "</span></div>" * 100_000) == "text"
+    assert html_text.main_text("<p><table><td>" + "<div>" * 50_000 + "text") == "text"
+    assert time.time() - began < 20
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>héllo</p></article>"), (2, "u", None)], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df, keep=["page_id"]).collect()] == [(1, "héllo", 5), (2, "", 0)]
+    clash = df.unionByName(df).withColumns({"text": F.lit(1), "n_chars": F.lit("x")})  # repeated pages, and columns of the same names
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(clash).collect()) == [(1, "héllo", 5)] * 2 + [(2, "", 0)] * 2
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 def test_chat(spark):
