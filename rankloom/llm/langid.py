@@ -6,11 +6,18 @@ the byte was not seen there (a context with u distinct bytes escapes with weight
 longer contexts have ruled out; beyond order 0 all other bytes are equally likely. A text goes to the language whose tree
 codes it shortest; score is the posterior probability under equal priors.
 
-The training sample is bounded: about SAMPLE_BYTES of UTF-8 text for each language, whole texts chosen by a hash of the
-row's id, so a model has a fixed size however large the corpus is. Predictions read all of every text and only the text.
+The training sample is bounded: about SAMPLE_BYTES of UTF-8 text for each language, whole texts of at most that size, chosen
+by a hash of id and text, so a model has a fixed size for each language however large the corpus is. The text with the
+least hash is always in, so no labelled language is lost; where all texts of a language are longer, its shortest one is the
+sample. Predictions read all of every text and only the text.
+
+The model is the trees and a table of the code lengths of known byte sequences, of TABLE_CELLS numbers at most: with many
+languages the most frequent sequences; all others are computed from the trees, with the same result.
 
 Null text and texts without a letter get `und` with score 0. Without training rows every text gets `und`. Languages that
-tie go to the first by code point. Empty tables give empty results; repeated rows are predicted each on its own.
+tie go to the first by code point. Empty tables give empty results; repeated rows are predicted each on its own. Rows of the
+same id and text count once in training. Columns that have the name of a new one are replaced. Texts are read in steps of
+STEP bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from rankloom.llm.common import texts, with_columns
 
 ORDER = 4
 SAMPLE_BYTES = 1_000_000
+TABLE_CELLS = 1 << 25
 STEP = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +78,7 @@ class Tree:
             below = n[np.searchsorted(shorter, pairs & np.uint64((1 << 8 * k) - 1))] if len(pairs) else np.zeros(0)
             self.orders[k][3] = np.add.reduceat(below, first) if len(first) else np.zeros(0)
         self.orders[0][3] = np.zeros(len(self.orders[0][0]))
-        self.known = codes
+        self.known, self.times = codes, counts
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Code lengths of the last bytes of `codes` after their contexts."""
@@ -101,7 +109,10 @@ class Languages:
     def __init__(self, trees: dict[str, Tree]):
         self.names = sorted(trees)
         self.trees = [trees[n] for n in self.names]
-        known = np.unique(np.concatenate([t.known for t in self.trees])) if trees else np.zeros(0, np.uint64)
+        known, of = np.unique(np.concatenate([t.known for t in self.trees]), return_inverse=True) if trees else (np.zeros(0, np.uint64), None)
+        if len(known) > (most := TABLE_CELLS // (8 * max(1, len(trees)))):  # a table has up to eight places for each sequence
+            times = np.bincount(of, np.concatenate([t.times for t in self.trees]))
+            known = np.sort(known[np.lexsort((known, -times))[:most]])
         self.shift = np.uint64(64 - max(4, (4 * len(known)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.costs = np.full(size, np.uint64(2**64 - 1)), np.zeros((size, len(self.names)), dtype=np.float32)
@@ -152,12 +163,17 @@ class Languages:
 
 def train(labelled: DataFrame, text: str, lang: str, key: Column, sample_bytes: int = SAMPLE_BYTES) -> Languages:
     """Frozen trees of the labelled rows' languages. Each language's sample is gathered in one task, bounded by sample_bytes."""
-    labelled = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).filter("l is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("l").agg(F.sum(F.octet_length("t"))).collect()}
-    if not sizes:
+    labelled = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l"), key.alias("k")).filter("l is not null")
+    labelled = labelled.withColumn("h", F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30))).withColumn("n", F.octet_length("t").cast("long")).drop("k")
+    fits = F.col("n") <= sample_bytes
+    least = F.min(F.struct((~fits).alias("over"), F.when(fits, F.lit(0)).otherwise(F.col("n")).alias("n"), "h")).alias("least")
+    told = labelled.groupBy("l").agg(F.sum(F.when(fits, F.col("n"))).alias("n"), least).collect()
+    if not told:
         return Languages({})
-    limit = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1 << 30, (1 << 30) * sample_bytes // max(1, n)))])
-    sample = labelled.filter(F.col("h") < limit[F.col("l")]).select("l", "t")
+    by_lang = lambda of: F.create_map(*[F.lit(x) for r in told for x in (r.l, of(r))])[F.col("l")]
+    chosen = fits & (F.col("h") < by_lang(lambda r: min(1 << 30, (1 << 30) * sample_bytes // max(1, r.n or 0))))
+    floor = (F.col("h") == by_lang(lambda r: r.least.h)) & F.when(by_lang(lambda r: r.least.over), F.col("n") == by_lang(lambda r: r.least.n)).otherwise(fits)
+    sample = labelled.filter(chosen | floor).select("l", "h", "t").distinct().select("l", "t")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         import pickle

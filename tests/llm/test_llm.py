@@ -307,6 +307,30 @@ def test_languages(spark):
     assert {x.lang_pred for x in langid.predict(df.select("text"), none).collect()} == {"und"}
 
 
+def test_languages_keep_every_language_and_read_whole_texts(spark):
+    r = random.Random(2)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(n))
+    rows = [(i, make("abcde", 30), "aa") for i in range(200)] + [(900, make("klmno", 3000), "kk"), (901, make("klmno", 2000), "kk"), (902, make("vwxyz", 5), "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.unionByName(df), "text", "lang", F.col("doc_id"), sample_bytes=1000)
+    assert model.names == ["aa", "kk", "zz"]  # all texts of kk are longer than the sample, and zz has one of very few
+    assert model.trees[1].times.sum() == len(rows[201][1])  # the shorter one, once
+    assert sum(t.times.sum() for t in model.trees[:1]) < 3000
+    long = make("abcde", 50_000) + " " + make("klmno", 300_000)  # the end of a long text counts
+    asked = spark.createDataFrame([(0, long), (1, make("vwxyz", 20)), (1, make("vwxyz", 20))], "doc_id long, text string")
+    assert sorted((x.doc_id, x.lang_pred) for x in langid.predict(asked, model).collect()) == [(0, "kk"), (1, "zz"), (1, "zz")]
+    assert langid.predict(asked.limit(0), model).count() == 0
+
+
+def test_language_table_is_only_a_table(monkeypatch):
+    rows = [b"abracadabra" * 3, b"abba cab"]
+    make = lambda: langid.Languages({"x": langid.Tree(rows), "y": langid.Tree([b"zzz abba"])})
+    asked = [b"abrazzz cab abba", b"q", b"abracadabra" * 9]
+    want = make().code_lengths(asked)
+    monkeypatch.setattr(langid, "TABLE_CELLS", 64)
+    assert (make().keys != np.uint64(2**64 - 1)).sum() == 4 and make().code_lengths(asked) == pytest.approx(want)
+
+
 def slow_bits(rows, context, byte, order=langid.ORDER):
     """Code length by the definition: escape method C, with exclusion, from the longest known context."""
     out, ruled = 0.0, set()
