@@ -566,6 +566,44 @@ def test_patterns_find_what_the_base_misses(spark):
     assert pii.detect(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_unseen_identifiers_may_outnumber_seeds_and_support_new_patterns(spark):
+    seeds = [f"he said reach me at: +1 (234) 567-{1000 + i} soon" for i in range(10)]
+    unseen = [f"he said reach me at: 234-567-{2000 + i} soon" for i in range(40)]
+    second = [f"or try Direct line 234-567-{2000 + i} now" for i in range(12)]  # no seed ever follows this cue
+    third = ["or try direct line 987-654-3210 now", "or try direct line 1234 now"]  # and one that stands after it only
+    years = [f"he said reach me at: {1900 + i} soon" for i in range(2)]
+    other = [f"in all there were {300 + i} of them" for i in range(30)] + [f"in all there were +1 (234) 567-{3000 + i} of them" for i in range(5)]
+    texts = [*seeds, *unseen, *second, *third, *years, *other]
+    got = {x.doc_id: x.spans for x in pii.detect(documents(spark, texts)).collect()}
+    kinds = [got[i].partition(":")[0] for i in range(len(texts))]
+    assert kinds == ["phone"] * 10 + ["phone"] * 40 + ["phone"] * 12 + ["phone", ""] + [""] * 2 + [""] * 30 + ["phone"] * 5
+
+
+def test_personal_data_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PART", 50)
+    monkeypatch.setattr(pii, "MATCHES", 3)
+    r = random.Random(4)
+    piece = lambda: r.choice(["a@b.cd", "1.2.3.4", "+12 345 678 901", "é", "\U0001f600", "4111 1111 1111 1111", " 12345 ", "x", "word " * r.randint(1, 9), "\n", " me: 234-567-8901 ", f" me: +1 234 567 {r.randint(1000, 9999)} "])
+    texts = ["".join(piece() for _ in range(r.randint(1, 150))) for _ in range(40)]
+    found = {x.doc_id: x for x in pii.detect(documents(spark, texts)).collect()}
+    clean = {x.doc_id: x.text for x in pii.redacted(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert found[i].base == brute_spans(t)
+        at, out = 0, []
+        for kind, s, e in [x.split(":") for x in found[i].spans.split(",") if x]:
+            if int(s) >= at:
+                out += [t[at : int(s)], f"[{kind.upper()}]"]
+            at = max(at, int(e))
+        assert clean[i] == "".join([*out, t[at:]])
+    assert any("me: [PHONE]" in t for t in clean.values())
+
+
+def test_left_context_is_of_whole_words(spark):
+    t = "w" * 30 + " " + "v" * 250 + " call: "
+    df = spark.createDataFrame([(t, len(t)), ("one two ", 8), ("two ", 4), ("", 0)], "t string, s int").select(pii.patterns(pii.parted(F.col("t")), F.col("s")).alias("w"))
+    assert [r.w for r in df.collect()] == [["call:"], ["one two"], [], []]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
