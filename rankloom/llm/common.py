@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,22 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables: spark.checkpoint.dir. Only where that is unset (tests) a local one is made."""
+    """The cluster's folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a session of one machine (tests) gets
+    a folder of its own; on a cluster that is an error, since executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors, is computed once.
+
+    instead_of: an earlier such table that nothing but df reads; it is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if instead_of is not None:
+        dropped(instead_of)
     # The table replaces what led to it: once the driver's garbage is collected, Spark deletes those shuffle files.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rankloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what `written` wrote. Nothing may read df, or what was made of it, any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.rankloom_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -205,13 +205,13 @@ def trusted(said: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # Patterns of one instance support nothing in any round, and need not be followed.
     several = edges.groupBy("w").agg(F.count_distinct("v").alias("n")).filter(F.col("n") >= SUPPORT).select("w")
     sizes, open_ = written(sizes.join(several, "w", "left_semi"), "sizes"), written(open_.join(several, "w", "left_semi"), "open")
-    now, before = seeds, None
-    score = None
+    now, before, score, earlier = seeds, None, None, None
     for _ in range(rounds):
         per = now.groupBy("w", "kind").agg(F.sum("b").alias("b"), F.count_if(F.col("b") >= CONFIDENCE).alias("support"), F.count_if("judged").alias("judged")).filter(F.col("support") >= SUPPORT)
         wrong = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS])
         score = per.join(sizes, "w").select("w", "kind", (F.col("b") / (F.col("seeds") + F.col("judged") + wrong + 1)).alias("confidence"))
-        score = written(score.filter(F.col("confidence") >= CONFIDENCE / 2), "patterns")
+        score = written(score.filter(F.col("confidence") >= CONFIDENCE / 2), "patterns", instead_of=earlier)
+        earlier = score
         # The last one of these has what the result holds, so the loop may end at any round.
         sure = score.filter(F.col("confidence") >= CONFIDENCE)
         state = tuple(sure.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("w", "kind"))).first())

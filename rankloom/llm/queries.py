@@ -81,11 +81,11 @@ def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_snapshot_collapse"] = """
-WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 whole AS (
   SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS said,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS chat
-  FROM turns GROUP BY conv_id),
+  FROM turns GROUP BY conv_id, alone),
 one AS (SELECT said, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n_turns) AS n_turns, any_value(chat) AS chat FROM whole GROUP BY said)
 SELECT a.conv_id, a.n_turns, a.n_copies, a.chat FROM one a
 WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.said[1] = a.said[1] AND b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)

@@ -523,6 +523,53 @@ def test_chat(spark):
     assert {k: v[:2] for k, v in got.items()} == {3: (3, 2), 4: (2, 1), 6: (1, 2), 8: (1, 1)}
     assert got[4][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
     assert chat.rendered(df.limit(0)).count() == 0
+    # Rows without conv_id are conversations of one turn each; repeated rows are repeated turns; null turns come first.
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "z"), (None, 1, "user", "z"), (9, None, "user", "n"), (9, 0, "user", "m"), (9, 0, "user", "m")] + talk(1, "a", "b") + talk(2, "q") + [(None, 5, "user", "q")]
+    got = sorted((r.conv_id or 0, r.n_turns, r.n_copies, r.chat.count("user")) for r in chat.rendered(spark.createDataFrame(rows, df.schema)).collect())
+    assert got == [(0, 1, 2, 1), (1, 2, 1, 1), (2, 1, 2, 1), (9, 3, 1, 3)]
+
+
+def test_fit_is_expectation_maximisation():
+    """The posterior against a plain computation over single documents, and what it is for: it tells the two kinds apart."""
+    r = random.Random(3)
+    n = len(quality.RULES)
+    docs = ["".join("0" if r.random() < 0.2 else "-" if r.random() < (0.02 if good else 0.5) else "+" for _ in range(n)) for good in [True] * 300 + [False] * 60]
+    bad, prior, total = {c: [quality.BAD_VOTES[c]] * n for c in (True, False)}, 0.85, len(docs)
+
+    def posterior(d):
+        like = {c: math.prod(bad[c][j] if v == "-" else 1 - bad[c][j] for j, v in enumerate(d) if v != "0") for c in bad}
+        return prior * like[True] / (prior * like[True] + (1 - prior) * like[False])
+
+    post = [posterior(d) for d in docs]
+    for _ in range(200):
+        prior = min(0.99, max(0.5, sum(post) / total))
+        for c in bad:
+            for j in range(n):
+                weight = [p if c else 1 - p for p in post]
+                voted = sum(w for w, d in zip(weight, docs) if d[j] != "0")
+                against = sum(w for w, d in zip(weight, docs) if d[j] == "-")
+                bad[c][j] = (against + quality.BAD_VOTES[c] * (0.01 * total + 1)) / (voted + 0.01 * total + 1)
+        post = [posterior(d) for d in docs]
+    got = quality.fit(Counter(docs))
+    assert [got[d] for d in docs] == pytest.approx(post, abs=1e-6)
+    assert sum(got[d] >= 0.5 for d in docs[:300]) >= 290 and sum(got[d] < 0.5 for d in docs[300:]) >= 50
+    assert quality.fit({}) == {}
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    from rankloom.llm import common
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster)
+    one = common.written(spark.range(3), "one")
+    two = common.written(one.withColumn("x", F.lit(1)), "two", instead_of=one)
+    assert two.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        one.count()
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
