@@ -1,12 +1,11 @@
-"""Removal of repeated substrings over merged shard suffix tables (operator 2).
+"""Removal of repeated substrings over shards of sampled suffixes (operator 2).
 
-Every byte that a string of WINDOW bytes covers which also starts anywhere else goes. Suffixes are not sorted: as in the
-merge of Burrows-Wheeler transforms by interleave refinement, all suffixes start as one block, and each round refines
-blocks by what their suffixes read next, until a block is alone or its common prefix is long enough. A shard (an Arrow
-batch of texts) does its part of a round by itself; between shards only block names meet, as hashes, which need no order.
+Every byte that a string of WINDOW bytes covers which also starts anywhere else goes. As in a merge by interleave refinement,
+all suffixes start as one block, and each round refines blocks by what their suffixes read next, until a block is alone or
+its common prefix is long enough; a settled block takes part in no further round. It is not a merge of Burrows-Wheeler
+transforms, for which the README has figures: suffixes are sampled, and blocks have names instead of places in an order. A
+shard (an Arrow batch of texts) does its part of a round by itself; between shards only the names meet, as hashes.
 
-Refining all suffixes a byte a round would take WINDOW rounds over the whole text. So the suffixes are sampled and
-grouped, and the rounds are uneven:
   1. A window's anchor is the place of its least hashed gram of GRAM bytes. It depends on the window's content only, so
      equal windows have equal grams at equal places. Neighbouring windows with one anchor are a run. Runs are blocked by
      gram; blocks of one run end here. Runs of a block whose whole stretch of text is equal are repeated intervals.
@@ -14,11 +13,13 @@ grouped, and the rounds are uneven:
      the text that all windows of such a piece share: WINDOW - STEP + 1 bytes are then the common prefix of a block.
   3. So on with smaller steps, at last window by window.
 A block's name is a 64-bit hash of the text it shares and its place; equality is by two of them at the least (block and
-stretch). At each round one member of each kind of stretch goes on, so copies do not multiply, and hot blocks are only
-counted and joined, never gathered.
+stretch). At each round one member of each kind of stretch goes on, so copies do not multiply. A text that occurs several
+times is repeated as a whole; a shard reads it once, and for others its copies count as one. Hot blocks are only counted
+and joined, never gathered; what is gathered is at most one entry for each window of one text.
 
 Null text counts as empty and keeps nothing. Texts shorter than WINDOW keep everything. Repeated rows remove each other
-where they reach WINDOW bytes. Positions are bytes of UTF-8; what remains need not be valid UTF-8.
+where they reach WINDOW bytes. Empty tables give empty results. Positions are bytes of UTF-8; what remains need not be valid
+UTF-8. Texts of any length are read in segments. Columns with the name of a new one are replaced.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import texts, with_columns, written
+from rankloom.llm.common import dropped, texts, with_columns, written
 
 WINDOW = 400
 GRAM = 16
 STEPS = (64, 8, 1)
 SEGMENT = 1 << 21
+#: So many keys of texts a shard remembers at once.
+SEEN = 1_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 PIECE = "key binary, start int, n int, ahead int, block long, stretch long"
 
@@ -148,32 +151,48 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SEGMENT) -> Iterator[
         at = to
 
 
+def segments(text: bytes, row: np.ndarray, start: np.ndarray, n: np.ndarray, ahead: np.ndarray, step: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """`cut` of the runs of one text, by segments of it."""
+    for at in range(0, len(text), SEGMENT):
+        here = np.flatnonzero((start >= at) & (start < at + SEGMENT))
+        if len(here):
+            out = cut([text[at : at + SEGMENT + 2 * window]], row[here], start[here] - at, n[here], ahead[here], step, window)
+            yield out[0], out[1] + at, *out[2:]
+
+
 def refined(pieces: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(the pieces whose whole stretch is repeated, one piece of each stretch in blocks that have several)."""
-    kinds = written(pieces.groupBy("block", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n", "ahead")).alias("one")), "kinds")
-    again = pieces.join(kinds.filter("times > 1").select("block", "stretch"), ["block", "stretch"], "left_semi").select("key", "start", "n")
+    """(the pieces whose whole stretch is repeated, one piece of each stretch in blocks that have several). Both are written, and pieces goes."""
+    place = F.xxhash64("key", "start")
+    kinds = written(pieces.groupBy("block", "stretch").agg((F.min(place) != F.max(place)).alias("again"), F.min(F.struct("key", "start", "n", "ahead")).alias("one")), "kinds")
+    marks = written(pieces.join(kinds.filter("again").select("block", "stretch"), ["block", "stretch"], "left_semi").select("key", "start", "n"), "marks", instead_of=pieces)
     if last:
-        return again, None
+        dropped(kinds)
+        return marks, None
     mixed = kinds.groupBy("block").count().filter("count > 1").select("block")
-    return again, kinds.join(mixed, "block", "left_semi").select("one.*")
+    return marks, written(kinds.join(mixed, "block", "left_semi").select("one.*"), "left", instead_of=kinds)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key and marks (starts and lengths of runs of repeated windows) of the texts of docs (key, text) that have any."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column(0).to_pylist()
-                for columns in runs(texts(part, "text"), window):
+                rows = [b"" if k in seen or seen.add(k) else x for k, x in zip(keys, texts(part, "text"))]
+                for columns in runs(rows, window):
                     yield from as_batches(keys, columns)
+                if len(seen) > SEEN:
+                    seen.clear()
 
+    copies = docs.groupBy("key", F.octet_length("text").alias("size")).count().filter((F.col("count") > 1) & (F.col("size") >= window))
     pieces = written(docs.mapInArrow(first, PIECE), "runs")
-    shared = pieces.groupBy("block").count().filter("count > 1").select("block")
-    marks, left = refined(written(pieces.join(shared, "block", "left_semi"), "shared"))
-    left = written(left, "left")
+    place = F.xxhash64("key", "start")
+    shared = pieces.groupBy("block").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("block")
+    marks, left = refined(written(pieces.join(shared, "block", "left_semi"), "shared", instead_of=pieces))
     open_ = written(docs.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "open")
-    all_marks = [marks]
+    all_marks = [marks, copies.select("key", F.lit(0).alias("start"), (F.col("size") - window + 1).alias("n"))]
     steps = [s for s in STEPS if 2 * s <= window]
     for step in steps:
         per_text = left.groupBy("key").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"), F.collect_list("ahead").alias("ahead"))
@@ -184,13 +203,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     lists = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("start", "n", "ahead")]
                     flat = [np.array([v for x in xs for v in x], dtype=np.int64) for xs in lists]
                     row = np.repeat(np.arange(part.num_rows), [len(x) for x in lists[0]])
-                    yield from as_batches(part.column(0).to_pylist(), cut(texts(part, "text"), row, *flat, step, window))
+                    rows = texts(part, "text")
+                    for columns in segments(rows[0], row, *flat, step, window) if len(rows) == 1 else [cut(rows, row, *flat, step, window)]:
+                        yield from as_batches(part.column(0).to_pylist(), columns)
 
-        pieces = written(open_.join(per_text, "key").select("key", "text", "start", "n", "ahead").mapInArrow(further, PIECE), "pieces")
+        pieces = written(open_.join(per_text, "key").select("key", "text", "start", "n", "ahead").mapInArrow(further, PIECE), "pieces", instead_of=left)
         marks, left = refined(pieces, step == 1)
-        left = written(left, "left") if left is not None else None
         all_marks.append(marks)
-    return reduce(DataFrame.unionByName, all_marks).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("key", F.col("marks.start").alias("starts"), F.col("marks.n").alias("counts"))
+    dropped(open_)
+    return reduce(DataFrame.unionByName, all_marks).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("marks")).select("key", F.col("marks.start").alias("starts"), F.col("marks.n").alias("counts"))
 
 
 def removed(size: int, starts: list[int] | None, counts: list[int] | None, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -206,8 +227,10 @@ def removed(size: int, starts: list[int] | None, counts: list[int] | None, windo
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, bytes_out: bool = False) -> DataFrame:
     """docs' columns `keep` with n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the remaining bytes) of every row."""
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if bytes_out else {})
     keep = ["doc_id"] if keep is None else keep
-    docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    names = {c: f"__dedup_{i}" for i, c in enumerate(keep) if c not in new}
+    docs = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     marked = docs.join(repeated(docs.select("key", "text"), window), "key", "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -223,5 +246,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, keep: list[str] | None =
                 out[k].append(v)
         return out
 
-    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if bytes_out else {})
-    return with_columns(marked, run, new, keep)
+    return with_columns(marked, run, new, list(names.values())).withColumnsRenamed({n: c for c, n in names.items()})

@@ -157,17 +157,21 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [24, 100, 400])
-def test_repeated_substrings(spark, window):
+@pytest.mark.parametrize(("window", "segment"), [(24, 1 << 21), (100, 1 << 21), (400, 1 << 21), (100, 700)])
+def test_repeated_substrings(spark, monkeypatch, window, segment):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    monkeypatch.setattr(suffix_dedup, "SEEN", 3 if segment < 1000 else 1000)
     r = random.Random(5)
     shared = prose(9, 90)
     texts = [*TEXTS, prose(11, 40) + shared + prose(12, 40), prose(13, 10) + shared + prose(14, 3), shared[:450], shared[:450] + "!", "a" * 900, "ab" * 300, "é" * 260, "".join(r.choice("ab") for _ in range(600))]
-    texts += [texts[2][: k * 40] + "#" + texts[2][k * 40 :] for k in range(1, 6)]
+    texts += [texts[2][: k * 40] + "#" + texts[2][k * 40 :] for k in range(1, 6)] + [prose(77, 200)] * 9
     df = documents(spark, texts)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(df, window).collect()}
     want = brute_repeats([(t or "").encode() for t in texts], window)
     assert [got[i] for i in range(len(texts))] == want and sum(w[1] for w in want) > 1000
     assert suffix_dedup.deduplicated(df.limit(0), window).count() == 0
+    clash = suffix_dedup.deduplicated(df.withColumn("n_bytes", F.lit("x")), window, keep=["doc_id", "key", "n_bytes"], bytes_out=True)
+    assert clash.columns == ["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] and {x["key"] for x in clash.collect()} == {1}
 
 
 def near_classes(texts, similarity=0.8):
