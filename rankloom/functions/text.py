@@ -33,9 +33,16 @@ def clean_string(value: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def clean_text(values: pd.Series) -> pd.Series:
-    """clean_string on batches: Spark has neither the compatibility forms nor the table of character references."""
-    return values.map(clean_string)
+def _clean(values: pd.Series) -> pd.Series:
+    return values.map(clean_string, na_action="ignore")
+
+
+def clean_text(text: Column | str) -> Column:
+    """clean_string. Spark has neither the compatibility forms nor the table of character references, so texts with references,
+    tags or characters beyond ASCII go to Python in batches; all others stay on the JVM, and Python gets a null for them."""
+    col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    plain = ~col.rlike(r"[&<]|[^\x00-\x7F]")
+    return F.when(plain, F.btrim(F.regexp_replace(col, r"[\s\x0B\x1C-\x1F]+", " "))).otherwise(_clean(F.when(~plain, col)))
 
 
 def clean_ascii(text: Column | str) -> Column:

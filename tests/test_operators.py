@@ -134,13 +134,24 @@ def test_sections(spark):
     assert got[2] == {"summary": "Hi", "skills": "Python, FastAPI", "experience": "Senior Engineer at Acme\nBuilt"} and got[3] == {"summary": ""}
 
 
-def test_experience():
-    text = "Senior Engineer at Acme, Jan 2020 - Mar 2022\n- Built ranking APIs.\nEngineer at Beta, 2018 - 2019\n- Shipped data pipelines."
-    got = parse.roles_of(text, "2026-06-17")
-    assert [(r["title"], r["company"], r["duration_months"]) for r in got] == [("Senior Engineer", "Acme", 26), ("Engineer", "Beta", 12)]
-    bullets = parse.roles_of("- Backend Engineer at Acme 2020 - Present\n- Data Engineer at Beta 2018 - 2020", "2026-06-17")
-    assert [r["title"] for r in bullets] == ["Backend Engineer", "Data Engineer"]
-    assert parse.tenure("2022", "2020", "2026-06-17") is None and parse.roles_of(None, "2026-06-17") == []
+def test_experience(spark):
+    texts = {
+        "two": "Senior Engineer at Acme, Jan 2020 - Mar 2022\n- Built ranking APIs.\nEngineer at Beta, 2018 - 2019\n- Shipped data pipelines.",
+        "bullets": "- Backend Engineer at Acme 2020 - Present\n- Data Engineer at Beta 2018 - 2020",
+        "dates": "Some words first\nAnalyst, Mar 2019 - Jan 2020\nmore &amp; more",
+        "sentence": "Wrote many things. And more.",
+        "none": None,
+        "no title": "...\n. . .",
+        "listed": ".\n* First thing\n* Second thing",
+        "wrong order": "Cook at Inn, 2022 - 2020",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "id string, t string")
+    got = {r.id: [(x.title, x.company, x.duration_months) for x in r.experience_entries] for r in parse.experience(rows, "id", "t", "2026-06-17").collect()}
+    assert got["two"] == [("Senior Engineer", "Acme", 26), ("Engineer", "Beta", 12)]
+    assert got["bullets"] == [("Backend Engineer", "Acme", 77), ("Data Engineer", "Beta", 24)]
+    assert got["dates"] == [("Some words first", None, None), ("Analyst", None, 10)] and got["sentence"] == [("Wrote many things", None, None)]
+    assert got["none"] == got["no title"] == [] and got["listed"] == [("First thing", None, None), ("Second thing", None, None)]
+    assert got["wrong order"] == [("Cook", "Inn", None)] and len(got) == len(texts)
 
 
 def test_parsed_queries_and_provider(spark):
