@@ -2,62 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.functions.text import cosine, tokens_a, tokens_b
+from rankloom.functions.text import tokens_a, tokens_b
+from rankloom.operators.sizes import small
 
 K1, B = 1.5, 0.75
+#: Queries whose vectors are multiplied with all vectors in one pass.
+QUERY_BLOCK = 4096
+
+
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of a row's tokens, within the row: where runs begin in their sorted order, and how long they are."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        count = lambda first: F.transform(first, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+        return F.transform(F.array(first), count)[0]
+
+    return F.transform(F.array(F.sort_array(F.coalesce(tokens, F.array().cast("array<string>")))), runs)[0]
+
+
+def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
+    """doc_id, dl, term and tf of every pair, without a shuffle: a document is one row."""
+    found = docs.select(F.col(doc_id), F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
+    return found.select(doc_id, F.size("_tokens").alias("dl"), F.explode(term_counts(F.col("_tokens"))).alias("x")).select(doc_id, "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
+
 
+def vocabulary(docs: DataFrame, tokens: Column) -> DataFrame:
+    """term, df and cf of every term, and a row of no term whose df is the number of documents and cf their length: one pass over the corpus."""
+    found = docs.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("_tokens").cast("long").alias("tf")))
+    one = found.select(F.explode(F.concat(term_counts(F.col("_tokens")), whole)).alias("x"))
+    return one.groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("cf"))
 
-def postings(docs: DataFrame, doc_id: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, term, tf and dl of every pair. With `terms` (term) only of those, so the shuffle holds what a query can use."""
-    found = docs.select(F.col(doc_id), tokens.alias("_tokens"))
-    one = found.select(doc_id, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    if terms is not None:
-        one = one.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return one.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+def parted(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the terms, one row of n and avgdl). Both tests read the sums too, so that Spark makes the table once for both."""
+    is_term = F.when((F.col("df") > 0) & (F.col("cf") >= 0), F.col("term").isNotNull())
+    stats = vocab.filter(~is_term).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.coalesce(F.max("cf"), F.lit(0)) / F.greatest(F.coalesce(F.max("df"), F.lit(0)), F.lit(1))).alias("avgdl"))
+    return vocab.filter(is_term), stats
 
 
 def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     """One row: n (documents) and avgdl (mean length, of at least one document)."""
-    return docs.select(F.size(tokens).alias("dl")).agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+    return docs.select(F.size(F.coalesce(tokens, F.array().cast("array<string>"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
 
 
 def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def summed(docs: DataFrame, doc_id: str, tokens: Column, weights: DataFrame, few: bool, query_id: str) -> DataFrame:
+    """query_id, doc_id and score, the sum of weight * saturation over common terms. weights: query_id, term, weight, avgdl.
+
+    With few weights they go to the documents, and a document's sums are complete where its row is."""
+    parts = postings(docs, doc_id, tokens).join(F.broadcast(weights) if few else weights, "term")
+    return parts.groupBy(query_id, doc_id).agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+
+
+def is_broadcast(df: DataFrame) -> bool:
+    return small(df) is not df
+
+
 def bm25_a(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str) -> DataFrame:
-    """query_id, doc_id, score: inverse document frequencies that stay positive, each query term once.
+    """query_id, doc_id, score: inverse document frequencies that stay positive, each query term once. doc_id names a row.
 
-    Queries are the small side: their distinct terms filter the documents' tokens before anything is shuffled."""
+    The corpus is read twice: for the frequencies of terms, and for the scores. Queries' terms travel to it if they are few."""
     wanted = queries.select(query_id, F.explode(F.array_distinct(tokens_a(query_text))).alias("term"))
-    post = postings(docs, doc_id, tokens_a(text), wanted)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, tokens_a(text))
+    few = is_broadcast(wanted)
+    terms, stats = parted(vocabulary(docs, tokens_a(text)))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(stats).select("term", idf.alias("idf"), "avgdl")
-    parts = post.join(weights, "term").join(wanted, "term")
-    return parts.groupBy(query_id, doc_id).agg(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    weights = terms.join(F.broadcast(wanted) if few else wanted, "term").crossJoin(stats).select(query_id, "term", idf.alias("weight"), "avgdl")
+    return summed(docs, doc_id, tokens_a(text), weights, few, query_id)
 
 
-def okapi_idf(docs: DataFrame, tokens: Column, floor: float = 0.25) -> DataFrame:
+def okapi_idf(terms: DataFrame, stats: DataFrame, floor: float = 0.25) -> DataFrame:
     """term and idf of all terms; negative ones become `floor` times the mean of all, negatives included."""
-    one = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = one.crossJoin(n).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = terms.crossJoin(stats).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
 def bm25_b(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str) -> DataFrame:
-    """query_id, doc_id, score: Okapi with floored frequencies, query terms as often as they stand in the query."""
+    """query_id, doc_id, score: Okapi with floored frequencies, query terms as often as they stand in the query. Read as in bm25_a."""
     wanted = queries.select(query_id, F.explode(tokens_b(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    post = postings(docs, doc_id, tokens_b(text), wanted)
-    weights = okapi_idf(docs, tokens_b(text)).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").crossJoin(corpus_stats(docs, tokens_b(text)).select("avgdl"))
-    parts = post.join(weights, "term").join(wanted, "term")
-    return parts.groupBy(query_id, doc_id).agg(F.sum(F.col("times") * F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    few = is_broadcast(wanted)
+    idf = okapi_idf(*parted(vocabulary(docs, tokens_b(text))))
+    weights = idf.join(F.broadcast(wanted) if few else wanted, "term").select(query_id, "term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
+    return summed(docs, doc_id, tokens_b(text), weights, few, query_id)
 
 
 def min_max(scores: DataFrame, column: str, by: list[str] | None = None, constant: float = 0.0, out: str = "scaled", least: float = 1e-9) -> DataFrame:
@@ -89,13 +129,50 @@ def fused_order(query_id: str = "") -> list[Column]:
     return [F.desc("fused"), F.asc_nulls_last("rank_a"), F.asc_nulls_last("rank_b")]
 
 
-def knn(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, query_id: str, query_vector: str, keep: Column | None = None) -> DataFrame:
-    """query_id, vec_id, score: cosine of every vector with every query, of vectors that `keep` passes. Exact.
-
-    The queries are the stated small set: they are joined to all vectors in one pass; cut the result with top_k."""
-    base = vectors if keep is None else vectors.filter(F.coalesce(keep, F.lit(False)))
-    q = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
-    return base.select(F.col(vec_id), F.col(vector).alias("_v")).crossJoin(q).select(query_id, vec_id, cosine(F.col("_v"), F.col("_q")).alias("score"))
+def unit(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of a matrix, each divided by its norm; zero vectors stay. A null vector counts as zero."""
+    rows = vectors.to_pylist()
+    dim = max([len(r) for r in rows if r is not None], default=0)
+    out = np.array([r if r is not None else [0.0] * dim for r in rows], dtype=np.float64).reshape(len(rows), dim)
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, query_id: str, query_vector: str, k: int, keep: Column | None = None, digits: int = 9) -> DataFrame:
+    """query_id, vec_id, score: of the vectors that `keep` passes, the k with the greatest cosine for each query; ties go to the least vec_id. Exact.
+
+    The queries are the stated small side. They go in blocks of QUERY_BLOCK, a pass over the vectors for each: a matrix
+    product for each batch, of which a task keeps k a query. So a query's rows are k for each task before the last cut."""
+    base = (vectors if keep is None else vectors.filter(F.coalesce(keep, F.lit(False)))).select(vec_id, vector)
+    asked = queries.select(F.col(query_id), F.col(query_vector))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    schema = T.StructType([asked.schema[query_id], base.schema[vec_id], T.StructField("score", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((block.column(0).to_pylist(), unit(block.column(1).combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best: list[list[tuple[float, object]]] = [[] for _ in names]
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                ids, scores = batch.column(0).to_pylist(), np.round(q @ unit(batch.column(1)).T, digits)
+                at_least = np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(names), -np.inf)
+                for i, row in enumerate(scores):
+                    new = [(-float(row[j]), ids[j]) for j in np.flatnonzero(row >= at_least[i])]
+                    best[i] = sorted(best[i] + new)[:k]
+            flat = [(names[i], v, -s) for i, some in enumerate(best) for s, v in some]
+            into = pa.schema([(f.name, t) for f, t in zip(schema, (block.schema.field(0).type, base_type, pa.float64()))])
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], type=into.field(c).type) for c in range(3)], schema=into)
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        base_type = to_arrow_type(base.schema[vec_id].dataType)
+        part = base.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, query_id, [F.desc("score"), F.asc(vec_id)]).drop("rank")
 
 
 def upsert(rows: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:

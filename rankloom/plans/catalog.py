@@ -114,7 +114,7 @@ COSINE = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embeddi
 def knn_cosine(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv").filter("vec_id != query_id").withColumn("score", r6("score"))
+    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv", 11, digits=6).filter("vec_id != query_id")
     return index.top_k(found, 10, "query_id", [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
@@ -122,7 +122,7 @@ def knn_cosine(spark, sf_dir):
 def knn_filtered(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv", filters.payload_passes({"label": {"min": 2, "max": 5}})).withColumn("score", r6("score"))
+    found = index.knn(e, q, "vec_id", "embedding", "query_id", "qv", 5, filters.payload_passes({"label": {"min": 2, "max": 5}}), digits=6)
     return index.top_k(found, 5, "query_id", [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
