@@ -223,7 +223,7 @@ def across(left: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that links reach from it) of all nodes of links (a, b), by alternating large and small stars."""
-    least = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    least = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links", few=True)
     before = None
     while True:
         # Large star: a node's larger neighbours go to its least neighbour.
@@ -233,7 +233,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        least = written(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars", instead_of=least)
+        least = written(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars", instead_of=least, few=True)
         now = tuple(least.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
@@ -261,13 +261,13 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     beside = F.array_compact(F.array(centre, *[F.lag("key", j).over(side) for j in range(1, BESIDE + 1)]))
     ordered = lambda df: df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(ordered(member.select(F.col("key").alias("a"), beside.alias("beside")).select("a", F.explode("beside").alias("b"))), "tried")
-    links = written(verified(tried, of, similarity), "verified")
+    links = written(verified(tried, of, similarity), "verified", few=True)
     # What buckets with several classes leave: all pairs across classes, of small ones as rows and of others by blocks.
     roots = components(links)
     rooted = written(member.select(*bucket, "key", "n", "bytes").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root"), "rooted")
     sizes = rooted.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy(*bucket).agg(F.max(F.struct("size", "class")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(*bucket, F.col("top.class").alias("largest"))
-    left = written(rooted.join(split, bucket), "left")
+    left = written(rooted.join(split, bucket), "left", few=True)
     few = left.filter(F.col("n") <= SMALL)
     other = few.select(*bucket, F.col("key").alias("b"), F.col("class").alias("class_b"))
     new = few.join(other, bucket).filter("key < b and class != class_b").select(F.col("key").alias("a"), "b")

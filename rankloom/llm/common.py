@@ -31,13 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None, few: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors, is computed once.
 
-    instead_of: an earlier such table that nothing but df reads; it is deleted."""
+    few: df is small beside what it is made from, so it is dealt anew into as few files as its size needs (one more shuffle of it).
+    instead_of: an earlier such table that nothing but df reads; it is deleted. The codec is one without direct buffers, which
+    Java frees only when its heap fills: a job with many small tables would hold far more memory than its heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
     if instead_of is not None:
         dropped(instead_of)
     # The table replaces what led to it: once the driver's garbage is collected, Spark deletes those shuffle files.

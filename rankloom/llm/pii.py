@@ -194,7 +194,7 @@ def likely(v: Column) -> dict[str, Column]:
 
 def trusted(said: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """w (pattern), kind and confidence of the patterns that bootstrapping trusts. said: a row for each mention (kind, v, w)."""
-    edges = written(said.select("kind", F.lower("v").alias("v"), F.explode("w").alias("w")).distinct(), "edges")
+    edges = written(said.select("kind", F.lower("v").alias("v"), F.explode("w").alias("w")).distinct(), "edges", few=True)
     seeds = edges.filter("kind is not null").select("w", "v", "kind", F.lit(1.0).alias("b"), F.lit(False).alias("judged"))
     allows = likely(F.col("v"))
     asked = edges.filter("kind is null").select("w", "v", *[allows[k].alias(k) for k in KINDS])
@@ -204,13 +204,13 @@ def trusted(said: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sizes = sizes.groupBy("w").agg(F.count_if("seed").alias("seeds"), *[F.count_if(k).alias(k) for k in KINDS])
     # Patterns of one instance support nothing in any round, and need not be followed.
     several = edges.groupBy("w").agg(F.count_distinct("v").alias("n")).filter(F.col("n") >= SUPPORT).select("w")
-    sizes, open_ = written(sizes.join(several, "w", "left_semi"), "sizes"), written(open_.join(several, "w", "left_semi"), "open")
+    sizes, open_ = written(sizes.join(several, "w", "left_semi"), "sizes", few=True), written(open_.join(several, "w", "left_semi"), "open", few=True)
     now, before, score, earlier = seeds, None, None, None
     for _ in range(rounds):
         per = now.groupBy("w", "kind").agg(F.sum("b").alias("b"), F.count_if(F.col("b") >= CONFIDENCE).alias("support"), F.count_if("judged").alias("judged")).filter(F.col("support") >= SUPPORT)
         wrong = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS])
         score = per.join(sizes, "w").select("w", "kind", (F.col("b") / (F.col("seeds") + F.col("judged") + wrong + 1)).alias("confidence"))
-        score = written(score.filter(F.col("confidence") >= CONFIDENCE / 2), "patterns", instead_of=earlier)
+        score = written(score.filter(F.col("confidence") >= CONFIDENCE / 2), "patterns", instead_of=earlier, few=True)
         earlier = score
         # The last one of these has what the result holds, so the loop may end at any round.
         sure = score.filter(F.col("confidence") >= CONFIDENCE)

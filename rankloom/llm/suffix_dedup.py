@@ -37,7 +37,7 @@ from rankloom.llm.common import dropped, texts, with_columns, written
 
 WINDOW = 400
 GRAM = 16
-STEPS = (64, 8, 1)
+STEPS = (32, 1)
 SEGMENT = 1 << 20
 #: So many keys of texts a shard remembers at once.
 SEEN = 1_000_000
@@ -161,20 +161,20 @@ def segments(text: bytes, row: np.ndarray, start: np.ndarray, n: np.ndarray, ahe
 
 
 def refined(pieces: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(the pieces whose whole stretch is repeated, one piece of each stretch in blocks that have several).
+    """(the pieces whose whole stretch is repeated, one piece of each stretch in blocks that have several). pieces goes.
 
     The one of a stretch is that with the least place, so that all that is grouped are numbers."""
-    pieces = pieces.withColumn("place", F.xxhash64("key", "start"))
+    pieces_table, pieces = pieces, pieces.withColumn("place", F.xxhash64("key", "start"))
     kinds = pieces.groupBy("block", "stretch").agg(F.min("place").alias("one"), (F.min("place") != F.max("place")).alias("again"))
     if last:
         kinds = kinds.filter("again").withColumn("mixed", F.lit(False))
     else:
-        kinds = written(kinds, "kinds")
         several = kinds.groupBy("block").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-        kinds_of, kinds = kinds, kinds.join(several, "block").filter("again or mixed")
+        kinds = kinds.join(several, "block").filter("again or mixed")
     told = pieces.join(kinds, ["block", "stretch"]).select("key", "start", "n", "ahead", "again", (F.col("mixed") & (F.col("place") == F.col("one"))).alias("on")).filter("again or on")
-    told = written(told, "told", instead_of=kinds_of if not last else None)
-    return told.filter("again").select("key", "start", "n"), None if last else told.filter("on").select("key", "start", "n", "ahead").distinct()  # a text that several shards read counts once
+    told = written(told, "told", instead_of=pieces_table, few=True)
+    left = told.filter("on").select("key", "start", "n", "ahead").distinct()  # a text that several shards read counts once
+    return told.filter("again").select("key", "start", "n"), None if last else left
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,11 +193,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     copies = docs.groupBy("key", F.octet_length("text").alias("size")).count().filter((F.col("count") > 1) & (F.col("size") >= window))
     pieces = written(docs.mapInArrow(first, PIECE), "runs")
-    place = F.xxhash64("key", "start")
-    shared = pieces.groupBy("block").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("block")
-    pieces = written(pieces.join(shared, "block", "left_semi"), "shared", instead_of=pieces)
     marks, left = refined(pieces)
-    dropped(pieces)
     open_ = written(docs.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "open")
     all_marks = [marks, copies.select("key", F.lit(0).alias("start"), (F.col("size") - window + 1).alias("n"))]
     steps = [s for s in STEPS if 2 * s <= window]
@@ -216,7 +212,6 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         pieces = written(open_.join(per_text, "key").select("key", "text", "start", "n", "ahead").mapInArrow(further, PIECE), "pieces")
         marks, left = refined(pieces, step == 1)
-        dropped(pieces)
         all_marks.append(marks)
     dropped(open_)
     return reduce(DataFrame.unionByName, all_marks).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("marks")).select("key", F.col("marks.start").alias("starts"), F.col("marks.n").alias("counts"))
