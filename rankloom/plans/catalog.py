@@ -243,8 +243,9 @@ def dedup_first_seen(spark, sf_dir):
 
 @query()
 def near_duplicates(spark, sf_dir):
-    stay, gone = tables.deduplicated(read(spark, sf_dir, "benchmark").withColumn("at", F.col("item_id")), "item_id", "text", "at")
-    return gone.select("item_id", "reason").unionByName(stay.select("item_id", F.lit("stays").alias("reason")))
+    """Documents in the order of their ids: a repeated id or a text near an earlier one goes."""
+    stay, gone = tables.deduplicated(documents(spark, sf_dir).withColumn("at", F.col("doc_id")), "doc_id", "text", "at")
+    return gone.select("doc_id", "reason").unionByName(stay.select("doc_id", F.lit("stays").alias("reason")))
 
 
 # ---- parsing

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,38 @@ def test_near_duplicate_pairs_find_what_all_pairs_find(spark):
     got = {(r.a, r.b) for r in tables.near_duplicate_pairs(df, "id", "t", "n").collect()}
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] and texts[j] and token_set_ratio(texts[i], texts[j]) >= 99}
     assert got == want and want
+    # Texts of few, long tokens of which each has an edit share no token.
+    r = random.Random(8)
+    long = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (123, 200, 260)] + ["a" * 150]
+    edited = [f"{t[:2]}z{t[3:]}" for t in long] + [f"{t[:-1]}y" for t in long] + [f"x{long[0]}q {long[1]}q x{long[2]}", f"{long[0]} {long[1]} {long[2]}", long[0][::-1]]
+    texts = long + edited
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").withColumn("n", F.col("id"))
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if token_set_ratio(texts[i], texts[j]) >= 99}
+    assert {(r.a, r.b) for r in tables.near_duplicate_pairs(df, "id", "t", "n").collect()} == want and len(want) >= 10
+
+
+def test_deduplicated_is_the_greedy_pass(spark):
+    from rankloom.functions.text import token_set_ratio
+
+    r = random.Random(9)
+    base = [" ".join(r.choice(["red", "green", "blue", "gold", "pink", "grey", "teal", "lime"]) + str(r.randint(0, 30)) for _ in range(60)) for _ in range(6)]
+    texts = [*base, "", " "]
+    for _ in range(40):
+        t = r.choice(texts[:6])
+        texts.append(r.choice([t, t[:5] + "x" + t[6:], t + " more", " ".join(t.split()[:-1]), t.replace("a", "e", 1)]))
+    rows = spark.createDataFrame([(f"k{i}", t, i) for i, t in enumerate(texts)] + [("k3", "again", 99)], "id string, t string, at int")
+    stays = []
+    for i, t in enumerate(texts):
+        if not any(t.strip() and token_set_ratio(t, texts[j]) >= 99 for j in stays):
+            stays.append(i)
+    stay, gone = tables.deduplicated(rows, "id", "t", "at")
+    assert {r.id for r in stay.collect()} == {f"k{i}" for i in stays} and len(stays) < len(texts)
+    reasons = {(r.id, r.at): r.reason for r in gone.collect()}
+    assert reasons.pop(("k3", 99)) == "duplicate_id" and len(reasons) == len(texts) - len(stays)
+    for (k, _), why in reasons.items():
+        of = int(why.removeprefix("near_duplicate_of:k"))
+        assert of in stays and token_set_ratio(texts[int(k[1:])], texts[of]) >= 99
+    assert all(df.columns[:3] == rows.columns for df in (stay, gone))
 
 
 def test_rules_of_the_second_ranker(spark):
