@@ -34,8 +34,8 @@ def velocity(snapshots: Column) -> Column:
     """Skills added since the first dated snapshot, a year; of fewer than two snapshots 0; over a tenth of a year or less, the number itself."""
     dated = F.array_sort(F.filter(F.transform(snapshots, lambda x: F.struct(day(x["date"]).alias("d"), x["skills"].alias("s"))), lambda x: x["d"].isNotNull()))
     seen = F.array_distinct(F.flatten(F.transform(dated, lambda x: x["s"])))
-    added = F.size(F.array_except(seen, dated[0]["s"])).cast("double")
-    years = F.datediff(F.element_at(dated, -1)["d"], dated[0]["d"]) / 365.25
+    added = F.size(F.array_except(seen, F.get(dated, F.lit(0))["s"])).cast("double")
+    years = F.datediff(F.try_element_at(dated, F.lit(-1))["d"], F.get(dated, F.lit(0))["d"]) / 365.25
     return F.when(F.coalesce(F.size(dated), F.lit(0)) < 2, 0.0).when(years <= 0.1, added).otherwise(added / years)
 
 

@@ -95,7 +95,7 @@ def confidence(behaviour: Column) -> Column:
 def reasoning_a(title: Column, years: Column, positives: Column, negatives: Column, bm25: Column, rank: Column) -> Column:
     """One line for a ranked row of the first ranker."""
     good = F.transform(F.slice(positives, 1, 2), lambda p: _map(POSITIVE_PHRASES)[p])
-    ending = F.when(F.size(negatives) > 0, F.concat(F.lit(". Concern: "), _map(NEGATIVE_NOTES)[negatives[0]])).when((bm25 < 0.15) & (F.size(positives) == 0), THIN).when(rank <= 10, STRONG).otherwise(PARTIAL)
+    ending = F.when(F.size(negatives) > 0, F.concat(F.lit(". Concern: "), _map(NEGATIVE_NOTES)[F.get(negatives, F.lit(0))])).when((bm25 < 0.15) & (F.size(positives) == 0), THIN).when(rank <= 10, STRONG).otherwise(PARTIAL)
     return F.concat(title, F.lit(", "), fixed(years, 1), F.lit(" yrs experience"), F.when(F.size(good) > 0, F.concat(F.lit("; "), F.array_join(good, " and "))).otherwise(""), ending)
 
 

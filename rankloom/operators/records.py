@@ -120,7 +120,7 @@ def first_seen(rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFr
 def flatten_a(records: DataFrame, signals: str = "signals") -> DataFrame:
     """One flat row of features for each record, first form: employers with repeats, the current role or else the last."""
     s, h = F.col(signals), F.col("career_history")
-    current = F.coalesce(F.filter(h, lambda x: x["is_current"])[0], F.element_at(h, -1))
+    current = F.coalesce(F.get(F.filter(h, lambda x: x["is_current"]), F.lit(0)), F.try_element_at(h, F.lit(-1)))
     blank = lambda c: F.coalesce(c, F.lit(""))
     words = F.concat(F.array(blank(F.col("profile.headline")), blank(F.col("profile.summary"))), F.flatten(F.transform(h, lambda x: F.array(blank(x["title"]), blank(x["description"])))))
     text = F.array_join(words, " ")

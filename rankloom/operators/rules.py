@@ -17,7 +17,7 @@ def negatives_a() -> dict[str, Column]:
     """Of a flat row of the first form."""
     text, history = F.col("all_text_lower"), F.col("career_history")
     by_start = F.array_sort(history, lambda a, b: F.when(a["start_date"] < b["start_date"], -1).when(a["start_date"] > b["start_date"], 1).otherwise(0))
-    last = F.element_at(by_start, -1)
+    last = F.try_element_at(by_start, F.lit(-1))
     earlier = F.slice(by_start, 1, F.greatest(F.size(history) - 1, F.lit(0)))
     mean = F.aggregate(history, F.lit(0), lambda a, x: a + x["duration_months"]) / F.size(history)
     validated = (F.col("github_activity_score") > 10) | contains_any(text, V.A_OPEN_SOURCE)
@@ -91,7 +91,7 @@ def negatives_b(t: TextOf, years: Column, months: Column, employers: Column, act
     return {
         "disqualifier_pure_research": F.exists(t.titles, lambda x: contains_any(x, V.B_ACADEMIC_TITLES)) & ~t.said(V.B_PRODUCTION),
         "disqualifier_recent_ai_only": t.anywhere(V.B_LLM) & ~t.anywhere(V.B_CLASSIC) & (years < 1),
-        "disqualifier_lead_no_coding": contains_any(t.titles[0], V.B_LEAD_TITLES) & ~contains_any(t.each[0], V.B_CODING),
+        "disqualifier_lead_no_coding": contains_any(F.get(t.titles, F.lit(0)), V.B_LEAD_TITLES) & ~contains_any(F.get(t.each, F.lit(0)), V.B_CODING),
         "disqualifier_job_hopper": F.coalesce((months != 0) & (employers >= 3) & (months / F.greatest(employers, F.lit(1)) < 18), F.lit(False)),
         "disqualifier_consulting_only": (F.size(t.companies) > 0) & F.forall(t.companies, lambda c: contains_any(c, V.B_CONSULTING)),
         "disqualifier_cv_speech_robotics_only": t.anywhere(V.B_VISION_SPEECH) & ~t.anywhere(V.B_LANGUAGE),

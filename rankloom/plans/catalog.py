@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.plans import catalog_records
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,3 +662,20 @@ def results_per_query_nested(spark, sf_dir):
     top = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 5, "item_id", [F.desc("score"), F.asc("doc_id")])
     lists = top.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("l"))
     return lists.select("item_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["score"].cast("decimal(18,6)").cast("string"))), ",").alias("results"))
+
+
+# ---- nested records
+
+
+def _of_records(name: str):
+    make, sql = catalog_records.QUERIES[name]
+
+    def run(spark, sf_dir):
+        return make(documents(spark, sf_dir))
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+for _name in catalog_records.QUERIES:
+    _of_records(_name)
