@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
-from rankloom.plans import catalog_records
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
+from rankloom.plans import catalog_records
+from rankloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,13 +151,13 @@ def hash_embed(spark, sf_dir):
     return embed.sparse(items(spark, sf_dir), "item_id", embed.prepared(F.col("q_text"), embed.QUERY_PROMPT), 128)
 
 
-@query(f"WITH {HASHED}, size AS (SELECT item_id, sqrt(sum(value * value)) AS size FROM cells GROUP BY item_id) SELECT a.item_id AS item_a, b.item_id AS item_b, round(sum(a.value * b.value) / (any_value(sa.size) * any_value(sb.size)), 6) AS cosine FROM cells a JOIN cells b USING (bucket) JOIN size sa ON sa.item_id = a.item_id JOIN size sb ON sb.item_id = b.item_id WHERE a.item_id < b.item_id AND a.item_id % 20 = 0 GROUP BY ALL")
+@query(f"WITH {HASHED}, size AS (SELECT item_id, sqrt(sum(value * value)) AS size FROM cells GROUP BY item_id) SELECT a.item_id AS item_a, b.item_id AS item_b, round(sum(a.value * b.value) / (any_value(sa.size) * any_value(sb.size)), 6) AS cosine FROM cells a JOIN cells b USING (bucket) JOIN size sa ON sa.item_id = a.item_id JOIN size sb ON sb.item_id = b.item_id WHERE a.item_id <> b.item_id AND a.item_id % 20 = 0 GROUP BY ALL")
 def hash_embed_cosine(spark, sf_dir):
     cells = embed.sparse(items(spark, sf_dir), "item_id", embed.prepared(F.col("q_text"), embed.QUERY_PROMPT), 128)
     size = cells.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
     unit = cells.join(size, "item_id").select("item_id", "bucket", (F.col("value") / F.col("size")).alias("u"))
     a, b = (unit.select(F.col("item_id").alias(f"item_{k}"), "bucket", F.col("u").alias(k)) for k in "ab")
-    return a.filter("item_a % 20 = 0").join(b, "bucket").filter("item_a < item_b").groupBy("item_a", "item_b").agg(r6(F.sum(F.col("a") * F.col("b"))).alias("cosine"))
+    return a.filter("item_a % 20 = 0").join(b, "bucket").filter("item_a != item_b").groupBy("item_a", "item_b").agg(r6(F.sum(F.col("a") * F.col("b"))).alias("cosine"))
 
 
 RRF = f"""{BM25_A}, {BM25_B.replace('t AS', 't2 AS', 1).replace('dl AS', 'dl2 AS', 1).replace('st AS', 'st2 AS', 1).replace('tf AS', 'tf2 AS', 1).replace('q AS', 'q2 AS', 1).replace('FROM t GROUP', 'FROM t2 GROUP').replace('FROM dl)', 'FROM dl2)').replace('FROM tf, st', 'FROM tf2, st2').replace('q.item_id, tf.doc_id', 'q2.item_id, tf2.doc_id').replace('FROM q JOIN tf', 'FROM q2 JOIN tf2').replace('JOIN dl USING (doc_id), st GROUP', 'JOIN dl2 USING (doc_id), st2 GROUP')},
@@ -267,10 +268,8 @@ WITH s AS (SELECT conv_id, turn, text, list_filter(string_split_regex(regexp_rep
 SELECT conv_id, turn, md5(CASE WHEN len(s) > 0 THEN array_to_string(list_transform(s[1:8], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), '|') ELSE left(text, 160) END) AS picked FROM s""".replace("E'\\\\1\\n'", "'\\1' || chr(10)"))
 def responsibility_sentences(spark, sf_dir):
     """The sentence picker with words of the tables' languages for its action words."""
-    plain = lambda s: F.btrim(F.regexp_replace(s, r"\s+", " "))
-    pick = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+|;|\n"), lambda s: s.rlike(r"(?i)(^| )(the|of|la|der)( |$)")), plain)
-    chosen = F.when(F.size(pick) > 0, F.array_join(F.slice(pick, 1, 8), "|")).otherwise(F.substring("text", 1, 160))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(chosen).alias("picked"))
+    picked = parse.responsibilities(F.col("text"), lambda s: F.btrim(F.regexp_replace(s, r"\s+", " ")), r"(?i)(^| )(the|of|la|der)( |$)")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(picked, "|")).alias("picked"))
 
 
 # ---- roles, skills, graph
@@ -280,8 +279,8 @@ def roles(spark, sf_dir):
     """A customer's orders as roles: the order's priority for a title, the months to the next order for a duration."""
     o = read(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    return o.select("o_custkey", "o_orderkey", "o_orderpriority", (F.row_number().over(w) - 1).alias("i"), (month(F.lead("o_orderdate").over(w)) - month("o_orderdate")).alias("months"))
+    told = lambda c: F.date_format(c, "MMM yyyy")
+    return o.select("o_custkey", "o_orderkey", "o_orderpriority", (F.row_number().over(w) - 1).alias("i"), parse.tenure(told("o_orderdate"), told(F.lead("o_orderdate").over(w)), "2026-06-17").alias("months"))
 
 
 ROLES = "roles AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER w - 1 AS i, ((year(lead(o_orderdate) OVER w) * 12 + month(lead(o_orderdate) OVER w)) - (year(o_orderdate) * 12 + month(o_orderdate)))::INT AS months FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
@@ -292,9 +291,14 @@ def tenure_months(spark, sf_dir):
     return roles(spark, sf_dir).select("o_orderkey", "i", "months")
 
 
-@query(f"WITH {ROLES} SELECT o_custkey, count(*) AS roles, round(avg(months), 6) AS mean_months, count(*) >= 3 AND coalesce(avg(months) < 18, false) AS hopper FROM roles GROUP BY o_custkey")
+@query(f"WITH {ROLES} SELECT o_custkey, count(*) AS roles, count(*) >= 3 AND sum(coalesce(months, 0)) / count(*) < 18 AS hopper FROM roles GROUP BY o_custkey")
 def job_hopper(spark, sf_dir):
-    return roles(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("roles"), r6(F.avg("months")).alias("mean_months"), ((F.count(F.lit(1)) >= 3) & F.coalesce(F.avg("months") < 18, F.lit(False))).alias("hopper"))
+    """The first ranker's rule on a history of orders; an open role has no months yet."""
+    job = F.struct("i", F.lit("").alias("start_date"), F.coalesce("months", F.lit(0)).alias("duration_months"), F.lit("").alias("title"), F.lit("").alias("description"))
+    flat = roles(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(job)).alias("career_history"))
+    absent = {"all_text_lower": "", "current_title": "", "current_role_description": "", "github_activity_score": 0.0, "years_of_experience": 0.0, "current_role_duration_months": 0}
+    flat = flat.withColumns({k: F.lit(v) for k, v in absent.items()} | {"employers": F.array().cast("array<string>")})
+    return flat.select("o_custkey", F.size("career_history").cast("long").alias("roles"), rules.negatives_a()["job_hopper"].alias("hopper"))
 
 
 @query(f"""
@@ -331,15 +335,15 @@ def trajectory_vector(spark, sf_dir):
     return t.select("o_custkey", "role_count", "company_count", r6("avg_role_duration_months").alias("avg_months"), "skill_count")
 
 
-DISTANCE = f"""{BOUGHT}, e AS (SELECT 'c:' || o_custkey AS src, skill AS dst FROM bought WHERE o_custkey % 40 = 0 UNION SELECT skill, 'c:' || o_custkey FROM bought WHERE o_custkey % 40 = 0),
-have AS (SELECT DISTINCT dst AS s FROM e WHERE dst NOT LIKE 'c:%'), want AS (SELECT DISTINCT lower(trim(p_type)) AS s FROM part WHERE p_size = 1),
+DISTANCE = f"""{BOUGHT}, e AS (SELECT 'c:' || o_custkey AS src, skill AS dst FROM bought UNION SELECT skill, 'c:' || o_custkey FROM bought),
+have AS (SELECT DISTINCT dst AS s FROM e WHERE dst NOT LIKE 'c:%'), want AS (SELECT DISTINCT lower(trim(p_type)) AS s FROM part),
 d AS (SELECT h.s AS src, h.s AS dst, 0 AS d FROM have h JOIN want w USING (s) UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src IN (FROM have) AND b.dst IN (FROM want)),
 dist AS (SELECT src, dst, min(d)::INT AS distance FROM d GROUP BY ALL)"""
 
 
 def skill_distances(spark, sf_dir):
-    have = bought(spark, sf_dir).filter("o_custkey % 40 = 0").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"), F.col("skill").alias("dst"))
-    want = read(spark, sf_dir, "part").filter("p_size = 1").select(graph.canonical(F.col("p_type")).alias("node"))
+    have = bought(spark, sf_dir).select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"), F.col("skill").alias("dst"))
+    want = read(spark, sf_dir, "part").select(graph.canonical(F.col("p_type")).alias("node"))
     return have, graph.distances(have, have.select(F.col("dst").alias("node")), want), want
 
 
@@ -358,14 +362,13 @@ def graph_closeness(spark, sf_dir):
     return have.select("src").distinct().join(got, "src", "left").crossJoin(n).select(F.col("src").alias("who"), r6(score.closeness(3 - F.coalesce("gain", F.lit(0)) / F.col("n"), F.lit(True))).alias("closeness"))
 
 
-@query(f"WITH {BOUGHT}, want AS (SELECT p_brand, list(DISTINCT lower(trim(p_type))) AS w FROM part GROUP BY ALL), have AS (SELECT o_custkey, list(skill) AS h FROM bought WHERE o_custkey % 20 = 0 GROUP BY ALL) SELECT o_custkey, p_brand, round(len(list_intersect(h, w)) / len(list_distinct(list_concat(h, w))), 6) AS jaccard FROM have, want WHERE len(list_intersect(h, w)) > 0")
+@query(f"WITH {BOUGHT}, want AS (SELECT p_brand, list(DISTINCT lower(trim(p_type))) AS w FROM part GROUP BY ALL), have AS (SELECT o_custkey, list(skill) AS h FROM bought GROUP BY ALL) SELECT o_custkey, p_brand, round(len(list_intersect(h, w)) / len(list_distinct(list_concat(h, w))), 6) AS jaccard FROM have, want WHERE len(list_intersect(h, w)) > 0")
 def skill_jaccard(spark, sf_dir):
-    """Shared skills by an equi-join, the union from the sizes: pairs that share none never meet."""
-    have = bought(spark, sf_dir).filter("o_custkey % 20 = 0")
-    want = read(spark, sf_dir, "part").select("p_brand", graph.canonical(F.col("p_type")).alias("skill")).distinct()
-    nh, nw = have.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nh")), want.groupBy("p_brand").agg(F.count(F.lit(1)).alias("nw"))
-    both = have.join(want, "skill").groupBy("o_custkey", "p_brand").agg(F.count(F.lit(1)).alias("n")).join(nh, "o_custkey").join(nw, "p_brand")
-    return both.select("o_custkey", "p_brand", r6(F.col("n") / (F.col("nh") + F.col("nw") - F.col("n"))).alias("jaccard"))
+    """Pairs that share a skill, by an equi-join; then their sets."""
+    have = bought(spark, sf_dir).groupBy("o_custkey").agg(F.collect_list("skill").alias("mine"))
+    want = read(spark, sf_dir, "part").select("p_brand", graph.canonical(F.col("p_type")).alias("skill")).groupBy("p_brand").agg(F.collect_set("skill").alias("theirs"))
+    pairs = index.keyword_overlap(have, want, "o_custkey", "mine", "p_brand", "theirs").select("o_custkey", "p_brand")
+    return pairs.join(have, "o_custkey").join(want, "p_brand").select("o_custkey", "p_brand", r6(score.jaccard(F.col("mine"), F.col("theirs"))).alias("jaccard"))
 
 
 # ---- activity
@@ -387,7 +390,9 @@ def activity(spark, sf_dir):
 
 @query(f"WITH {ACTIVITY} SELECT user_id, round(frequency, 6) AS frequency FROM activity")
 def contribution_frequency(spark, sf_dir):
-    return activity(spark, sf_dir).select("user_id", r6("frequency").alias("frequency"))
+    event = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("double").alias("count"), F.col("event_type").alias("repo"))
+    lines = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(event).alias("timeline"))
+    return lines.select("user_id", r6(behaviour.frequency(F.col("timeline"))).alias("frequency"))
 
 
 @query("""
@@ -477,13 +482,13 @@ def rule_flags_b(spark, sf_dir):
 # ---- filters
 
 
-@query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, lower(trim(a.n_name || ', ' || ra.r_name)) AS x, string_split_regex(lower(trim(a.n_name || ', ' || ra.r_name)), '[\\s,/;]+') AS tx FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN region ra ON a.n_regionkey = ra.r_regionkey) s, (SELECT c_custkey, lower(trim(b.n_name)) AS y, string_split_regex(lower(trim(b.n_name)), '[\\s,/;]+') AS ty FROM customer JOIN nation b ON c_nationkey = b.n_nationkey WHERE c_custkey % 50 = 0) c WHERE x = y OR list_has_any(tx, ty)")
+@query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, lower(trim(a.n_name || ', ' || ra.r_name)) AS x, string_split_regex(lower(trim(a.n_name || ', ' || ra.r_name)), '[\\s,/;]+') AS tx FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN region ra ON a.n_regionkey = ra.r_regionkey) s, (SELECT c_custkey, lower(trim(b.n_name)) AS y, string_split_regex(lower(trim(b.n_name)), '[\\s,/;]+') AS ty FROM customer JOIN nation b ON c_nationkey = b.n_nationkey WHERE c_custkey % 20 = 0) c WHERE x = y OR list_has_any(tx, ty)")
 def location_filter(spark, sf_dir):
     """The filter as a mask over a candidate list; the list comes from shared tokens, so no pair is made that cannot pass."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     place = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws(", ", "n_name", "r_name").alias("place"))
     s = read(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("place").alias("x"))
-    c = read(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("y"))
+    c = read(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("y"))
     pairs = s.withColumn("t", F.explode(filters.place_tokens(F.col("x")))).join(c.withColumn("t", F.explode(filters.place_tokens(F.col("y")))), "t").select("s_suppkey", "c_custkey", "x", "y").distinct()
     return pairs.filter(filters.location_passes(F.col("x"), F.col("y"))).select("s_suppkey", "c_custkey")
 
@@ -660,8 +665,8 @@ def result_validator(spark, sf_dir):
 @query(f"WITH {BM25_A} SELECT item_id, string_agg(doc_id || ':' || score::DECIMAL(18, 6), ',' ORDER BY rank) AS results FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 5 GROUP BY item_id")
 def results_per_query_nested(spark, sf_dir):
     top = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 5, "item_id", [F.desc("score"), F.asc("doc_id")])
-    lists = top.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("l"))
-    return lists.select("item_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["score"].cast("decimal(18,6)").cast("string"))), ",").alias("results"))
+    lists = writers.per_query(top.select("item_id", "rank", "doc_id", "score"), "item_id", "rank")
+    return lists.select("item_id", F.array_join(F.transform("results", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["score"].cast("decimal(18,6)").cast("string"))), ",").alias("results"))
 
 
 # ---- nested records

@@ -123,6 +123,9 @@ def test_skill_names_and_distances(spark):
     nodes = lambda *x: spark.createDataFrame([(v,) for v in x], "node string")
     got = {(r.src, r.dst): r.distance for r in graph.distances(edges, nodes("python", "fastapi", "rust"), nodes("python")).collect()}
     assert got == {("python", "python"): 0, ("fastapi", "python"): 1}
+    line = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("d", "e")], "src string, dst string")
+    far = lambda k: {r.dst: r.distance for r in graph.distances(line, nodes("a"), nodes("a", "b", "c", "d", "e"), k).collect()}
+    assert far(2) == {"a": 0, "b": 1, "c": 2} and far(3) == {"a": 0, "b": 1, "c": 2, "d": 3}
     held = spark.createDataFrame([("candidate:1", "a"), ("candidate:1", "b")], "src string, dst string")
     assert graph.distances(held, nodes("a"), nodes("b")).first().distance == 2
     assert graph.extended_vocabulary(["pythn", "Rust", "rust lang", "Rust"])["rust"] == ["rust"]
