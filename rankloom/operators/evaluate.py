@@ -42,6 +42,26 @@ def average_precision(rows: DataFrame, judgments: DataFrame, query: str, relevan
     return total.join(summed, query, "left").select(query, F.when(F.col("n") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("value"))
 
 
+#: Parts of the composite metric.
+COMPOSITE = {"ndcg_10": 0.50, "ndcg_50": 0.30, "average_precision": 0.15, "precision_5": 0.05}
+
+
+def per_query(rows: DataFrame, judgments: DataFrame, query: str, doc: str) -> DataFrame:
+    """query, the parts of the composite metric and composite, of every judged query; one without results has 0."""
+    j = judged(rows, judgments, query, doc)
+    out = judgments.select(query).distinct()
+    parts = {"ndcg_10": ndcg_at(j, judgments, query, 10), "ndcg_50": ndcg_at(j, judgments, query, 50), "average_precision": average_precision(j, judgments, query), "precision_5": precision_at(j, query, 5), "mrr": reciprocal_rank(j, query)}
+    for name, metric in parts.items():
+        out = out.join(metric.select(query, F.col("value").alias(name)), query, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out.withColumn("composite", sum([F.col(k) * w for k, w in COMPOSITE.items()], F.lit(0.0)))
+
+
+def summary(rows: DataFrame, judgments: DataFrame, query: str, doc: str) -> DataFrame:
+    """One row: the means of per_query over all judged queries."""
+    found = per_query(rows, judgments, query, doc)
+    return found.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in found.columns if c != query])
+
+
 def compared(baseline: DataFrame, system: DataFrame, judgments: DataFrame, query: str, doc: str, k: int = 5) -> DataFrame:
     """metric_name, baseline_score, system_score, delta: means over the judged queries; a query without results counts 0."""
     asked = judgments.select(query).distinct()

@@ -120,3 +120,9 @@ def trajectories(roles: DataFrame, skills: DataFrame, entity: str, months: str,
     s = skills.groupBy(entity).agg(F.count_distinct(skill).alias("skill_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return r.join(s, entity, "full_outer").select(entity, zero("role_count"), zero("company_count"), F.coalesce("avg_role_duration_months", F.lit(0.0)).alias("avg_role_duration_months"), zero("skill_count"))
+
+
+def counts(edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges of a graph of edges (src, dst)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    return ends.agg(F.count_distinct("node").alias("nodes"), (F.count(F.lit(1)) / 2).cast("long").alias("edges"))

@@ -323,6 +323,11 @@ def graph_edges(spark, sf_dir):
     return graph.skill_edges(bought(spark, sf_dir), "o_custkey", "skill")
 
 
+@query(f"WITH {BOUGHT}, e AS (SELECT DISTINCT 'candidate:' || o_custkey AS src, 'skill:' || skill AS dst FROM bought) SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges")
+def graph_counts(spark, sf_dir):
+    return graph.counts(graph.skill_edges(bought(spark, sf_dir), "o_custkey", "skill"))
+
+
 @query("SELECT src, dst, kind, weight FROM (SELECT 'job:' || p_brand AS src, 'skill:' || lower(trim(p_type)) AS dst, CASE WHEN bool_or(p_size > 25) THEN 'PREFERS_SKILL' ELSE 'REQUIRES_SKILL' END AS kind, CASE WHEN bool_or(p_size > 25) THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM part GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY p_brand, lower(trim(p_type))"))
 def wanted_skill_edges(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_brand", graph.canonical(F.col("p_type")).alias("skill"), (F.col("p_size") > 25).alias("preferred"))
@@ -641,6 +646,13 @@ def average_precision(spark, sf_dir):
     return evaluate.average_precision(rows, judgments, "item_id").select("item_id", r6("value").alias("value"))
 
 
+@query(f"""WITH {JUDGED}, ap AS (SELECT item_id, coalesce(sum(CASE WHEN rel >= 1 THEN hits / rank END) / nullif(max(total), 0), 0) AS v FROM (SELECT j.*, sum((rel >= 1)::INT) OVER (PARTITION BY item_id ORDER BY rank) AS hits FROM j) JOIN (SELECT item_id, count(*) FILTER (rel >= 1) AS total FROM ideal GROUP BY ALL) USING (item_id) GROUP BY item_id)
+SELECT item_id, round(0.5 * a.value + 0.3 * b.value + 0.15 * ap.v + 0.05 * p.v, 6)::DOUBLE AS composite FROM ({NDCG.format(10)}) a JOIN ({NDCG.format(50)}) b USING (item_id) JOIN ap USING (item_id) JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS v FROM j GROUP BY item_id) p USING (item_id)""")
+def composite_metric(spark, sf_dir):
+    ranked, judgments, _ = judged(spark, sf_dir)
+    return evaluate.per_query(ranked, judgments, "item_id", "doc_id").select("item_id", r6("composite").alias("composite"))
+
+
 @query(f"""WITH {JUDGED}, asked AS (SELECT DISTINCT item_id FROM ideal), b AS (SELECT item_id, doc_id, 51 - rank AS rank, rel FROM j),
 p AS (SELECT 'Precision@5' AS metric_name, avg(coalesce(x, 0)) AS baseline, avg(coalesce(y, 0)) AS system FROM asked LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS y FROM j GROUP BY ALL) USING (item_id)),
 m AS (SELECT 'MRR', avg(coalesce(x, 0)), avg(coalesce(y, 0)) FROM asked LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS y FROM j GROUP BY ALL) USING (item_id)),

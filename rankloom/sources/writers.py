@@ -45,17 +45,34 @@ def per_query(results: DataFrame, query: str, order: str) -> DataFrame:
     return results.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("results"))
 
 
+def _paths(spark: SparkSession, *paths: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return made[0].getFileSystem(conf), made
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Puts a table back whose replacement broke off between its two moves."""
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        fs, (now, old) = _paths(spark, path, f"{path}.old")
+        fs.rename(old, now)
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
-    """Stored rows with those of `new` laid over them by key; the last of several new ones counts. Written beside, then moved in place."""
+    """Stored rows with those of `new` laid over them by key; the last of several new ones counts. One writer at a time.
+
+    Written beside; then the old table moves away and the new one in, so at any moment one of them is whole, and `recovered` finds it."""
+    recovered(spark, path)
     new = new.withColumn("_seq", F.monotonically_increasing_id())
     new = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq")))).filter("_n = 1").drop("_n", "_seq")
     rows = spark.read.parquet(path).join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True) if exists(spark, path) else new
     rows.write.mode("overwrite").parquet(f"{path}.next")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs = old.getFileSystem(conf)
+    fs, (now, old, fresh) = _paths(spark, path, f"{path}.old", f"{path}.next")
+    fs.delete(old, True)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(fresh, now)
     fs.delete(old, True)
-    fs.rename(fresh, old)
     spark.catalog.refreshByPath(path)
 
 
