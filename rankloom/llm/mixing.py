@@ -71,7 +71,7 @@ def schedule(mix: DataFrame, block: int = BLOCK) -> DataFrame:
     words = mix.agg(F.sum("goal")).first()[0] or 0
     slots = mix.sparkSession.range(math.ceil(words / block)).select(F.col("id").alias("slot"), ((F.col("id") % (1 << 31) * STEP % (1 << 32)) / float(1 << 32)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     shares = mix.filter("goal > 0").select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least(F.col("hi"), F.lit(1 - 1e-12)) * CELLS))).alias("cell"))
-    placed = slots.join(shares, "cell").filter("u >= lo and u < hi").select("slot", "s", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    placed = slots.hint("merge").join(shares, "cell").filter("u >= lo and u < hi").select("slot", "s", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("s", "chunk").count().select("s", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     return placed.withColumn("at", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1).join(starts, ["s", "chunk"]).select("slot", "s", (F.col("start") + F.col("at")).alias("rank"))
@@ -93,7 +93,8 @@ def slotted(placed: DataFrame, mix: DataFrame, block: int = BLOCK, passes: int =
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     first, last = F.greatest(F.col("start"), F.col("rank") * block), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block)
     pieces = pieces.select("row", "doc_id", "s", "rank", first.alias("place"), (first - F.col("start")).alias("begin"), (last - F.col("start")).alias("end"))
-    return pieces.join(schedule(mix, block), ["s", "rank"]).select("slot", "s", "place", "row", "doc_id", "begin", "end")
+    # Numbers in a row shrink so well that a shuffled schedule looks small enough to broadcast, which it isn't.
+    return pieces.hint("merge").join(schedule(mix, block), ["s", "rank"]).select("slot", "s", "place", "row", "doc_id", "begin", "end")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, passes: int = PASSES) -> DataFrame:

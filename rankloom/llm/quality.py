@@ -6,7 +6,9 @@ of being good then decides, in place of a demand that all rules pass. Rules in A
 abusive prose has the shape of good prose, so no other rule's vote speaks against it.
 
 Null text counts as empty. Empty tables give empty results. Repeated rows each get their own row. Rules that never vote
-leave the posterior at the prior. Whole texts are read, whatever their length.
+leave the posterior at the prior. Whole texts are read, whatever their length. Columns with the name of a new one are replaced.
+Rules on the length of words abstain where most characters are of scripts that write none between spaces (code points from
+U+0E00 on); a line's end mark may be one of any script.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import texts, with_columns, written
 
-FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long", "n_abusive": "long", "n_abusive_stems": "long"}
+FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long", "n_spaced": "long", "n_abusive": "long", "n_abusive_stems": "long"}
 
 #: Rule: (numerator, denominator, good at or below, bad at or above). Between the two bounds, or where the denominator is 0, it abstains.
 RULES = {
@@ -30,8 +32,8 @@ RULES = {
     "duplicate_lines": ("n_dup_lines", "n_lines", 0.1, 0.5),
     "repeated_windows": ("n_repeat_words", "n_words", 0.1, 0.3),
     "unended_lines": ("n_unended", "n_lines", 0.3, 0.8),
-    "short_words": ("n_words", "word_chars", 0.34, 0.6),
-    "long_words": ("word_chars", "n_words", 9.0, 16.0),
+    "short_words": ("n_spaced", "word_chars", 0.34, 0.6),
+    "long_words": ("word_chars", "n_spaced", 9.0, 16.0),
     "abusive_words": ("n_abusive", "n_words", 0.0, 0.003),
     "abusive_stems": ("n_abusive_stems", "n_words", 0.006, 0.012),
 }
@@ -58,13 +60,17 @@ ABUSIVE_BYTES = frozenset(w.encode() for w in ABUSIVE)
 BAD_VOTES = {True: 0.01, False: 0.3}
 
 SYMBOLS = b"#*$%&|<>"
+#: Marks beyond ASCII that end a line of prose.
+ENDS = tuple(c.encode() for c in "…»”’。！？：；」』）।؟۔։။።")
+#: First bytes of code points from U+0E00 on, but for general punctuation and the like.
+WIDE = bytes(c for c in range(0xE0, 0xF5) if c != 0xE2)
 WHITE_AND_TAILS = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
 #: Letters and bytes beyond ASCII to a, symbols to #, white space to a space, the rest to 0.
 KINDS = bytes(ord("#" if c in SYMBOLS else " " if c in WHITE_AND_TAILS[:6] else "a" if c > 127 or chr(c).isalpha() else "0") for c in range(256))
 
 
 def features(text: bytes) -> tuple[int, ...]:
-    """The counts named in FEATURES but the last two, of one whole text. n_unplain: words without a letter or with a symbol; n_unended: lines that end in no sentence mark."""
+    """The counts named in FEATURES but the last two, of one whole text. n_unplain: words without a letter or with a symbol; n_unended: lines that end in no sentence mark; n_spaced: n_words, or 0 in scripts without spaces."""
     words = text.split()
     n = len(words)
     seen: set[bytes] = set()
@@ -72,7 +78,7 @@ def features(text: bytes) -> tuple[int, ...]:
     for line in text.split(b"\n"):
         if bare := line.strip():
             n_lines += 1
-            n_unended += bare[-1] not in b".!?:;\"')"
+            n_unended += bare[-1] not in b".!?:;\"')" and not bare.endswith(ENDS)
             n_dup += line in seen
             seen.add(line)
     windows = list(zip(words, words[1:], words[2:]))
@@ -84,8 +90,10 @@ def features(text: bytes) -> tuple[int, ...]:
             if w in again:
                 covered[i : i + 3] = b"\1\1\1"
         n_repeat = covered.count(1)
+    chars = len(text.translate(None, WHITE_AND_TAILS))
+    wide = 0 if text.isascii() else len(text) - len(text.translate(None, WIDE))
     n_unplain = sum([b"#" in w or b"a" not in w for w in text.translate(KINDS).split()])
-    return n, len(text.translate(None, WHITE_AND_TAILS)), len(text) - len(text.translate(None, SYMBOLS)), n_dup, n_repeat, n_lines, n_unplain, n_unended
+    return n, chars, len(text) - len(text.translate(None, SYMBOLS)), n_dup, n_repeat, n_lines, n_unplain, n_unended, 0 if 2 * wide > chars else n
 
 
 def stem_pattern(stems: list[bytes]) -> re.Pattern | None:
@@ -138,7 +146,8 @@ def votes(prefix: str = ""):
     parts = []
     for top, bottom, good, bad in RULES.values():
         above, below = F.col(f"{prefix}{top}"), F.col(f"{prefix}{bottom}")
-        ratio = F.when(below > 0, above / below)
+        counts = below > 0 if top != "n_spaced" else (below > 0) & (above > 0)
+        ratio = F.when(counts, above / below)
         parts.append(F.when(ratio <= good, "+").when(ratio >= bad, "-").otherwise("0"))
     return F.concat(*parts)
 

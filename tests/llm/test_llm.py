@@ -34,12 +34,14 @@ TEXTS = [prose(1, 120), prose(1, 120), prose(2, 300), "", None, "   \n ", "one",
 
 def test_quality_counts():
     text = b"a b c d a b c x\n\na b c\nsame line\nsame line\n# $%"
-    n, chars, symbols, dup, repeat, lines, unplain, unended = quality.features(text)
+    n, chars, symbols, dup, repeat, lines, unplain, unended, spaced = quality.features(text)
     words = text.split()
     windows = Counter(zip(words, words[1:], words[2:]))
     covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
     assert (n, chars, symbols, dup, repeat, lines) == (len(words), sum(map(len, words)), 3, 1, len(covered), 5)
-    assert unplain == 2 and quality.features(b"") == (0,) * 8 and quality.features("é ü".encode())[1] == 2
+    assert unplain == 2 and quality.features(b"") == (0,) * 9 and quality.features("é ü".encode())[1] == 2 and spaced == n
+    other = "吾輩は猫である。名前はまだ無い。\nどこで生れたかとんと見当がつかぬ。".encode()
+    assert quality.features(other)[-2:] == (0, 0) and quality.features("où «là».\nça va …".encode())[-2:] == (0, 5)
 
 
 def test_quality_keeps_clean_documents_and_rejects_rough_ones(spark):
