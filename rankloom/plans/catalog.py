@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
-from rankloom.plans import catalog_records
+from rankloom.plans import catalog_io, catalog_records
 from rankloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,3 +696,6 @@ def _of_records(name: str):
 
 for _name in catalog_records.QUERIES:
     _of_records(_name)
+
+for _make, _sql in catalog_io.QUERIES.values():
+    query(_sql)(_make)
