@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import vocab as V
 from rankloom.functions.text import name_similarity
+from rankloom.operators.sizes import small
 
 FUZZY = 88.0
 
@@ -32,7 +33,7 @@ def normalised(skills: DataFrame, column: str, names: DataFrame, threshold: floa
 
     Aliases are a small table that the caller states; only distinct values without an exact alias are compared with it."""
     distinct = skills.select(F.col(column)).distinct().withColumn("_c", canonical(F.col(column)))
-    exact = distinct.join(F.broadcast(names), F.col("_c") == F.col("alias"), "left")
+    exact = distinct.join(small(names), F.col("_c") == F.col("alias"), "left")
     known = sorted((r.alias, r.skill) for r in names.collect())
 
     @F.pandas_udf("string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
-from rankloom.plans import catalog_io, catalog_records
+from rankloom.plans import catalog_io, catalog_records, second_ranker
 from rankloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +185,37 @@ def hybrid_shortlist(spark, sf_dir):
     return index.top_k(kept, 10, "item_id", index.fused_order(), "place").select("item_id", "doc_id", F.col("place").cast("long").alias("place"))
 
 
+def _hashed(table: str, key: str, prompt: str) -> str:
+    told = f"'{prompt} ' || trim(coalesce(text, ''))"
+    cut = f"CASE WHEN len(string_split_regex({told}, '\\s+')) > 2048 THEN array_to_string(string_split_regex({told}, '\\s+')[-2048:], ' ') ELSE {told} END"
+    cells = f"SELECT {key} AS k, (('0x' || substr(sha256(token), 1, 8))::BIGINT % 32)::INT AS bucket, sum(CASE WHEN ('0x' || substr(sha256(token), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS value FROM (SELECT {key}, lower(unnest(regexp_extract_all({cut}, '[A-Za-z0-9+#.]+'))) AS token FROM {table}) GROUP BY ALL HAVING value <> 0"
+    return f"SELECT k, bucket, (value / sqrt(sum(value * value) OVER (PARTITION BY k)))::FLOAT::DOUBLE AS v FROM ({cells})"
+
+
+SHORTLIST = f"""WITH {BM25_B},
+e AS ({_hashed('documents', 'doc_id', embed.ENTITY_PROMPT)}), v AS ({_hashed('benchmark', 'item_id', embed.QUERY_PROMPT)}),
+en AS (SELECT k, sqrt(sum(v * v)) AS n FROM e GROUP BY k), vn AS (SELECT k, sqrt(sum(v * v)) AS n FROM v GROUP BY k),
+pairs AS (SELECT item_id, doc_id FROM benchmark, documents),
+cos AS (SELECT v.k AS item_id, e.k AS doc_id, sum(e.v * v.v) / (any_value(en.n) * any_value(vn.n)) AS c FROM e JOIN v USING (bucket) JOIN en ON en.k = e.k JOIN vn ON vn.k = v.k GROUP BY ALL),
+twice AS (SELECT item_id, doc_id, round(coalesce(score, 0), 9) AS a, round(coalesce(c, 0), 9) AS b FROM pairs LEFT JOIN okapi USING (item_id, doc_id) LEFT JOIN cos USING (item_id, doc_id)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY item_id ORDER BY b DESC, doc_id) AS rb FROM twice),
+fused AS (SELECT item_id, doc_id, CASE WHEN ra <= 50 THEN ra END AS ra, CASE WHEN rb <= 50 THEN rb END AS rb, coalesce(1 / (60 + CASE WHEN ra <= 50 THEN ra END), 0) + coalesce(1 / (60 + CASE WHEN rb <= 50 THEN rb END), 0) AS f FROM ranks WHERE ra <= 50 OR rb <= 50),
+kept AS (SELECT f.* FROM fused f JOIN documents d USING (doc_id) WHERE (item_id % 3 <> 0 OR d.lang = 'en') AND (item_id % 4 <> 0 OR d.n_chars / 200 >= 5) AND (item_id % 2 <> 0 OR contains(d.lang, 'en') OR contains('en', d.lang)))
+SELECT item_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY f DESC, ra NULLS LAST, rb NULLS LAST) AS place FROM kept) WHERE place <= 10"""
+
+
+@query(SHORTLIST)
+def second_shortlist(spark, sf_dir):
+    """The second ranker's own shortlists: documents as entities with their language for a skill and a place, items as queries."""
+    k, none = F.col("item_id"), F.array().cast("array<string>")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text"), F.array("lang").alias("raw_skills"), F.when(F.col("lang") == "en", "Oslo").otherwise("Rome").alias("location"), (F.col("n_chars") / 200).alias("experience_years"))
+    q = items(spark, sf_dir).select(k.alias("job_id"), "q_text", F.when(k % 3 == 0, "Oslo").when(k % 3 == 1, "").otherwise("Remote").alias("location"), F.when(k % 4 == 0, "senior").alias("seniority"), F.when(k % 2 == 0, F.array(F.lit("en"))).otherwise(none).alias("must_have"))
+    vectors = lambda df, key, text, prompt: embed.dense(df, key, embed.prepared(F.col(text), prompt), 32)
+    parts = {"entities": d.select("id", "doc_text", "raw_skills"), "queries": q, "entity_vectors": vectors(d, "id", "doc_text", embed.ENTITY_PROMPT), "query_vectors": vectors(q, "job_id", "q_text", embed.QUERY_PROMPT)}
+    found = second_ranker.shortlist(parts, d.select("id", "location", "experience_years"), pool=50, top=10)
+    return found.select(F.col("job_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT item_id, doc_id, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM (SELECT q.item_id, d.doc_id, count(*) AS overlap FROM (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM benchmark) q JOIN (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM documents) d USING (term) GROUP BY ALL)) WHERE rank <= 5")
 def keyword_baseline(spark, sf_dir):
     found = index.keyword_overlap(documents(spark, sf_dir).withColumn("w", X.tokens_b("text")), items(spark, sf_dir).withColumn("w", X.tokens_b("q_text")), "doc_id", "w", "item_id", "w")
@@ -491,7 +522,7 @@ def rule_flags_b(spark, sf_dir):
 def location_filter(spark, sf_dir):
     """The filter as a mask over a candidate list; the list comes from shared tokens, so no pair is made that cannot pass."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    place = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws(", ", "n_name", "r_name").alias("place"))
+    place = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws(", ", "n_name", "r_name").alias("place"))
     s = read(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("place").alias("x"))
     c = read(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("y"))
     pairs = s.withColumn("t", F.explode(filters.place_tokens(F.col("x")))).join(c.withColumn("t", F.explode(filters.place_tokens(F.col("y")))), "t").select("s_suppkey", "c_custkey", "x", "y").distinct()
@@ -513,7 +544,7 @@ def must_have_filter(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), 'china') OR contains(lower(n_name), 'china') OR contains(lower(c_mktsegment), 'china')")
 def catalogue_search(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.filter(filters.catalogue_search("CHINA", F.col("c_name"), F.col("n_name"), F.array("c_mktsegment"))).select("c_custkey")
 
 
