@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.functions import vocab as V
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
 from rankloom.plans import catalog_io, catalog_records, second_ranker
 from rankloom.sources import writers
@@ -284,9 +285,24 @@ def near_duplicates(spark, sf_dir):
 # ---- parsing
 
 
-@query()
+HEADINGS = "CASE lower(trim(regexp_extract(line, '^\\s*([A-Za-z][A-Za-z /&-]{1,40})\\s*:?\\s*$', 1))) " + " ".join(f"WHEN '{n}' THEN '{k}'" for k, names in V.HEADINGS.items() for n in names) + " END"
+
+
+def _plain(column: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({PLAIN.replace('html', column)}, '<[^>]+>', ' ', 'g'), '[\\s\\x0B\\x{{A0}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Profile' || chr(10) || source || chr(10) || ' Skills :' || chr(10) || lang || ', sql' || chr(10) || chr(10) || 'Work Experience' || chr(10) || text ELSE coalesce(text, '') END AS t FROM documents),
+l AS (SELECT doc_id, n, line, {HEADINGS} AS h, {_plain('line')} AS clean FROM (SELECT doc_id, unnest(string_split_regex(t, chr(13) || chr(10) || '|[' || chr(10) || '-' || chr(13) || ']')) AS line, generate_subscripts(string_split_regex(t, chr(13) || chr(10) || '|[' || chr(10) || '-' || chr(13) || ']'), 1) AS n FROM d)),
+s AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n), 'summary') AS section, bool_or(h IS NOT NULL) OVER (PARTITION BY doc_id) AS headed FROM l),
+w AS (SELECT doc_id, {_plain('t')} AS whole FROM d)
+SELECT doc_id, section, md5(string_agg(clean, chr(10) ORDER BY n)) AS body_md5 FROM s WHERE headed AND h IS NULL AND clean <> '' GROUP BY ALL
+UNION ALL SELECT doc_id, CASE WHEN len(regexp_replace(whole, '[^,|;]', '', 'g')) >= 3 AND len(string_split(whole, ' ')) <= 40 THEN 'skills' ELSE 'summary' END, md5(whole) FROM w WHERE doc_id IN (SELECT doc_id FROM s WHERE NOT headed)""")
 def section_split(spark, sf_dir):
-    return parse.sections(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.explode("sections").alias("section", "body")).select("doc_id", "section", F.md5("body").alias("body_md5"))
+    """Every third document gets headings."""
+    headed = F.concat(F.lit("Profile\n"), "source", F.lit("\n Skills :\n"), "lang", F.lit(", sql\n\nWork Experience\n"), "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, headed).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    return parse.sections(d, "doc_id", "text").select("doc_id", F.explode("sections").alias("section", "body")).select("doc_id", "section", F.md5("body").alias("body_md5"))
 
 
 @query(r"SELECT conv_id, turn, nullif(lower(regexp_extract(role || ' ' || text, '(?i)\b(intern|junior|mid|senior|staff|principal|lead)\b', 1)), '') AS seniority FROM conversations")
