@@ -31,7 +31,6 @@ WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 8 << 20
 SLICE = 4 << 20
-PAIRS = 1 << 20
 
 #: A-Z to a-z; other ASCII than letters and digits to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -104,20 +103,27 @@ def search(keys: list[np.ndarray], sought: list[np.ndarray], right: bool) -> np.
     return lo
 
 
-def paired(test: Suffixes, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, q) of all occurrences of windows, for whole items at a time and about PAIRS of them."""
-    q = np.flatnonzero((last > first) & test.whole)
-    times = last[q] - first[q]
-    at = 0
-    total = np.cumsum(times)
-    while at < len(q):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)))
-        while to < len(q) and test.owner[q[to]] == test.owner[q[to - 1]]:
-            to += 1
-        n = times[at:to]
-        of = np.repeat(np.arange(at, to), n)
-        yield places[first[q[of]] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], q[of]
-        at = to
+def joined(test: Suffixes, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(item number, first word in the shard, first word in the item, words) of the matches of windows, as arrays.
+
+    Windows of an item are taken in their order; where one occurs a word after the last one did, the match goes on. Only the
+    occurrences of two windows are held at a time, however often texts repeat themselves."""
+    before, q0 = None, -2
+    for q in [*np.flatnonzero((last > first) & test.whole).tolist(), None]:
+        at = np.zeros(0, dtype=np.int64) if q is None else np.sort(places[first[q] : last[q]])
+        start = at.copy()
+        if before is not None:
+            open_, began = before
+            ended = np.ones(len(open_), dtype=bool)
+            if q == q0 + 1 and test.owner[q] == test.owner[q0]:
+                k = np.minimum(np.searchsorted(open_, at - 1), len(open_) - 1)
+                goes_on = open_[k] == at - 1
+                start[goes_on] = began[k[goes_on]]
+                ended[k[goes_on]] = False
+            if ended.any():
+                item, words_ = int(test.owner[q0]), open_[ended] - began[ended] + test.lengths[q0]
+                yield item, began[ended], q0 - test.base[item] - (open_[ended] - began[ended]), words_
+        before, q0 = (at, start), q
 
 
 def match(shard: list[bytes], test: Suffixes) -> list[tuple[int, np.ndarray, list[tuple[int, int, int, int]], int]]:
@@ -143,21 +149,15 @@ def match(shard: list[bytes], test: Suffixes) -> list[tuple[int, np.ndarray, lis
         order = np.lexsort(keys[::-1])
         keys, places = [k[order] for k in keys], places[order]  # the suffix array of this shard
         first, last = search(keys, test.low, False), search(keys, test.high, True)
-        for at, q in paired(test, places, first, last):
-            # Windows that follow each other in both texts are one match.
-            order = np.lexsort((at, at - q, test.owner[q]))
-            at, q = at[order], q[order]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(q) != 1) | (np.diff(test.owner[q]) != 0)]))
-            start, n = at[new], np.diff(np.append(new, len(at))) - 1 + test.lengths[q[new]]
+        edges = np.zeros(len(codes) + 1, dtype=np.int64)
+        for item, start, item_start, n in joined(test, places, first, last):
             doc = np.searchsorted(ends, start, side="right")
             np.maximum.at(longest, doc, n)
-            edges = np.zeros(len(codes) + 1, dtype=np.int64)
             np.add.at(edges, start, 1)
             np.add.at(edges, start + n, -1)
-            hit |= np.cumsum(edges[:-1]) > 0
-            item = test.owner[q[new]]
-            for d, *m in zip(doc.tolist(), item.tolist(), (start - begins[doc]).tolist(), (q[new] - test.base[item]).tolist(), n.tolist()):
-                found[d].append(tuple(m))
+            for d, *m in zip(doc.tolist(), (start - begins[doc]).tolist(), item_start.tolist(), n.tolist()):
+                found[d].append((item, *m))
+        hit = np.cumsum(edges[:-1]) > 0
         # The longest match of a suffix that is no match of a window is that with one of the neighbours of its place in the order.
         for side in (first - 1, first):
             ok = (side >= 0) & (side < len(places))

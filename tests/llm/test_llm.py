@@ -116,10 +116,9 @@ def test_longest_match(spark):
     assert [r.longest for r in decontaminate.find(df, bench).orderBy("doc_id").collect()] == [3, 2, 0]
 
 
-@pytest.mark.parametrize(("block", "pairs"), [(decontaminate.BLOCK_BYTES, decontaminate.PAIRS), (200, 3)])
-def test_matches_are_whole_and_placed(spark, monkeypatch, block, pairs):
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
+def test_matches_are_whole_and_placed(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     monkeypatch.setattr(decontaminate, "SLICE", 50)
     r = random.Random(5)
     items = [[r.choice("ab") for _ in range(r.randint(1, 40))] for _ in range(12)] + [["x"], ["y"], list("pqrstuvwxyzabcd") * 3]
