@@ -11,6 +11,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: A-Z lower-cased, null as empty; and operator 7's words.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -29,7 +34,22 @@ def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.transform(F.array_sort(F.transform("items", lambda x: x.cast("string"))), lambda x: x)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long").alias("longest"))
+
+
+SQL["op7_suffix_array_decontamination"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS j, w FROM b WHERE len(w) > 0),
+win AS MATERIALIZED (SELECT item_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS s FROM item),
+place AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+found AS MATERIALIZED (SELECT doc_id, item_id, n, i, j FROM place JOIN win USING (n, s)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+runs AS (SELECT doc_id, max(words) AS longest FROM (SELECT doc_id, any_value(n) + count(*) - 1 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - j ORDER BY i) AS island FROM found) GROUP BY doc_id, item_id, n, i - j, island) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
 
 
 @query
@@ -121,6 +141,18 @@ def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return bagminhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+SQL["op10_bagminhash_near_duplicates"] = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+bag AS MATERIALIZED (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w) GROUP BY ALL),
+size AS (SELECT doc_id, sum(c) AS n FROM bag GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM bag a JOIN bag b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE common / (x.n + y.n - common) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, CASE WHEN len(w) > 0 THEN count(*) OVER (PARTITION BY class_id) ELSE 1 END AS class_size, CASE WHEN len(w) > 0 THEN count(*) OVER (PARTITION BY text) ELSE 1 END AS copies FROM class JOIN w USING (doc_id)
+"""
+
+
 @query
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm import pii
@@ -134,3 +166,15 @@ def op2_interleave_refined_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm import suffix_dedup
 
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op2_interleave_refined_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+place AS MATERIALIZED (SELECT doc_id, p, md5_number(h[2 * p + 1:2 * p + 800]) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)),
+again AS (SELECT doc_id, p FROM place JOIN (SELECT k FROM place GROUP BY k HAVING count(*) > 1) USING (k)),
+cut AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, (p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 400)::INT AS new FROM again)) GROUP BY doc_id, run),
+gone AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM cut GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans > 0 THEN h[1:2 * a[1]] || array_to_string(list_transform(range(1, len(a)), lambda i: h[2 * b[i] + 1:2 * a[i + 1]]), '') || h[2 * b[len(b)] + 1:] ELSE h END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
