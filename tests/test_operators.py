@@ -240,3 +240,44 @@ def test_inconsistencies(spark):
     history = F.array(F.struct(F.col("total_career_months").alias("duration_months")))
     b = {r.id: len(r.f) for r in df.select("id", records.inconsistencies_b(F.col("skills"), history, F.col("years_of_experience")).alias("f")).collect()}
     assert b == {1: 1, 2: 1, 3: 0}
+
+
+def test_postings_count_within_a_row(spark):
+    from collections import Counter
+
+    texts = ["b a b c b", "", None, "x", "a a", "é é e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.id, r.term): (r.tf, r.dl) for r in index.postings(df, "id", F.split("t", " ")).filter("term != ''").collect()}
+    want = {(i, w): (n, len(t.split(" "))) for i, t in enumerate(texts) if t for w, n in Counter(t.split()).items()}
+    assert got == want
+    vocab = {r.term: (r.df, r.cf) for r in index.vocabulary(df, F.split("t", " ")).collect()}
+    assert vocab[None] == (6, 12) and vocab["a"] == (2, 3) and vocab["b"] == (1, 3)
+
+
+def test_nearest_neighbours_are_exact_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(index, "QUERY_BLOCK", 3)
+    r = random.Random(3)
+    vectors = [[float(r.randint(-2, 2)) for _ in range(3)] for _ in range(60)] + [[0.0, 0.0, 0.0], None]
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vectors)], "id int, v array<float>, side int").repartition(5)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in (0, 7, 20, 33, 60)], "q int, w array<float>")
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a or ())) * math.sqrt(sum(x * x for x in b or ()))
+        return round(sum(x * y for x, y in zip(a, b)) / size, 9) if size else 0.0
+
+    for keep, some in ((None, range(62)), (F.col("side") == 1, range(1, 62, 2))):
+        got: dict = {}
+        for row in index.knn(df, asked, "id", "v", "q", "w", 7, keep).collect():
+            got.setdefault(row.q, {})[row.id] = row.score
+        for q in (0, 7, 20, 33, 60):
+            want = sorted((-cosine(vectors[i], vectors[q]), i) for i in some)[:7]
+            assert got[q] == {i: pytest.approx(-s) for s, i in want}
+    assert index.knn(df, asked.limit(0), "id", "v", "q", "w", 7).count() == 0 and index.knn(df.limit(0), asked, "id", "v", "q", "w", 7).count() == 0
+
+
+def test_only_small_tables_are_broadcast(spark):
+    from rankloom.operators.sizes import small
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("s"))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df)) and not hinted(small(df, 1000))
