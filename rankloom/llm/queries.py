@@ -178,3 +178,32 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
   sha256(unhex(CASE WHEN n_spans > 0 THEN h[1:2 * a[1]] || array_to_string(list_transform(range(1, len(a)), lambda i: h[2 * b[i] + 1:2 * a[i + 1]]), '') || h[2 * b[len(b)] + 1:] ELSE h END)) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm import resampling
+
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc is the table of the reflected polynomial 0xEDB88320, a byte at a time.
+SQL["op13_importance_resampling"] = rf"""
+WITH RECURSIVE poly AS (SELECT b, b::BIGINT AS c, 0 AS k FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM poly WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWER}, {WORDS}) AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY ALL),
+bw AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM b) GROUP BY f),
+word AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+coded AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM word, crc),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN coded USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN coded USING (f) GROUP BY bucket),
+size AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000 AS s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000 AS t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.t, 0)::DOUBLE + 1) * size.s / ((s.s::DOUBLE + 1) * size.t)))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), size),
+heavy AS (SELECT doc_id, floor(sum(n * g) / sum(n)::DOUBLE)::BIGINT AS weight FROM dw JOIN coded USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN heavy USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM placed) THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
