@@ -207,3 +207,12 @@ scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS w
 placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM placed) THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """
+
+
+@query
+def op12_wavelet_matrix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rankloom.llm import wavelet
+
+    return wavelet.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end=1)
