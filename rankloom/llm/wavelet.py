@@ -29,6 +29,7 @@ and `tokens` gives what the library gives for the whole text (tested on all text
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import uuid
@@ -50,7 +51,7 @@ SHARD_TOKENS = 1 << 22
 #: A range of documents has about so many bytes of text, and there are at most so many ranges.
 RANGE_BYTES, RANGES = 32 << 20, 20_000
 CACHE = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 HEAD = 7
 SIGNS = string.punctuation.replace("'", "")
 
@@ -62,9 +63,13 @@ class WordTokens:
     """Token ids of texts, by way of their distinct words. For vocabularies whose words end with the sign `</w>`."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
+        # For words that need no normaliser and no splitter but at white space. A word comes once, so the model's own cache only costs.
+        self.bare = Tokenizer(self.tool.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bare.model._resize_cache(0)
         self.known: dict[str, bytes] = {}
         words = self.tool.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(words.values(), default=0) < 1 << 16 else "<u4")
@@ -75,53 +80,59 @@ class WordTokens:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """A word as (stem, signs after it); tokens never span the two. Words with marks of special tokens stay whole."""
-        stem = word.rstrip(SIGNS)
-        if "<|" in word or (stem != word and not (stem and stem[-1].isalnum() and stem[-1] < "ɐ")):
-            return word, ""
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+    def parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words as (stems, signs after them); tokens never span the two. ASCII letters are lower-cased, which the vocabulary does
+        anyway. Words with marks of special tokens stay whole, as they are."""
+        marked, bare = pc.match_substring(words, "<|"), pc.utf8_rtrim(words, SIGNS)
+        ends = pc.and_(pc.invert(marked), pc.match_substring_regex(bare, "[0-9A-Za-zÀ-ÖØ-öø-ɏ]$"))
+        stems = pc.if_else(marked, words, pc.ascii_lower(pc.if_else(ends, bare, words)))
+        return stems, pc.if_else(ends, pc.replace_substring_regex(words, f"(?s)^.*[^{re.escape(SIGNS)}]", ""), "")
 
     def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha() and max(w) < "ɐ"]
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            found = np.array(self.tool.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.last[found]) + 1
-            if len(ends) == len(some):  # A word of letters is one piece, which ends where a token with the sign does.
-                raw, size, at = found.tobytes(), self.dtype.itemsize, 0
-                for word, end in zip(some, (ends * size).tolist()):
-                    self.known[word] = raw[at:end]
-                    at = end
+        """Words of letters are one piece each, which ends where a token with the sign does; they go to the library many at a time. Those
+        of small ASCII letters are what the normaliser makes of them already."""
+        for tool, some in ((self.bare, [w for w in new if w.isascii() and w.isalpha()]), (self.tool, [w for w in new if not w.isascii() and w.isalpha() and max(w) < "ɐ"])):
+            for lo in range(0, len(some), 4096):
+                part = some[lo : lo + 4096]
+                found = np.array(tool.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+                ends = (np.flatnonzero(self.last[found]) + 1) * self.dtype.itemsize
+                if len(ends) == len(part):
+                    raw, at = found.tobytes(), 0
+                    for word, end in zip(part, ends.tolist()):
+                        self.known[word] = raw[at:end]
+                        at = end
         for word in new:
             if word not in self.known:
                 self.known[word] = self.ids(word)
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        split = [self.parts(w) for w in words]
-        new = {x for pair in split for x in pair}.difference(self.known)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = {x for pair in split for x in pair}
-        self.learn(list(new))
-        return [self.known[a] + self.known[b] if b else self.known[a] for a, b in split]
+            new = words
+        self.learn(new)
+        return [self.known[w] for w in words]
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, one after the other; how many each has). Null is empty."""
         lists = pc.ascii_split_whitespace(column.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self.of_words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        flat, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
+        stems, signs = (x.dictionary_encode() for x in self.parts(coded.dictionary))
+        ids = self.of_words(stems.dictionary.to_pylist())
+        ids += self.of_words(signs.dictionary.to_pylist())
+        sizes = np.array([len(x) for x in ids], np.int32) // self.dtype.itemsize
+        flat, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes, dtype=np.int32) - sizes
+        # A word is two pieces, its stem and its signs.
+        pieces = np.empty((len(coded.dictionary), 2), np.int32)
+        pieces[:, 0], pieces[:, 1] = stems.indices.to_numpy(zero_copy_only=False), signs.indices.to_numpy(zero_copy_only=False) + np.int32(len(stems.dictionary))
+        which = pieces[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         many = sizes[which]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        # The places of a word's ids run from its first one.
-        place = np.repeat(first[which] - (ends - many), many) + np.arange(total)
+        ends = np.cumsum(many, dtype=np.int64)
+        # The places of a piece's ids run from its first one.
+        place = np.repeat((first[which] - (ends - many)).astype(np.int32), many)
+        place += np.arange(len(place), dtype=np.int32)
         words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        upto = np.concatenate([[0], ends])[words]
-        return flat[place] if total else np.zeros(0, self.dtype), np.diff(upto)
+        return flat[place], np.diff(np.concatenate([[0], ends])[2 * words])
 
 
 class TextTokens(WordTokens):
@@ -153,10 +164,11 @@ def packed(part: int, shard: int, tokens: np.ndarray, ids: list[int | None], sta
     pack = zstandard.ZstdCompressor(level=3).compress
     zeros, ranks, sizes, planes, a = [], [], [], [], tokens
     for level in range(levels - 1, -1, -1):
-        bit = ((a >> level) & 1).astype(bool)
-        ones = np.add.reduceat(bit, np.arange(0, n, CHUNK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        bit = ((a >> level) & 1).astype("u1").view(bool)
+        raw = np.packbits(bit, bitorder="little")
+        ones = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), CHUNK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         ranks.append(np.cumsum(ones) - ones)
-        raw = np.packbits(bit, bitorder="little").tobytes()
+        raw = raw.tobytes()
         for lo in range(0, len(raw), CHUNK // 8):
             planes.append(pack(raw[lo : lo + CHUNK // 8]))
             sizes.append(len(planes[-1]))
@@ -169,6 +181,10 @@ def packed(part: int, shard: int, tokens: np.ndarray, ids: list[int | None], sta
     return b"".join([MAGIC, struct.pack("<q", len(head)), head, *planes])
 
 
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, "u1"), bitorder="little", count=n).view(bool)
+
+
 class Shard:
     """A shard's file, as bytes or anything that slices like them (a memory map). Positions are from 0 within the shard.
 
@@ -201,14 +217,14 @@ class Shard:
     def touched(self) -> int:
         return len(self.kept)
 
-    def bits(self, level: int, chunk: int, keep: bool = True) -> np.ndarray:
+    def raw(self, level: int, chunk: int) -> bytes:
+        k = level * self.chunks + chunk
+        return self.unpack(bytes(self.data[self.places[k] : self.places[k + 1]]))
+
+    def bits(self, level: int, chunk: int) -> np.ndarray:
         found = self.kept.get((level, chunk))
         if found is None:
-            k = level * self.chunks + chunk
-            raw = np.frombuffer(self.unpack(bytes(self.data[self.places[k] : self.places[k + 1]])), "u1")
-            found = np.unpackbits(raw, bitorder="little", count=min(self.width, self.n - chunk * self.width)).astype(bool)
-            if keep:
-                self.kept[level, chunk] = found
+            found = self.kept[level, chunk] = unpacked(self.raw(level, chunk), min(self.width, self.n - chunk * self.width))
         return found
 
     def rank(self, level: int, i: int) -> int:
@@ -281,7 +297,7 @@ class Shard:
         """All tokens in order, from the lowest level up: a level's bits say which tokens go back to which place."""
         out = np.zeros(self.n, "<u2" if self.levels <= 16 else "<u4")
         for level in range(self.levels - 1, -1, -1):
-            bit = np.concatenate([self.bits(level, c, keep=False) for c in range(self.chunks)]) if self.chunks else np.zeros(0, bool)
+            bit = unpacked(b"".join(self.raw(level, c) for c in range(self.chunks)), self.n)
             above, zeros = np.empty_like(out), int(self.zeros[level])
             above[~bit] = out[:zeros]
             above[bit] = out[zeros:] | out.dtype.type(1 << (self.levels - 1 - level))
