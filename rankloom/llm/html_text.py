@@ -5,12 +5,16 @@ known by element name, role, or a word of class or id, count for nothing. Every
 adjusted for the characters and tags of links, and the sum of its children's densities. The subtree with the greatest
 sum is the content. The lowest density on its path to the body is the threshold: from the body on, every node that reaches
 it is entered, and adds the subtree with the greatest sum below it; a node that doesn't reach it adds nothing, whatever it
-holds. Where the body itself has the greatest sum, blocks of links only go. An article or main element around the greatest sum is taken whole, and then nothing else is.
+holds. Where the body itself has the greatest sum, blocks of links only go. An article or main element around the greatest sum is taken
+whole, and with it every other article (or main) whose density reaches ENOUGH of the threshold: its own heading and tags lower that of
+a short one, links that of a teaser far more.
 
-Words of class and id are of two kinds. Those of BESIDE name what stands beside an article's text, wherever they stand. Those
-of LAYOUT may also name a part of it (section-header, related work): within an article they count only where links make
-half of the element's text, or where the word is a whole class of BOX and the element has at most a fifth of the article's text;
-outside, not where the element has most of the page's text.
+A class or id names an element only as a whole: all its words must be known, those of BESIDE or LAYOUT and such as box or list
+beside them, so that ids made of a heading's words name nothing. Headings are never named, other elements of running text only by a class that is
+one word of BESIDE. What BESIDE names stands beside an article's text, unless it has half of that text. What LAYOUT names
+may also be a part of it (section-header, related): within an article it counts only where links make half of the element's text, or where
+the word is a whole class of BOX and the element has at most a fifth of the article's text; outside, not where the element has most of
+the page's text.
 
 Null and empty pages give an empty text, n_chars 0; empty tables give no rows. Broken markup is read as browsers do in the
 main: open elements end with what holds them, an unfinished tag at the end is dropped, unknown references stay as they are.
@@ -44,10 +48,14 @@ FENCE = frozenset("table td th caption button object template html body".split()
 SKIPPED = frozenset("head script style textarea title xmp noscript iframe noframes nav footer aside form button select option input menu dialog template svg audio video search".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WHOLE = frozenset(["article", "main"])
-#: Words of classes and ids.
+ENOUGH = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+RUNNING = frozenset("a abbr b blockquote caption cite code dd dfn dl dt em figcaption figure i img kbd li mark p pre q s samp small span strong sub summary sup table tbody td tfoot th thead time tr u var".split())
+#: Words of classes and ids: what stands beside the text, what may, and what such names are made of besides.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr modal nav navbar navigation newsletter popup sidebar sponsor sponsored sponsors subscribe subscription".split())
 LAYOUT = frozenset("banner footer header masthead menu notice notices promo promos promotion related respond share sharing social toolbar widget widgets".split())
 BOX = frozenset("banner notice notices promo promos promotion respond share sharing toolbar widget widgets".split())
+WITH = frozenset("area bar block body bottom bottoms box btn button col column container content div entry fixed form global group holder inner item items layer left line link links list main media module outer overlay page panel placeholder post primary region right row secondary section site slot small sticky text thread top unit wrap wrapper zone".split())
 #: How far an element's names say that it is no content: not at all, perhaps, by a whole class of BOX, for sure.
 NOT_NAMED, LAYOUT_NAMED, BOX_NAMED, NAMED = range(4)
 
@@ -57,13 +65,20 @@ def named(tag: str, attributes: str) -> int:
         return NOT_NAMED
     found = NOT_NAMED
     for name, *values in MARK.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "role":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role":
             found = NAMED if SKIPPED_ROLES.intersection(value.split()) else found
-        elif not BESIDE.isdisjoint(parts := re.split(r"[\s_-]+", value)):
-            return NAMED
-        elif not LAYOUT.isdisjoint(parts):
-            found = max(found, LAYOUT_NAMED if BOX.isdisjoint(value.split()) else BOX_NAMED)
+        elif tag in RUNNING:
+            found = NAMED if name == "class" and not BESIDE.isdisjoint(value.split()) else found
+        elif tag not in HEADINGS:
+            for whole in value.split():
+                parts = [x for x in re.split(r"[_-]+", whole) if x and not x.isdigit()]
+                if not all(x in BESIDE or x in LAYOUT or x in WITH for x in parts):
+                    continue
+                if not BESIDE.isdisjoint(parts):
+                    found = NAMED
+                elif not LAYOUT.isdisjoint(parts):
+                    found = max(found, LAYOUT_NAMED if BOX.isdisjoint([whole]) else BOX_NAMED)
     return found
 
 
@@ -160,6 +175,8 @@ class Page:
             if says in (LAYOUT_NAMED, BOX_NAMED):
                 small = 5 * size[k] <= size[article[k]]
                 says = 2 * links[k] >= size[k] or says == BOX_NAMED and small if article[k] else 2 * size[k] < size[0]
+            elif says == NAMED and article[k]:
+                says = 2 * size[k] < size[article[k]]
             marked[k] = marked[self.parent[k]] or within[k] or bool(says) and not holds[k]
         self.size = size
         return marked
@@ -168,6 +185,13 @@ class Page:
         while (k := self.parent[k]) >= 0:
             yield k
 
+    def outermost(self, tags) -> list[int]:
+        """The elements of these names that count and stand in none of them."""
+        within = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            within[k] = within[self.parent[k]] or self.tag[self.parent[k]] in tags
+        return [k for k in range(1, len(self.tag)) if self.tag[k] in tags and not within[k] and not self.marked[k]]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each node, and the sum of its children's."""
         n = len(self.tag)
@@ -209,16 +233,16 @@ class Page:
             best = next((k for k in range(n) if self.tag[k] == "body"), 0)
         whole = [k for k in range(n) if self.tag[k] in WHOLE and not self.marked[k]]
         path = [best, *self.above(best)]
+        path = path[: next((i for i, k in enumerate(path) if self.tag[k] == "body"), len(path) - 1) + 1]
+        threshold = min(density[k] for k in path)
         for kind in ("article", "main"):
             if around := [k for k in path if self.tag[k] == kind]:
-                return around[-1:]
+                return sorted({around[-1], *(k for k in self.outermost({kind}) if density[k] >= ENOUGH * threshold)})
         if whole and self.tag[best] in ("body", "html", "#root") and 2 * self.size[most := max(whole, key=lambda k: self.size[k])] >= self.size[best]:
-            return [most]
+            return sorted({most, *(k for k in self.outermost(WHOLE) if density[k] >= ENOUGH * threshold)})
         if self.tag[best] in ("body", "html", "#root"):  # the page's layout itself has the greatest sum: its blocks of nothing but links go
             for k in range(1, n):
                 self.marked[k] = self.marked[k] or self.marked[self.parent[k]] or self.tag[k] in BLOCK and self.links_only[k]
-        path = path[: next((i for i, k in enumerate(path) if self.tag[k] == "body"), len(path) - 1) + 1]
-        threshold = min(density[k] for k in path)
         # The greatest sum below each node, or its own; ties as above.
         top = list(range(n))
         for k in range(n - 1, 0, -1):

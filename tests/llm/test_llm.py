@@ -673,3 +673,35 @@ def test_pipeline(spark):
     assert {tuple(r) for r in pipeline.run(spark, folder).collect()} == {tuple(r) for r in mix.collect()}
     empty = docs.limit(0)
     assert all(stage(spark, empty, folder).count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_names_never_delete_what_only_sounds_like_furniture():
+    """Ids made of a heading's words, and classes that only begin like known names, name nothing."""
+    text = lambda body: html_text.main_text(f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>The first paragraph of this article, long enough to count.</p>{body}</article></body>")
+    first = "Head\nThe first paragraph of this article, long enough to count."
+    for tag, names in (("h2", 'id="comments-on-the-draft"'), ("h2", 'id="subscription-pricing"'), ("h2", 'id="comments"'), ("p", 'class="ad-hoc"'), ("p", 'id="cookies"'), ("blockquote", 'class="navigation-systems"'), ("div", 'class="breadcrumbs-of-history"')):
+        assert text(f"<{tag} {names}>Some words that stay here.</{tag}>") == f"{first}\nSome words that stay here.", (tag, names)
+    assert text('<section id="navigation-systems"><p>One paragraph.</p><p>Another one.</p></section>') == f"{first}\nOne paragraph.\nAnother one."
+    assert text('<table class="cookie-recipes"><tr><td>Flour</td><td>Butter</td></tr></table>') == f"{first}\nFlour\nButter"
+    for tag, names in (("div", 'class="ad"'), ("div", 'class="cookie-banner"'), ("section", 'id="comments"'), ("ul", 'class="site-nav-list"'), ("div", 'role="navigation"'), ("p", 'class="advert"'), ("div", 'class="newsletter_box"'), ("div", 'class="ad-slot-3"')):
+        assert text(f"<{tag} {names}>Words that go.</{tag}>") == first, (tag, names)
+    # What has half of an article's text is no furniture, whatever its name.
+    assert html_text.main_text(f"<article><div class=comments>{'<p>A long text of many words.</p>' * 9}</div><p>End.</p></article>").count("many words") == 9
+
+
+def test_every_dense_article_stays():
+    p = lambda k, n: f"<article><h2>Part {k}</h2>" + "".join(f"<p>Paragraph {i} of part {k} with enough words in it to be dense, and more.</p>" for i in range(n)) + "</article>"
+    want = lambda k, n: [f"Part {k}", *(f"Paragraph {i} of part {k} with enough words in it to be dense, and more." for i in range(n))]
+    nav = "<nav><a href=/>Home</a><a href=/b>More</a></nav>"
+    teaser = "<article><h3><a href=/t>Another story of ours</a></h3><p><a href=/t>Read on.</a></p></article>"
+    for wrap in ("<body>{0}{1}</body>", "<body>{0}<main>{1}</main></body>", "<body><div>{0}<div>{1}</div></div></body>"):
+        for a, b in ((3, 3), (6, 2), (2, 6), (1, 1)):
+            for more in ("", teaser) if a + b > 2 else ("",):
+                    assert html_text.main_text(wrap.format(nav, p(1, a) + p(2, b) + more)).split("\n") == want(1, a) + want(2, b), (wrap, a, b, more)
+
+
+def test_without_article_the_threshold_decides():
+    """Blocks of text beside each other, links around them: the result is the subtrees that an independent reading of the formula takes."""
+    blocks = [("intro", 2), ("body", 7), ("tail", 3)]
+    page = "<body><div><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div>" + "".join(f"<div id={name}>" + "".join(f"<p>Sentence {i} of the {name}, of a length that makes it dense enough.</p>" for i in range(n)) + "</div>" for name, n in blocks) + "<div><a href=/x>Imprint</a> <a href=/y>Terms</a></div></body>"
+    assert html_text.main_text(page).split("\n") == [f"Sentence {i} of the {name}, of a length that makes it dense enough." for name, n in blocks for i in range(n)]
