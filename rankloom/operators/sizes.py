@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,15 +19,20 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if n * 16 * len(df.columns) + size <= limit else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a session of one machine gets a temporary one; on a cluster that is an
+    error, since each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: stored results need a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and cut off from what led to it, in the folder of spark.checkpoint.dir; on one machine in a temporary one where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("spark.checkpoint.dir is unset: iterated results need a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,13 +6,13 @@ what must come out. Folders lie in spark.checkpoint.dir, or on one machine in a
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import behaviour, embed, evaluate, explain, index, parse, records, score, tables
+from rankloom.operators.sizes import shared_folder
 from rankloom.plans import catalog_records, ingest
 from rankloom.plans.store import Store
 from rankloom.sources import readers, writers
@@ -23,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rankloom-")
-    return f"{base.rstrip('/')}/rankloom/io-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/rankloom/io-{uuid.uuid4().hex}"
 
 
 def r6(col):
