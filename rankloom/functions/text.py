@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import string
 import unicodedata
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +26,30 @@ def tokens_b(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({WORDS_B})")), lambda x: F.lower(x))
 
 
+class Form(NamedTuple):
+    """How text becomes terms, for code in Arrow batches: the same terms as tokens_a and tokens_b give on the JVM."""
+
+    #: For each byte what it becomes: itself or its lower case within a term, a space between terms.
+    table: bytes
+    #: Whether letters beyond ASCII are lower-cased first: two of them become ASCII letters.
+    folds: bool
+
+    def terms(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        if self.folds and not text.isascii():
+            text = text.lower()
+        return text.encode().translate(self.table).split()
+
+
+def _form(signs: str, folds: bool) -> Form:
+    kept = (string.ascii_lowercase + string.digits + signs).encode()
+    return Form(bytes(b + 32 if 65 <= b <= 90 else b if b in kept else 32 for b in range(256)), folds)
+
+
+FORM_A, FORM_B = _form("", True), _form("+#.", False)
+
+
 def clean_string(value: str | None) -> str:
     """Compatibility forms and character references first, then tags to spaces, then white space to single spaces."""
     if value is None:
@@ -87,13 +113,10 @@ def last_tokens(text: Column, limit: int = 2048) -> Column:
     return F.when(F.size(parts) > limit, F.array_join(F.slice(parts, -limit, limit), " ")).otherwise(text)
 
 
-def edit_ratio(a: str, b: str) -> float:
-    """100 times the share of characters kept by insertions and deletions only: 2 * LCS / (len a + len b)."""
-    if not a and not b:
-        return 100.0
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, bit-parallel."""
     if not a or not b:
-        return 0.0
-    # Bit-parallel longest common subsequence.
+        return 0
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -102,7 +125,12 @@ def edit_ratio(a: str, b: str) -> float:
     for c in b:
         here = row & places.get(c, 0)
         row = ((row + here) | (row - here)) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    return len(a) - row.bit_count()
+
+
+def edit_ratio(a: str, b: str) -> float:
+    """100 times the share of characters kept by insertions and deletions only: 2 * LCS / (len a + len b)."""
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def token_set_ratio(a: str | None, b: str | None) -> float:

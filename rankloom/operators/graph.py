@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import vocab as V
-from rankloom.functions.text import name_similarity
-from rankloom.operators.sizes import small
+from rankloom.operators import similar
+from rankloom.operators.sizes import checkpointed, small
 
 FUZZY = 88.0
+#: Rows of a node above which its joins are cut.
+HUB = 4096
 
 
 def canonical(text: Column) -> Column:
@@ -29,42 +30,40 @@ def aliases(spark: SparkSession, names: dict[str, list[str]] | None = None) -> D
 
 
 def normalised(skills: DataFrame, column: str, names: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """column and skill for each distinct value: by exact alias, else by the most similar one that reaches the threshold, else itself.
-
-    Aliases are a small table that the caller states; only distinct values without an exact alias are compared with it."""
-    distinct = skills.select(F.col(column)).distinct().withColumn("_c", canonical(F.col(column)))
-    exact = distinct.join(small(names), F.col("_c") == F.col("alias"), "left")
-    known = sorted((r.alias, r.skill) for r in names.collect())
-
-    @F.pandas_udf("string")
-    def nearest(values: pd.Series) -> pd.Series:
-        def best(v: str) -> str:
-            score, at = max(((name_similarity(v, a), -i) for i, (a, _) in enumerate(known)), default=(0.0, 0))
-            return known[-at][1] if known and score >= threshold else v
-
-        return values.map(best)
-
-    return exact.select(column, F.when(F.col("skill").isNotNull(), F.col("skill")).otherwise(nearest("_c")).alias("skill"))
-
-
-def extended_vocabulary(ordered: list[str], names: dict[str, list[str]] | None = None, threshold: float = FUZZY) -> dict[str, list[str]]:
-    """The vocabulary after all skills in their order: an unseen one is a new skill, and from then on a name others may be near to.
-
-    The outcome depends on the order, so it is a fold over distinct values; a vocabulary is small beside its uses."""
-    import re
-
-    out = {k: sorted({k, *v}) for k, v in (V.ALIASES if names is None else names).items()}
-    by_alias = {a: k for k, v in out.items() for a in v}
-    for raw in ordered:
-        text = re.sub(r"\s+", " ", raw.lower().strip().replace("_", " ").replace("-", " ")).strip()
-        if not text or text in by_alias:
-            continue
-        near = max(((name_similarity(text, a), a) for a in sorted(by_alias)), key=lambda x: x[0], default=(0.0, ""))
-        skill = by_alias[near[1]] if near[0] >= threshold else text
-        out.setdefault(skill, [skill])
-        if near[0] < threshold:
-            by_alias[text] = skill
-    return out
+    """column and skill for each distinct value: by exact alias, else by the most similar one that reaches the threshold (the first
+    by its characters among equals), else itself. names: alias, skill; of several skills of an alias the first counts.
+
+    Values and aliases meet in equality joins (similar.similar_names); only distinct values without an exact alias take part."""
+    one = names.groupBy("alias").agg(F.min("skill").alias("skill"))
+    distinct = checkpointed(skills.select(F.col(column)).distinct().withColumn("_c", canonical(F.col(column))).join(one, F.col("_c") == F.col("alias"), "left").drop("alias"))
+    open_ = distinct.filter("skill is null and _c != ''").select(F.col("_c").alias("name")).distinct()
+    near = similar.best_names(open_, one.select(F.col("alias").alias("other")).filter("alias is not null"), threshold)
+    found = near.join(one.select(F.col("alias").alias("other"), F.col("skill").alias("_near")), "other").select(F.col("name").alias("_c"), "_near")
+    return distinct.join(found, "_c", "left").select(column, F.coalesce("skill", "_near", "_c").alias("skill"))
+
+
+def grown(rows: DataFrame, raw: str, at: str, names: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """alias and skill: the vocabulary `names` after all values of `raw` in the order of `at` (distinct places). A value that is no alias yet
+    becomes one: of the skill of the most similar alias before it that reaches the threshold, be that a given one or an
+    earlier value, or else of a new skill, itself.
+
+    So a value hangs on the most similar of what comes before it, whatever that hangs on, and a similarity join finds it for all values at once. What
+    remains is to follow each value up to a given alias or a new skill: pointers are doubled, a written round each, so rounds are the
+    logarithm of the longest chain."""
+    first = rows.groupBy(canonical(F.col(raw)).alias("name")).agg(F.min(at).alias("at")).filter("name != ''")
+    one = checkpointed(names.filter("alias is not null").groupBy("alias").agg(F.min("skill").alias("skill")))
+    values = checkpointed(first.join(one.select(F.col("alias").alias("name")), "name", "left_anti"))
+    before = one.select(F.col("alias").alias("other"), F.lit(None).cast(values.schema["at"].dataType).alias("other_at")).unionByName(values.select(F.col("name").alias("other"), F.col("at").alias("other_at")))
+    near = similar.similar_names(values.select("name"), before.select("other"), threshold).join(values, "name").join(before, "other").filter("other_at is null or other_at < at")
+    up = near.groupBy("name").agg(F.min_by("other", F.struct((-F.col("score")).alias("s"), "other")).alias("up"))
+    hung = checkpointed(values.join(up, "name", "left").select("name", "up"))
+    known = one.unionByName(hung.filter("up is null").select(F.col("name").alias("alias"), F.col("name").alias("skill")))
+    open_ = hung.filter("up is not null")
+    while not open_.isEmpty():
+        step = checkpointed(open_.join(known.select(F.col("alias").alias("up"), "skill"), "up", "left"))
+        known = checkpointed(known.unionByName(step.filter("skill is not null").select(F.col("name").alias("alias"), "skill")))
+        open_ = checkpointed(step.filter("skill is null").select("name", "up").join(open_.select(F.col("name").alias("up"), F.col("up").alias("next")), "up").select("name", F.col("next").alias("up")))
+    return known
 
 
 def implied(spark: SparkSession, names: DataFrame, implications: dict[str, list[str]] | None = None) -> DataFrame:
@@ -96,23 +95,40 @@ def wanted_edges(rows: DataFrame, query: str, skill: str, preferred: str) -> Dat
     return best.select(F.concat(F.lit("job:"), F.col(query).cast("string")).alias("src"), F.concat(F.lit("skill:"), F.col(skill)).alias("dst"), F.when(F.col("p"), "PREFERS_SKILL").otherwise("REQUIRES_SKILL").alias("kind"), F.when(F.col("p"), 0.5).otherwise(1.0).alias("weight"))
 
 
+def met_at(left: DataFrame, right: DataFrame, node: str, most: int = HUB) -> DataFrame:
+    """left and right joined on a node. Where a node has more than `most` rows on a side, both sides are cut there into pieces of about
+    that many rows, and each piece meets each of the other side's, in a task of its own."""
+    many = lambda df, n: df.groupBy(node).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(n))
+    hubs = small(checkpointed(many(left, "_l").join(many(right, "_r"), node).filter("_l > 1 or _r > 1")))
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        n = lambda c: F.coalesce(F.col(c), F.lit(1))
+        piece = F.pmod(F.xxhash64(*df.columns), n(own)).cast("int")
+        return df.join(hubs, node, "left").withColumn("_own", piece).withColumn("_other", F.explode(F.sequence(F.lit(0), n(other) - 1))).select(*df.columns, F.col("_own").alias(own), F.col("_other").alias(other))
+
+    return cut(left, "_l", "_r").join(cut(right, "_r", "_l"), [node, "_l", "_r"]).drop("_l", "_r")
+
+
+def reached(both: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """start, node and d: all nodes up to `steps` edges away. A step's new nodes are the next one's frontier; every step is written."""
+    found = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("d")).distinct()
+    for d in range(1, steps + 1):
+        next_ = met_at(frontier.select("start", "node"), both, "node").select("start", F.col("to").alias("node")).distinct()
+        frontier = checkpointed(next_.join(found, ["start", "node"], "left_anti").withColumn("d", F.lit(d)))
+        found = found.unionByName(frontier)
+    return found
+
+
 def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame, cutoff: int = 2) -> DataFrame:
-    """src, dst, distance between the given nodes in the undirected graph, up to `cutoff` (2 or 3); pairs farther apart are absent.
-    Where absent pairs count 3, as in closeness, a cutoff of 2 says the same as one of 3 and costs a join less.
-
-    Both ends are cut to the given nodes before the self-join on the middle node, so hubs meet only what is asked for."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst").distinct()
-    from_ = both.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    to = both.select(F.col("src").alias("mid"), F.col("dst").alias("end")).join(targets.select(F.col("node").alias("end")).distinct(), "end", "left_semi")
-    one = from_.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.lit(1).alias("d"))
-    two = from_.join(to, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst"), F.lit(2).alias("d")).distinct()
-    zero = sources.select(F.col("node").alias("src")).distinct().join(targets.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", F.col("src").alias("dst"), F.lit(0).alias("d"))
-    all_ = zero.unionByName(one).unionByName(two)
-    if cutoff >= 3:
-        step = both.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        reach = from_.join(step, F.col("dst") == F.col("a")).select("src", "b").distinct()
-        all_ = all_.unionByName(reach.join(to, F.col("b") == F.col("mid")).select("src", F.col("end").alias("dst"), F.lit(3).alias("d")).distinct())
-    return all_.groupBy("src", "dst").agg(F.min("d").alias("distance"))
+    """src, dst, distance between the given nodes in the undirected graph, up to `cutoff`; pairs farther apart are absent.
+    Where absent pairs count 3, as in closeness, a cutoff of 2 says the same as one of 3 and costs a step less.
+
+    Both ends are expanded, half of the cutoff each, and meet in the middle, so no path is followed to its end from one side; nodes with many
+    edges are cut into pieces, so no task makes all pairs of one."""
+    both = checkpointed(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))).filter("node != to").distinct())
+    from_ = reached(both, sources.select("node"), cutoff - cutoff // 2).select(F.col("start").alias("src"), "node", F.col("d").alias("d_src"))
+    to = reached(both, targets.select("node"), cutoff // 2).select(F.col("start").alias("dst"), "node", F.col("d").alias("d_dst"))
+    return met_at(from_, to, "node").groupBy("src", "dst").agg(F.min(F.col("d_src") + F.col("d_dst")).alias("distance"))
 
 
 def trajectories(roles: DataFrame, skills: DataFrame, entity: str, months: str, company: str, skill: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,94 +13,196 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.functions.text import tokens_a, tokens_b
-from rankloom.operators.sizes import small
+from rankloom.functions.text import FORM_A, FORM_B, Form, tokens_a, tokens_b
+from rankloom.operators.sizes import checkpointed, small
 
 K1, B = 1.5, 0.75
 #: Queries whose vectors are multiplied with all vectors in one pass.
 QUERY_BLOCK = 4096
+#: Bounds of what queries bring to the driver: rows of (query, term), and cells of (query, term) pairs.
+WANTED, CELLS = 200_000, 1 << 24
+#: Terms of a task's table, scores of a batch, and bytes a core below which a scan is dealt out anew.
+FLUSH, SCORES, SPREAD_BYTES = 1 << 19, 1 << 20, 32 << 20
 
 
-def term_counts(tokens: Column) -> Column:
-    """(term, tf) of a row's tokens, within the row: where runs begin in their sorted order, and how long they are."""
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in as many parts as there are cores, where they are so few bytes that a scan would have fewer."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else docs
 
-    def runs(s: Column) -> Column:
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        count = lambda first: F.transform(first, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s)) - i).cast("long").alias("tf")))
-        return F.transform(F.array(first), count)[0]
 
-    return F.transform(F.array(F.sort_array(F.coalesce(tokens, F.array().cast("array<string>")))), runs)[0]
-
-
-def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, text: str, form: Form) -> DataFrame:
     """doc_id, dl, term and tf of every pair, without a shuffle: a document is one row."""
-    found = docs.select(F.col(doc_id), F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
-    return found.select(doc_id, F.size("_tokens").alias("dl"), F.explode(term_counts(F.col("_tokens"))).alias("x")).select(doc_id, "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
-
-
-def vocabulary(docs: DataFrame, tokens: Column) -> DataFrame:
-    """term, df and cf of every term, and a row of no term whose df is the number of documents and cf their length: one pass over the corpus."""
-    found = docs.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("_tokens").cast("long").alias("tf")))
-    one = found.select(F.explode(F.concat(term_counts(F.col("_tokens")), whole)).alias("x"))
-    return one.groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("cf"))
-
-
-def parted(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the terms, one row of n and avgdl). Both tests read the sums too, so that Spark makes the table once for both."""
-    is_term = F.when((F.col("df") > 0) & (F.col("cf") >= 0), F.col("term").isNotNull())
-    stats = vocab.filter(~is_term).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.coalesce(F.max("cf"), F.lit(0)) / F.greatest(F.coalesce(F.max("df"), F.lit(0)), F.lit(1))).alias("avgdl"))
-    return vocab.filter(is_term), stats
-
-
-def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
+    rows = docs.select(F.col(doc_id), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                counts = [Counter(form.terms(t)) for t in part.column(1).to_pylist()]
+                many = [len(c) for c in counts]
+                dl = np.repeat([sum(c.values()) for c in counts], many)
+                columns = [part.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), pa.array(dl, pa.int64()), pa.array([w.decode() for c in counts for w in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "dl", "term", "tf"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[doc_id], *(T.StructField(n, t) for n, t in (("dl", T.LongType()), ("term", T.StringType()), ("tf", T.LongType())))]))
+
+
+def vocabulary(docs: DataFrame, text: str, form: Form, wanted: frozenset[bytes] | None = None) -> DataFrame:
+    """term, df, cf and max_tf of every term (of those wanted), and a row of no term whose df is the number of documents, cf their
+    length and max_tf the longest one's. A task adds up its documents, and gives its sums whenever they are FLUSH terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes | None, list[int]] = {}
+
+        def given() -> pa.RecordBatch:
+            columns = [pa.array([None if w is None else w.decode() for w in found], pa.string()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "df", "cf", "max_tf"])
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                terms = form.terms(value)
+                counts = Counter(terms if wanted is None else filter(wanted.__contains__, terms))
+                for w, n in [(None, len(terms)), *counts.items()]:
+                    x = found.get(w)
+                    if x is None:
+                        found[w] = [1, n, n]
+                    else:
+                        x[0] += 1
+                        x[1] += n
+                        x[2] = max(x[2], n)
+                if len(found) >= FLUSH:
+                    yield given()
+        yield given()
+
+    part = spread(docs.select(F.col(text).alias("_text"))).mapInArrow(run, "term string, df long, cf long, max_tf long")
+    return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+
+
+def corpus_stats(docs: DataFrame, text: str, form: Form) -> DataFrame:
     """One row: n (documents) and avgdl (mean length, of at least one document)."""
-    return docs.select(F.size(F.coalesce(tokens, F.array().cast("array<string>"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+    whole = vocabulary(docs, text, form, frozenset())
+    return whole.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.coalesce(F.sum("cf"), F.lit(0)) / F.greatest(F.coalesce(F.sum("df"), F.lit(0)), F.lit(1))).alias("avgdl"))
 
 
 def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def summed(docs: DataFrame, doc_id: str, tokens: Column, weights: DataFrame, few: bool, query_id: str) -> DataFrame:
-    """query_id, doc_id and score, the sum of weight * saturation over common terms. weights: query_id, term, weight, avgdl.
-
-    With few weights they go to the documents, and a document's sums are complete where its row is."""
-    parts = postings(docs, doc_id, tokens).join(F.broadcast(weights) if few else weights, "term")
+class Asked(NamedTuple):
+    """The terms of few queries, on the driver."""
+
+    queries: list
+    terms: list[bytes]
+    #: (term, query) and how often the query has the term.
+    times: dict[tuple[int, int], int]
+
+
+def asked_for(wanted: DataFrame, query_id: str) -> Asked | None:
+    """wanted (query_id, term, times) on the driver, or None where it has more than WANTED rows or CELLS cells."""
+    rows = wanted.select(query_id, "term", "times").limit(WANTED + 1).collect()
+    queries, terms = list(dict.fromkeys(r[0] for r in rows)), sorted({r[1].encode() for r in rows})
+    if len(rows) > WANTED or len(queries) * len(terms) > CELLS:
+        return None
+    q, t = {x: i for i, x in enumerate(queries)}, {x: i for i, x in enumerate(terms)}
+    return Asked(queries, terms, {(t[r[1].encode()], q[r[0]]): r[2] for r in rows})
+
+
+def scored(docs: DataFrame, doc_id: str, text: str, form: Form, asked: Asked, weight: dict[bytes, float], avgdl: float, query: T.StructField) -> DataFrame:
+    """query_id, doc_id and score, the sum of weight * saturation over common terms: a row of a small matrix of weights for each
+    common term, added up where the document is."""
+    rows = spread(docs.select(F.col(doc_id), F.col(text).alias("_text")))
+    table = np.zeros((len(asked.terms), len(asked.queries)))
+    has = np.zeros(table.shape, bool)
+    for (t, q), n in asked.times.items():
+        if asked.terms[t] in weight:
+            table[t, q], has[t, q] = n * weight[asked.terms[t]], True
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = pa.array(asked.queries, to_arrow_type(query.dataType))
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(asked.terms)}, table, has, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, table, has, names = shared.value
+        if not len(names):
+            return
+        step = max(1, SCORES // len(names))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                doc, query, score = [], [], []
+                for d, value in enumerate(part.column(1).to_pylist()):
+                    terms = form.terms(value)
+                    counts = Counter(filter(place.__contains__, terms))
+                    if counts:
+                        at, tf = np.array([place[w] for w in counts]), np.array(list(counts.values()), float)
+                        hit = np.flatnonzero(has[at].any(axis=0))
+                        query.append(hit)
+                        score.append(((tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms) / avgdl))) @ table[at])[hit])
+                        doc.append(np.full(len(hit), d))
+                if doc:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(query))), part.column(0).take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(score))], names=[query_name, doc_id, "score"])
+
+    query_name = query.name
+    return rows.mapInArrow(run, T.StructType([query, rows.schema[doc_id], T.StructField("score", T.DoubleType())]))
+
+
+def summed(docs: DataFrame, doc_id: str, text: str, form: Form, weights: DataFrame, query_id: str) -> DataFrame:
+    """What `scored` gives, for any number of queries: weights (query_id, term, weight, avgdl) and postings are joined."""
+    parts = postings(docs, doc_id, text, form).join(weights, "term")
     return parts.groupBy(query_id, doc_id).agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
-def is_broadcast(df: DataFrame) -> bool:
-    return small(df) is not df
+def positive_idf(df: int, n: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
 def bm25_a(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str) -> DataFrame:
     """query_id, doc_id, score: inverse document frequencies that stay positive, each query term once. doc_id names a row.
 
-    The corpus is read twice: for the frequencies of terms, and for the scores. Queries' terms travel to it if they are few."""
-    wanted = queries.select(query_id, F.explode(F.array_distinct(tokens_a(query_text))).alias("term"))
-    few = is_broadcast(wanted)
-    terms, stats = parted(vocabulary(docs, tokens_a(text)))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(F.broadcast(wanted) if few else wanted, "term").crossJoin(stats).select(query_id, "term", idf.alias("weight"), "avgdl")
-    return summed(docs, doc_id, tokens_a(text), weights, few, query_id)
+    The corpus is read twice: for the frequencies of the queries' terms, and for the scores. Terms of few queries come to the
+    driver and go to the corpus; those of many are joined with it."""
+    wanted = queries.select(query_id, F.explode(F.array_distinct(tokens_a(query_text))).alias("term")).withColumn("times", F.lit(1))
+    asked = asked_for(wanted, query_id)
+    if asked:
+        found = {r.term and r.term.encode(): r for r in vocabulary(docs, text, FORM_A, frozenset(asked.terms)).collect()}
+        n, length = (found[None].df, found[None].cf) if None in found else (0, 0)
+        return scored(docs, doc_id, text, FORM_A, asked, {w: positive_idf(r.df, n) for w, r in found.items() if w}, length / max(1, n), queries.schema[query_id])
+    all_ = checkpointed(vocabulary(docs, text, FORM_A))
+    n, avgdl = corpus_numbers(all_)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = all_.filter("term is not null").join(wanted, "term").select(query_id, "term", idf.alias("weight"), F.lit(avgdl).alias("avgdl"))
+    return summed(docs, doc_id, text, FORM_A, weights, query_id)
+
+
+def corpus_numbers(vocab: DataFrame) -> tuple[int, float]:
+    """(documents, mean length) of a table that `vocabulary` gave."""
+    row = vocab.filter("term is null").first()
+    return (row.df, row.cf / max(1, row.df)) if row else (0, 0.0)
 
 
-def okapi_idf(terms: DataFrame, stats: DataFrame, floor: float = 0.25) -> DataFrame:
-    """term and idf of all terms; negative ones become `floor` times the mean of all, negatives included."""
-    raw = terms.crossJoin(stats).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+def okapi_idf(vocab: DataFrame, n: int, floor: float = 0.25) -> Column:
+    """Each term's idf, by its df; negative ones are `floor` times the mean of all terms', negatives included."""
+    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = vocab.filter("term is not null").agg(F.coalesce(F.avg(raw), F.lit(0.0))).first()[0]
+    return F.when(raw < 0, floor * mean).otherwise(raw)
 
 
 def bm25_b(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str) -> DataFrame:
-    """query_id, doc_id, score: Okapi with floored frequencies, query terms as often as they stand in the query. Read as in bm25_a."""
+    """query_id, doc_id, score: Okapi with floored frequencies, query terms as often as they stand in the query. As bm25_a, but the
+    mean of the idf is over all terms, so all are counted."""
     wanted = queries.select(query_id, F.explode(tokens_b(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    few = is_broadcast(wanted)
-    idf = okapi_idf(*parted(vocabulary(docs, tokens_b(text))))
-    weights = idf.join(F.broadcast(wanted) if few else wanted, "term").select(query_id, "term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
-    return summed(docs, doc_id, tokens_b(text), weights, few, query_id)
+    asked = asked_for(wanted, query_id)
+    all_ = checkpointed(vocabulary(docs, text, FORM_B))
+    n, avgdl = corpus_numbers(all_)
+    idf = all_.filter("term is not null").select("term", okapi_idf(all_, n).alias("idf"))
+    if asked:
+        terms = docs.sparkSession.createDataFrame([(w.decode(),) for w in asked.terms], "term string")
+        return scored(docs, doc_id, text, FORM_B, asked, {r.term.encode(): r.idf for r in idf.join(small(terms), "term").collect()}, avgdl, queries.schema[query_id])
+    weights = idf.join(wanted, "term").select(query_id, "term", (F.col("times") * F.col("idf")).alias("weight"), F.lit(avgdl).alias("avgdl"))
+    return summed(docs, doc_id, text, FORM_B, weights, query_id)
 
 
 def min_max(scores: DataFrame, column: str, by: list[str] | None = None, constant: float = 0.0, out: str = "scaled", least: float = 1e-9) -> DataFrame:

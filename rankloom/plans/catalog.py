@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as X
 from rankloom.functions import vocab as V
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
-from rankloom.plans import catalog_io, catalog_records, second_ranker
+from rankloom.operators.sizes import checkpointed
+from rankloom.plans import catalog_io, catalog_records, catalog_search, second_ranker
 from rankloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,13 +102,12 @@ def bm25_minmax(spark, sf_dir):
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_A}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_stats(spark, sf_dir):
-    post = index.postings(documents(spark, sf_dir), "doc_id", X.tokens_a("text"))
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return index.vocabulary(documents(spark, sf_dir), "text", X.FORM_A).filter("term is not null").select("term", "df", "cf", "max_tf")
 
 
 @query(f"SELECT count(*) AS n, round(sum(len({TOKENS_A})) / greatest(count(*), 1), 6) AS avgdl FROM documents")
 def corpus_statistics(spark, sf_dir):
-    return index.corpus_stats(documents(spark, sf_dir), X.tokens_a("text")).select("n", r6("avgdl").alias("avgdl"))
+    return index.corpus_stats(documents(spark, sf_dir), "text", X.FORM_A).select("n", r6("avgdl").alias("avgdl"))
 
 
 COSINE = "round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6)"
@@ -662,7 +662,8 @@ ideal AS (SELECT item_id, rel, row_number() OVER (PARTITION BY item_id ORDER BY
 
 def judged(spark, sf_dir):
     """Rankings of 50, and judgments of the labelled documents among them."""
-    ranked = index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 50, "item_id", [F.desc("score"), F.asc("doc_id")]).select("item_id", "doc_id", "rank")
+    # Judgments and metrics both read the rankings, which are made once.
+    ranked = checkpointed(index.top_k(bm25_scores(spark, sf_dir).withColumn("score", r6("score")), 50, "item_id", [F.desc("score"), F.asc("doc_id")]).select("item_id", "doc_id", "rank"))
     rel = read(spark, sf_dir, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).cast("int").alias("rel"))
     judgments = ranked.join(rel, "doc_id").select("item_id", "doc_id", "rel")
     return ranked, judgments, evaluate.judged(ranked, judgments, "item_id", "doc_id")
@@ -744,5 +745,8 @@ def _of_records(name: str):
 for _name in catalog_records.QUERIES:
     _of_records(_name)
 
-for _make, _sql in catalog_io.QUERIES.values():
+for _make, _sql in (*catalog_io.QUERIES.values(), *catalog_search.QUERIES.values()):
     query(_sql)(_make)
+
+for _name, _of in (("stored_index_topk", "bm25_topk"), ("stored_index_okapi", "bm25_okapi_all_queries")):
+    query(SQL[_of])(getattr(catalog_search, _name))

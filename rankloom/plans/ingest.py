@@ -19,9 +19,7 @@ def from_tables(candidates: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
     entities, queries = tables.canonical_entities(numbered(candidates)), tables.canonical_queries(numbered(jobs))
     out, refused = {}, []
     for name, kind, rows, text, faults in (("candidates", "candidate", entities, "raw_resume_text", tables.entity_faults()), ("jobs", "job", queries, "raw_description", tables.query_faults())):
-        stay, gone = tables.deduplicated(rows, "id", text, "row_index") if kind == "candidate" else (*records.first_seen(rows, "id", "row_index"),)
-        if "reason" not in gone.columns:
-            gone = gone.withColumn("reason", F.lit("duplicate_id"))
+        stay, gone = tables.deduplicated(rows, "id", text, "row_index")
         good, bad = records.split_valid(stay, faults, name, kind, "id", "row_index")
         payload = F.to_json(F.struct(*[c for c in rows.columns]))
         refused += [bad, gone.select(F.lit(name).alias("source"), F.col("row_index").cast("int").alias("row_index"), F.lit(kind).alias("record_type"), F.col("id").alias("record_id"), "reason", payload.alias("payload"))]

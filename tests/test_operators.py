@@ -128,7 +128,8 @@ def test_skill_names_and_distances(spark):
     assert far(2) == {"a": 0, "b": 1, "c": 2} and far(3) == {"a": 0, "b": 1, "c": 2, "d": 3}
     held = spark.createDataFrame([("candidate:1", "a"), ("candidate:1", "b")], "src string, dst string")
     assert graph.distances(held, nodes("a"), nodes("b")).first().distance == 2
-    assert graph.extended_vocabulary(["pythn", "Rust", "rust lang", "Rust"])["rust"] == ["rust"]
+    grown = graph.grown(spark.createDataFrame(list(enumerate(["pythn", "Rust", "rust lang", "Rust"])), "at int, raw string"), "raw", "at", names)
+    assert {"pythn": "python", "rust": "rust", "rust lang": "rust", "py": "python"}.items() <= {r.alias: r.skill for r in grown.collect()}.items()
 
 
 def test_sections(spark):
@@ -173,7 +174,7 @@ def test_parsed_queries_and_provider(spark):
 
 def test_leaders_are_not_transitive(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, n int")
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
+    pairs = spark.createDataFrame([("a", "b", 1, 2), ("b", "c", 2, 3)], "a string, b string, order_a int, order_b int")
     got = {r.id: r.near_duplicate_of for r in tables.leaders(rows, pairs, "id").collect()}
     assert got == {"a": None, "b": "a", "c": None}
 
@@ -213,11 +214,11 @@ def test_deduplicated_is_the_greedy_pass(spark):
             stays.append(i)
     stay, gone = tables.deduplicated(rows, "id", "t", "at")
     assert {r.id for r in stay.collect()} == {f"k{i}" for i in stays} and len(stays) < len(texts)
-    reasons = {(r.id, r.at): r.reason for r in gone.collect()}
-    assert reasons.pop(("k3", 99)) == "duplicate_id" and len(reasons) == len(texts) - len(stays)
-    for (k, _), why in reasons.items():
-        of = int(why.removeprefix("near_duplicate_of:k"))
-        assert of in stays and token_set_ratio(texts[int(k[1:])], texts[of]) >= 99
+    reasons = {(r.id, r.at): (r.reason, r.near_of) for r in gone.collect()}
+    assert reasons.pop(("k3", 99)) == ("duplicate_id", None) and len(reasons) == len(texts) - len(stays)
+    for (k, _), (why, near_of) in reasons.items():
+        of = int(near_of.removeprefix("k"))
+        assert why == "near_duplicate_text" and of in stays and token_set_ratio(texts[int(k[1:])], texts[of]) >= 99
     assert all(df.columns[:3] == rows.columns for df in (stay, gone))
 
 
@@ -242,16 +243,19 @@ def test_inconsistencies(spark):
     assert b == {1: 1, 2: 1, 3: 0}
 
 
-def test_postings_count_within_a_row(spark):
+def test_postings_and_vocabulary(spark):
     from collections import Counter
 
-    texts = ["b a b c b", "", None, "x", "a a", "é é e"]
+    from rankloom.functions.text import FORM_A
+
+    texts = ["b a b c b", "", None, "x", "a a", "É e.e"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = {(r.id, r.term): (r.tf, r.dl) for r in index.postings(df, "id", F.split("t", " ")).filter("term != ''").collect()}
-    want = {(i, w): (n, len(t.split(" "))) for i, t in enumerate(texts) if t for w, n in Counter(t.split()).items()}
-    assert got == want
-    vocab = {r.term: (r.df, r.cf) for r in index.vocabulary(df, F.split("t", " ")).collect()}
-    assert vocab[None] == (6, 12) and vocab["a"] == (2, 3) and vocab["b"] == (1, 3)
+    words = {i: [w.decode() for w in FORM_A.terms(t)] for i, t in enumerate(texts)}
+    got = {(r.id, r.term): (r.tf, r.dl) for r in index.postings(df, "id", "t", FORM_A).collect()}
+    assert got == {(i, w): (n, len(ws)) for i, ws in words.items() for w, n in Counter(ws).items()}
+    vocab = {r.term: (r.df, r.cf, r.max_tf) for r in index.vocabulary(df, "t", FORM_A).collect()}
+    assert vocab == {None: (6, 10, 5), "a": (2, 3, 2), "b": (1, 3, 3), "c": (1, 1, 1), "x": (1, 1, 1), "e": (1, 2, 2)}
+    assert {r.term for r in index.vocabulary(df, "t", FORM_A, frozenset([b"a", b"q"])).collect()} == {None, "a"}
 
 
 def test_nearest_neighbours_are_exact_with_ties(spark, monkeypatch):
