@@ -11,8 +11,8 @@ A posting's weight is its BM25 saturation, which no query changes; a block's `to
 whole number. A term's bucket is the crc32 of its bytes.
 
 A request knows from `terms` how deep each of its terms goes. It reads the blocks of the highest levels, HEAD postings a
-term at first, and adds up what it sees. The k-th best sum is a bound that a document has to reach; a document that wasn't seen can have no more
-than each term's heaviest unread posting. Where that is less, no other document can come in; else the request reads twice as deep. Documents
+term at first (more for few terms), and adds up what it sees. The k-th best sum is a bound that a document has to reach; a document that wasn't seen can have no more
+than each term's heaviest unread posting. Where that is less, no other document can come in; else the request reads deeper. Documents
 that might still reach the bound get their whole sums from `documents`. So results are those of a pass over the whole corpus.
 
 Building needs two shuffles of the postings. A task sorts its own postings by term and weight, and cuts full blocks off at once;
@@ -27,11 +27,10 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +42,16 @@ from rankloom.operators.sizes import checkpointed
 BLOCK, LEVELS = 128, 32
 #: Postings that a task sorts at once, and that are merged at once of what is left of a term.
 CHUNK, MERGED = 1 << 21, 1 << 20
-HEAD = 1_000
+#: Postings a term, and a request, that are read at first.
+HEAD, FIRST = 1_000, 1 << 18
 #: A bucket has about so many terms, a part about so many documents.
 BUCKET_TERMS, PART_DOCUMENTS, MOST = 4_096, 4_096, 4_096
-SPREAD = 16
+#: A bucket's full blocks are dealt to a task for each BUCKET_POSTINGS of them, SPREAD tasks at the most.
+BUCKET_POSTINGS, SPREAD = 4 << 20, 64
 #: Terms of a request up to which they are filters of the scan, and documents of which a request asks for the whole sums at once.
 FILTERS, UNSURE = 64, 10_000
+#: Postings that a request may bring to the driver, and rows of its answer; with more, Spark makes the sums.
+DRIVER = 1 << 20
 FORMS = {"a": (FORM_A, tokens_a), "b": (FORM_B, tokens_b)}
 
 
@@ -84,7 +87,9 @@ def write(docs: DataFrame, doc_id: str, text: str, path: str, form: str = "a") -
     by_document = index.spread(docs.select(doc_id, text)).mapInArrow(listed, listed_as)
     dealt = by_document.withColumn("part", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)).cast("int"))
     dealt.repartition(parts, "part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").parquet(f"{path}/documents")
-    _blocks(spark.read.schema(listed_as).parquet(f"{path}/documents"), kind, buckets).write.partitionBy("bucket").parquet(f"{path}/blocks")
+    total = own.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    spread = max(1, min(SPREAD, total // buckets // BUCKET_POSTINGS))
+    _blocks(spark.read.schema(listed_as).parquet(f"{path}/documents"), kind, buckets, spread).write.partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema("term string, level int, docs array<" + kind.simpleString() + ">, bucket int").parquet(f"{path}/blocks")
     levels = blocks.groupBy("term", "level").agg(F.sum(F.size("docs")).alias("n")).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("levels"))
     terms = own.join(levels, "term").select("term", "df", "levels", bucket_of(F.col("term"), buckets).alias("bucket"))
@@ -100,23 +105,23 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _blocks(documents: DataFrame, kind: T.DataType, buckets: int) -> DataFrame:
+def _blocks(documents: DataFrame, kind: T.DataType, buckets: int, spread: int) -> DataFrame:
     """term, level, top, docs, weights and bucket: a term's postings in blocks, the heaviest first."""
     id_type = to_arrow(kind)
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("top", T.DoubleType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
-    def made(rows: list[tuple[str, pa.Array, np.ndarray]]) -> pa.RecordBatch:
-        """rows: a term, its documents and their weights, falling."""
-        sizes = np.cumsum([0, *(len(w) for _, _, w in rows)])
-        ids = pa.concat_arrays([d for _, d, _ in rows])
-        tops = np.array([w[0] for _, _, w in rows])
-        weights = pa.array(np.concatenate([w for _, _, w in rows]))
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in rows], pa.string()), pa.array(np.floor(tops * LEVELS).astype(np.int32)), pa.array(tops), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), ids), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), weights)], names=schema.names)
-
-    def cut(term: str, ids: pa.Array, weights: np.ndarray) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
-        order = np.argsort(-weights, kind="stable")
-        for lo in range(0, len(order), BLOCK):
-            yield term, ids.take(pa.array(order[lo : lo + BLOCK])), weights[order[lo : lo + BLOCK]]
+    def cut(terms: pa.Array, code: np.ndarray, ids: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
+        """Blocks of postings: of each the place of its term in terms, its document and its weight."""
+        order = np.lexsort((-weights, code))
+        n = np.bincount(code, minlength=len(terms))
+        many = -(-n // BLOCK)
+        of = np.repeat(np.arange(len(terms)), many)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.cumsum(np.minimum(BLOCK, n[of] - nth * BLOCK))
+        offsets, weights = pa.array(np.concatenate([[0], ends]), pa.int32()), weights[order]
+        tops = weights[np.concatenate([[0], ends])[:-1].astype(np.int64)]
+        lists = pa.ListArray.from_arrays(offsets, ids.take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(weights))
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(of)), pa.array(np.floor(tops * LEVELS).astype(np.int32)), pa.array(tops), *lists], names=schema.names)
 
     def sorted_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -126,50 +131,36 @@ def _blocks(documents: DataFrame, kind: T.DataType, buckets: int) -> DataFrame:
                 many = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held])
                 ids = pa.concat_arrays([b.column(0) for b in held]).take(pa.array(np.repeat(np.arange(len(many)), many)))
                 coded = pa.concat_arrays([b.column(1).flatten() for b in held]).dictionary_encode()
-                code, weights = coded.indices.to_numpy(zero_copy_only=False), np.concatenate([b.column(2).flatten().to_numpy() for b in held])
-                order = np.argsort(code, kind="stable")
-                ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
-                out: list[tuple] = []
-                for term, lo, hi in zip(coded.dictionary.to_pylist(), np.concatenate([[0], ends]), ends):
-                    some = order[lo:hi]
-                    out += cut(term, ids.take(pa.array(some)), weights[some])
-                    if len(out) >= 4096:
-                        yield made(out)
-                        out = []
-                if out:
-                    yield made(out)
+                yield cut(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ids, np.concatenate([b.column(2).flatten().to_numpy() for b in held]))
                 held, size = [], 0
             if batch is not None and batch.num_rows:
                 held.append(batch)
                 size += len(batch.column(1).flatten())
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full blocks pass; what is left of a term, row after row, is put together and cut again."""
-        term, ids, weights, size, out = None, [], [], 0, []
+        """Full blocks pass; what is left of a term, row after row, is put together and cut again. The last term of a batch waits for the next."""
+        held: pa.RecordBatch | None = None
         for batch in itertools.chain(batches, [None]):
-            rows = [] if batch is None else zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4))
-            for t, d, w in rows:
-                if len(w) == BLOCK:
-                    out.append((t, d.values, w.values.to_numpy()))
-                else:
-                    if ids and (t != term or size >= MERGED):
-                        out += cut(term, pa.concat_arrays(ids), np.concatenate(weights))
-                        ids, weights, size = [], [], 0
-                    term = t
-                    ids.append(d.values)
-                    weights.append(w.values.to_numpy())
-                    size += len(w)
-                if len(out) >= 4096:
-                    yield made(out)
-                    out = []
-        if ids:
-            out += cut(term, pa.concat_arrays(ids), np.concatenate(weights))
-        if out:
-            yield made(out)
+            if batch is not None:
+                full = pa.array(np.diff(batch.column(3).offsets.to_numpy()) == BLOCK)
+                yield batch.filter(full)
+                batch = batch.filter(pc.invert(full))
+                if not batch.num_rows:
+                    continue
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            last = held.column(0)[held.num_rows - 1]
+            ready = held.num_rows if batch is None or len(held.column(3).flatten()) >= MERGED else int(np.argmax(pc.equal(held.column(0), last).to_numpy(zero_copy_only=False)))
+            if ready:
+                now, held = held.slice(0, ready), held.slice(ready)
+                coded = now.column(0).dictionary_encode()
+                many = np.diff(now.column(3).offsets.to_numpy())
+                yield cut(coded.dictionary, np.repeat(coded.indices.to_numpy(zero_copy_only=False), many), now.column(3).flatten(), now.column(4).flatten().to_numpy())
 
     bucket = bucket_of(F.col("term"), buckets)
     full = F.size("docs") == BLOCK
-    loose = documents.mapInArrow(sorted_, schema).withColumn("_bucket", bucket).withColumn("_deal", F.when(full, F.pmod(F.xxhash64("docs"), F.lit(SPREAD))).otherwise(F.lit(-1)))
+    loose = documents.mapInArrow(sorted_, schema).withColumn("_bucket", bucket).withColumn("_deal", F.when(full, F.pmod(F.xxhash64("docs"), F.lit(spread))).otherwise(F.lit(0)))
     met = loose.repartition("_bucket", "_deal").sortWithinPartitions("_bucket", "term", F.size("docs")).select(*schema.names)
     return met.mapInArrow(merged, schema).withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", F.desc("top"))
 
@@ -201,13 +192,14 @@ class Store:
         kind = self.doc_type.simpleString()
         read = self._read("blocks", "bucket", self.buckets(list(cuts)), f"term string, level int, top double, docs array<{kind}>, weights array<double>, bucket int")
         if len(cuts) <= FILTERS:
-            return read.filter(reduce(or_, [(F.col("term") == t.decode()) & (F.col("level") >= level) for t, level in sorted(cuts.items())]))
+            # Terms are letters, digits and a few signs, none of them a quote.
+            return read.filter(" or ".join(f"(term = '{t.decode()}' and level >= {level})" for t, level in sorted(cuts.items())))
         cut = self.spark.createDataFrame([(t.decode(), level) for t, level in cuts.items()], "term string, cut int")
         return read.join(F.broadcast(cut), "term").filter("level >= cut").drop("cut")
 
     def documents(self, ids: list) -> DataFrame:
         parts = sorted({zlib.crc32(str(i).encode()) % self.stats.parts for i in ids})
-        return self._read("documents", "part", parts, f"doc_id {self.stats.doc_type}, terms array<string>, weights array<double>, part int").filter(F.col("doc_id").isin(ids))
+        return self._read("documents", "part", parts, f"doc_id {self.stats.doc_type}, terms array<string>, weights array<double>, part int").filter(F.col("doc_id").isin(ids) if len(ids) <= FILTERS else F.lit(True))
 
     def weight(self, df: int) -> float:
         if self.stats.form == "a":
@@ -215,7 +207,7 @@ class Store:
         raw = math.log(self.stats.n - df + 0.5) - math.log(df + 0.5)
         return raw if raw >= 0 else 0.25 * self.stats.mean
 
-    def search(self, queries: DataFrame, query_id: str, query_text: str, k: int, digits: int = 6, head: int = HEAD) -> DataFrame:
+    def search(self, queries: DataFrame, query_id: str, query_text: str, k: int, digits: int = 6, head: int | None = None) -> DataFrame:
         """query_id, doc_id, rank and score (rounded to `digits`) of each query's first k documents, ties to the lesser doc_id; those
         without a common term are absent. The queries' terms come to the driver: WANTED of them at the most, else it is an error."""
         tokens = FORMS[self.stats.form][1](query_text)
@@ -226,49 +218,105 @@ class Store:
             raise ValueError(f"more than {index.WANTED} terms in one request")
         return self.answer(asked, queries.schema[query_id], k, digits, head)
 
-    def answer(self, asked: index.Asked, query: T.StructField, k: int, digits: int = 6, head: int = HEAD) -> DataFrame:
+    def request(self, texts: dict, k: int, query: str = "query_id", digits: int = 6, head: int | None = None) -> DataFrame:
+        """`search` for a few texts by their id, without a job for their terms."""
+        times: dict[tuple[bytes, int], int] = {}
+        for q, text in enumerate(texts.values()):
+            for t in FORMS[self.stats.form][0].terms(text):
+                times[t, q] = 1 if self.stats.form == "a" else times.get((t, q), 0) + 1
+        terms = sorted({t for t, _ in times})
+        kind = T.LongType() if all(isinstance(x, int) for x in texts) else T.StringType()
+        return self.answer(index.Asked(list(texts), terms, {(terms.index(t), q): n for (t, q), n in times.items()}), T.StructField(query, kind), k, digits, head)
+
+    def answer(self, asked: index.Asked, query: T.StructField, k: int, digits: int = 6, head: int | None = None) -> DataFrame:
         out = T.StructType([query, T.StructField("doc_id", self.doc_type), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())])
         known = self.terms(asked.terms)
         weight = {t: self.weight(df) for t, (df, _) in known.items()}
-        if not known:
-            return self.spark.createDataFrame([], out)
-        margin, depth = 2 * 10.0**-digits, head
+        # As deep for each term as a small request can be read at once.
+        margin, depth = 2 * 10.0**-digits, head if head is not None else max(HEAD, FIRST // max(1, len(known)))
         pairs = [(asked.terms[t].decode(), q, n * weight[asked.terms[t]]) for (t, q), n in asked.times.items() if asked.terms[t] in known]
-        while True:
-            cuts, unread = {}, {}
+        while known:
+            cuts, unread, size = {}, {}, 0
             for t, (_, levels) in known.items():
                 # Weights below 0 only take away, so their terms are read whole: sums are then lower bounds.
-                upto = next((i for i, so_far in enumerate(itertools.accumulate(n for _, n in levels)) if so_far >= depth), len(levels) - 1) if weight[t] >= 0 else len(levels) - 1
-                cuts[t] = levels[upto][0]
+                so_far = list(itertools.accumulate(n for _, n in levels))
+                upto = next((i for i, n in enumerate(so_far) if n >= depth), len(levels) - 1) if weight[t] >= 0 else len(levels) - 1
+                cuts[t], size = levels[upto][0], size + so_far[upto]
                 # A level's blocks have tops below its upper end.
                 unread[t] = (levels[upto + 1][0] + 1) / LEVELS if upto + 1 < len(levels) else 0.0
             bound = [(t, q, w, w * unread[t.encode()] if w > 0 else 0.0) for t, q, w in pairs]
-            sums = self.sums(cuts, bound).persist()
-            best = Window.partitionBy("_q").orderBy(F.desc("seen"))
-            kth = {r["_q"]: r.seen for r in sums.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") == k).select("_q", "seen").collect()}
             rest = dict.fromkeys(range(len(asked.queries)), 0.0)
             for _, q, _, r in bound:
                 rest[q] += r
-            if all(r == 0 or (q in kth and r < kth[q] - margin) for q, r in rest.items()):
-                limits = self.spark.createDataFrame([(q, rest[q], kth.get(q, -math.inf)) for q in rest], "_q int, rest double, kth double")
-                # What a document may have beyond what was seen: the unread parts of the terms it was not seen in.
-                reach = sums.join(F.broadcast(limits), "_q").withColumn("open", F.greatest(F.col("rest") - F.col("closed"), F.lit(0.0))).filter(F.col("seen") + F.col("open") >= F.col("kth") - margin)
-                unsure = [(r["_q"], r.doc_id) for r in reach.filter("open > 1e-12").select("_q", "doc_id").limit(UNSURE + 1).collect()]
-                if len(unsure) <= UNSURE:
-                    break
-            sums.unpersist()
+            if size <= DRIVER:
+                found = self.few(cuts, bound, rest, k, margin)
+                if found is not None:
+                    sure, unsure = found
+                    sure += [(r["_q"], r.doc_id, r.score) for r in self.whole(unsure, bound).collect()] if unsure else []
+                    best: dict[int, list] = {}
+                    for q, doc, score in sure:
+                        best.setdefault(q, []).append((-round(score, digits), doc))
+                    return self.spark.createDataFrame([(asked.queries[q], doc, i + 1, -score) for q, rows in best.items() for i, (score, doc) in enumerate(sorted(rows)[:k])], out)
+            elif (found := self.many(cuts, bound, rest, k, margin)) is not None:
+                sure, unsure = found
+                sure = sure.unionByName(self.whole(unsure, bound)) if unsure else sure
+                names = self.spark.createDataFrame(list(enumerate(asked.queries)), T.StructType([T.StructField("_q", T.IntegerType()), query]))
+                ranked = index.top_k(sure.withColumn("score", F.round("score", digits)), k, "_q", [F.desc("score"), F.asc("doc_id")])
+                return checkpointed(ranked.join(F.broadcast(names), "_q").select(query.name, "doc_id", "rank", "score"))
             depth *= 4
-        sure = reach.filter("open <= 1e-12").select("_q", "doc_id", F.col("seen").alias("score"))
-        if unsure:
-            again = self.spark.createDataFrame(unsure, T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("doc_id", self.doc_type)]))
-            own = self.documents(sorted({i for _, i in unsure})).select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.weights").alias("posting"))
-            full = own.join(F.broadcast(self.small(bound)), "term").join(F.broadcast(again), ["_q", "doc_id"]).groupBy("_q", "doc_id").agg(F.sum(F.col("w") * F.col("posting")).alias("score"))
-            sure = sure.unionByName(full)
-        names = self.spark.createDataFrame(list(enumerate(asked.queries)), T.StructType([T.StructField("_q", T.IntegerType()), query]))
-        ranked = index.top_k(sure.withColumn("score", F.round("score", digits)), k, "_q", [F.desc("score"), F.asc("doc_id")])
-        found = checkpointed(ranked.join(F.broadcast(names), "_q").select(query.name, "doc_id", "rank", "score"))
-        sums.unpersist()
-        return found
+        return self.spark.createDataFrame([], out)
+
+    def pairs_of(self, rows: list[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(rows, T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("doc_id", self.doc_type)]))
+
+    def few(self, cuts: dict[bytes, int], bound: list[tuple], rest: dict[int, float], k: int, margin: float) -> tuple[list, list] | None:
+        """((_q, doc_id, score) of documents whose sums are whole; (_q, doc_id) of others that may reach a place), or None where more must be
+        read. For requests that read DRIVER postings at the most: one job, the sums are made here."""
+        read = self.blocks(cuts).select("term", "docs", "weights").toArrow()
+        coded = pa.concat_arrays([c.flatten() for c in read.column(1).chunks] or [pa.array([], pa.int64())]).dictionary_encode()
+        code, ids = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        posting = np.concatenate([c.flatten().to_numpy() for c in read.column(2).chunks] or [np.zeros(0)])
+        many = np.concatenate([np.diff(c.offsets.to_numpy()) for c in read.column(1).chunks] or [np.zeros(0, np.int64)])
+        own: dict[str, list] = {}
+        for t, q, w, r in bound:
+            own.setdefault(t, []).append((q, w, r))
+        at = np.cumsum(many) - many
+        seen = {q: (np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)) for q in rest}
+        for t, lo, n in zip(read.column(0).to_pylist(), at, many):
+            some = code[lo : lo + n]
+            for q, w, r in own.get(t, []):
+                seen[q][0][some] += w * posting[lo : lo + n]
+                seen[q][1][some] += r
+                seen[q][2][some] = True
+        sure, unsure = [], []
+        for q, (total, closed, hit) in seen.items():
+            here = np.flatnonzero(hit)
+            kth = np.partition(total[here], len(here) - k)[len(here) - k] if len(here) >= k else -math.inf
+            if rest[q] > 0 and not rest[q] < kth - margin:
+                return None
+            open_ = np.maximum(rest[q] - closed[here], 0.0)
+            reach = total[here] + open_ >= kth - margin
+            sure += [(q, ids[d], float(total[d])) for d in here[reach & (open_ <= 1e-12)]]
+            unsure += [(q, ids[d]) for d in here[reach & (open_ > 1e-12)]]
+        return (sure, unsure) if len(unsure) <= UNSURE else None
+
+    def many(self, cuts: dict[bytes, int], bound: list[tuple], rest: dict[int, float], k: int, margin: float) -> tuple[DataFrame, list] | None:
+        """As `few`, for any number of postings: sums are grouped by Spark and written."""
+        sums = checkpointed(self.sums(cuts, bound))
+        best = Window.partitionBy("_q").orderBy(F.desc("seen"))
+        kth = {r["_q"]: r.seen for r in sums.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") == k).select("_q", "seen").collect()}
+        if not all(r == 0 or (q in kth and r < kth[q] - margin) for q, r in rest.items()):
+            return None
+        limits = self.spark.createDataFrame([(q, rest[q], kth.get(q, -math.inf)) for q in rest], "_q int, rest double, kth double")
+        # What a document may have beyond what was seen: the unread parts of the terms it was not seen in.
+        reach = sums.join(F.broadcast(limits), "_q").withColumn("open", F.greatest(F.col("rest") - F.col("closed"), F.lit(0.0))).filter(F.col("seen") + F.col("open") >= F.col("kth") - margin)
+        unsure = [(r["_q"], r.doc_id) for r in reach.filter("open > 1e-12").select("_q", "doc_id").limit(UNSURE + 1).collect()]
+        return (reach.filter("open <= 1e-12").select("_q", "doc_id", F.col("seen").alias("score")), unsure) if len(unsure) <= UNSURE else None
+
+    def whole(self, pairs: list[tuple], bound: list[tuple]) -> DataFrame:
+        """_q, doc_id and score of pairs of them, from the documents' own postings."""
+        own = self.documents(sorted({i for _, i in pairs})).select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.weights").alias("posting"))
+        return own.join(F.broadcast(self.small(bound)), "term").join(F.broadcast(self.pairs_of(pairs)), ["_q", "doc_id"]).groupBy("_q", "doc_id").agg(F.sum(F.col("w") * F.col("posting")).alias("score"))
 
     def small(self, bound: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(bound, "term string, _q int, w double, r double")

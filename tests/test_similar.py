@@ -167,10 +167,13 @@ def test_stored_index_answers_as_a_pass_over_the_corpus(spark, tmp_path, form, m
     store = text_store.Store(spark, path)
     whole = (index.bm25_a if form == "a" else index.bm25_b)(docs, asked, "id", "t", "q", "text").withColumn("score", F.round("score", 6))
     want = {(r.q, r.id, r.rank, r.score) for r in index.top_k(whole, 5, "q", [F.desc("score"), F.asc("id")]).collect()}
-    for head in (4, 40, 1 << 30):
+    for head, driver in ((4, 1 << 20), (40, 1 << 20), (1 << 30, 1 << 20), (4, 0), (40, 0)):
+        monkeypatch.setattr(text_store, "DRIVER", driver)
         got = {(r.q, r.doc_id, r.rank, r.score) for r in store.search(asked, "q", "text", 5, head=head).collect()}
         assert {x[:3] for x in got} == {x[:3] for x in want} and len(want) > 60
         assert sorted(x[3] for x in got) == pytest.approx(sorted(x[3] for x in want), abs=2e-6)
+    few = {r.q: r.text for r in asked.collect()}
+    assert {(r.q, r.doc_id, r.rank) for r in store.request(few, 5, "q").collect()} == {x[:3] for x in want}
 
 
 def test_a_request_reads_its_own_buckets(spark, tmp_path, monkeypatch):
