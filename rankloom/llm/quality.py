@@ -1,12 +1,13 @@
 """Quality rules by weak supervision (operator 8).
 
-Each rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns estimates
-for each rule how it votes on good and on bad documents, and the share of good ones; a document's posterior probability
-of being good then decides, in place of a demand that all rules pass. Rules in ALONE reject by a bad vote of their own:
-abusive prose has the shape of good prose, so no other rule's vote speaks against it.
-
-Null text counts as empty. Empty tables give empty results. Repeated rows each get their own row. Rules that never vote
-leave the posterior at the prior. Whole texts are read, whatever their length. Columns with the name of a new one are replaced.
+Each rule votes good, bad or abstains on a document, which is of one of three kinds: good, junk, or toxic prose, which has the shape
+of good prose. Expectation-maximisation over the counts of vote patterns estimates how the rules of shape vote on prose and on
+junk, and the shares of the kinds. The rules in LEXICAL look at what words say: their words, and how they vote on toxic documents and on others,
+are fitted on labels. A document's posterior probability of being good then decides, in place of a demand that all rules pass: a single word
+that also stands in toxic documents is outvoted. Without labels of toxic documents there are two kinds and no lexical votes.
+
+Null text counts as empty. Empty tables give empty results. Repeated rows each get their own row. A document with several labels is toxic
+if one says so; null labels say nothing. Rules that never vote leave the posterior at the prior. Whole texts are read, whatever their length. Columns with the name of a new one are replaced.
 Rules on the length of words abstain where most characters are of scripts that write none between spaces (code points from
 U+0E00 on); a line's end mark may be one of any script.
 """
@@ -16,14 +17,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import texts, with_columns, written
+from rankloom.llm.common import dropped, texts, with_columns, written
 
-FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long", "n_spaced": "long", "n_abusive": "long", "n_abusive_stems": "long"}
+FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_unplain": "long", "n_unended": "long", "n_spaced": "long", "n_toxic": "long", "n_toxic_stems": "long"}
 
 #: Rule: (numerator, denominator, good at or below, bad at or above). Between the two bounds, or where the denominator is 0, it abstains.
 RULES = {
@@ -34,27 +36,18 @@ RULES = {
     "unended_lines": ("n_unended", "n_lines", 0.3, 0.8),
     "short_words": ("n_spaced", "word_chars", 0.34, 0.6),
     "long_words": ("word_chars", "n_spaced", 9.0, 16.0),
-    "abusive_words": ("n_abusive", "n_words", 0.0, 0.003),
-    "abusive_stems": ("n_abusive_stems", "n_words", 0.006, 0.012),
+    "toxic_words": ("n_toxic", "n_words", 0.0, 0.003),
+    "toxic_stems": ("n_toxic_stems", "n_words", 0.004, 0.009),
 }
 
-#: Rules whose bad vote rejects a document whatever the others say.
-ALONE = ("abusive_words", "abusive_stems")
-
-#: The first ten stand in toxic documents of sf0.1's labels and in no more than one other; the rest are their plurals and like words of the four languages.
-ABUSIVE = frozenset(
-    "idiot moron stupid pathetic worthless disgusting trash scum clown loser "
-    "idiots morons losers clowns imbecile imbeciles retard retarded bastard bastards asshole assholes "
-    "imbécile imbéciles connard connards salaud abruti idiote idiotes "
-    "vollidiot abschaum arschloch idioten schwachkopf "
-    "idiota idiotas imbécil imbéciles estúpido estúpida gilipollas pendejo".split()
-)
-#: Stems of toxic wording are fitted on so many labelled documents at most, the first by the hash of their ids: starts of 3 to 8 letters that stand in at
-#: least FEWEST documents at a rate of one of RATES, with this share of toxic ones among these. At most MOST of them are used.
-LABELLED, FEWEST, RATES, PURE, MOST = 20_000, 5, (0.006, 0.012), 0.9, 2_000
+#: Rules on what words say. One toxic word is no bad vote, LEAST are, at the rate in RULES.
+LEXICAL = ("toxic_words", "toxic_stems")
+LEAST = {"n_toxic": 2}
+#: They are fitted on so many labelled documents at most, the first by the hash of their ids. A word counts if it stands in FEWEST toxic
+#: ones and this share of the documents that have it are toxic; a start of 3 to 8 letters if that holds for the documents that have it at one of RATES.
+LABELLED, FEWEST, RATES, PURE = 20_000, 5, (0.006, 0.012), 0.9
 #: Bytes of words are letters and bytes beyond ASCII; upper case to lower, all others to a space.
 PLAIN = bytes(c | 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
-ABUSIVE_BYTES = frozenset(w.encode() for w in ABUSIVE)
 
 #: Where expectation-maximisation starts: how often a rule that doesn't abstain votes bad on a good and on a bad document.
 BAD_VOTES = {True: 0.01, False: 0.3}
@@ -96,30 +89,39 @@ def features(text: bytes) -> tuple[int, ...]:
     return n, chars, len(text) - len(text.translate(None, SYMBOLS)), n_dup, n_repeat, n_lines, n_unplain, n_unended, 0 if 2 * wide > chars else n
 
 
-def stem_pattern(stems: list[bytes]) -> re.Pattern | None:
-    return re.compile(b" (?:" + b"|".join(re.escape(x) for x in stems) + b")") if stems else None
+class Lexicon(NamedTuple):
+    """Words of toxic documents, and starts of words by their first three bytes. No more than the labelled documents have."""
+
+    words: frozenset[bytes] = frozenset()
+    stems: dict[bytes, tuple[bytes, ...]] = {}
 
+    def counts(self, text: bytes) -> tuple[int, int]:
+        """How many words of a text are toxic, and how many start as toxic ones do, without regard to ASCII case and marks around them."""
+        if not self.words and not self.stems:
+            return 0, 0
+        words = text.translate(PLAIN).split()
+        n = 0 if self.words.isdisjoint(words) else sum([w in self.words for w in words])
+        return n, sum([w.startswith(self.stems[w[:3]]) for w in words if w[:3] in self.stems])
 
-def abusive(text: bytes, stems: re.Pattern | None = None) -> tuple[int, int]:
-    """How many words of a text are abusive, and how many start with one of the stems, without regard to ASCII case and marks around them."""
-    plain = text.translate(PLAIN)
-    words = plain.split()
-    found = 0 if ABUSIVE_BYTES.isdisjoint(words) else sum([w in ABUSIVE_BYTES for w in words])
-    return found, len(stems.findall(b" " + plain)) if stems else 0
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with toxic, for the documents of at most LABELLED labels."""
+    one = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.join(F.broadcast(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)), "doc_id")
 
-def toxic_stems(docs: DataFrame, labels: DataFrame | None, text: str = "text") -> list[bytes]:
-    """Starts of words that set toxic documents apart, from the labels (doc_id, toxic) of at most LABELLED documents."""
+
+def lexicon(docs: DataFrame, labels: DataFrame | None, text: str = "text") -> Lexicon:
+    """What sets toxic documents apart, from the labels (doc_id, toxic) of at most LABELLED documents."""
     if labels is None:
-        return []
-    some = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = docs.select("doc_id", text).join(F.broadcast(some), "doc_id").select("toxic", text)
+        return Lexicon()
+    known = labelled(docs.select("doc_id", text), labels).select("toxic", text)
 
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
             for toxic, x in zip(batch.column(0).to_pylist(), texts(batch, text)):
                 words = x.translate(PLAIN).decode("utf-8", "replace").split()
+                seen.update([(w, -1, toxic) for w in set(words)])
                 starts = Counter([w[:k] for w in words for k in range(3, min(8, len(w)) + 1)])
                 for j, rate in enumerate(RATES):
                     seen.update([(s, j, toxic) for s, n in starts.items() if n > 1 and n >= rate * len(words)])
@@ -127,15 +129,17 @@ def toxic_stems(docs: DataFrame, labels: DataFrame | None, text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array([m[0][0] for m in made], pa.string()), pa.array([m[0][1] for m in made], pa.int32()), pa.array([m[1] * (m[0][2] > 0) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], names=["stem", "j", "toxic", "n"])
 
     counts = known.mapInArrow(run, "stem string, j int, toxic long, n long").groupBy("stem", "j").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    pure = counts.filter((F.col("toxic") >= FEWEST) & (F.col("toxic") >= PURE * F.col("n"))).groupBy("stem").agg(F.max("toxic").alias("toxic"))
-    found = {r.stem for r in pure.orderBy(F.desc("toxic"), "stem").limit(MOST).collect()}
-    return sorted(s.encode() for s in found if not any(s[:k] in found for k in range(3, len(s))))
+    pure = counts.filter((F.col("toxic") >= FEWEST) & (F.col("toxic") >= PURE * F.col("n"))).select("stem", "j").collect()
+    found = {r.stem for r in pure if r.j >= 0}
+    stems: dict[bytes, tuple[bytes, ...]] = {}
+    for x in sorted(s.encode() for s in found if not any(s[:k] in found for k in range(3, len(s)))):
+        stems[x[:3]] = (*stems.get(x[:3], ()), x)
+    return Lexicon(frozenset(r.stem.encode() for r in pure if r.j < 0), stems)
 
 
-def with_features(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None, stems: list[bytes] | None = None) -> DataFrame:
+def with_features(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None, known: Lexicon = Lexicon()) -> DataFrame:
     def count(batch: pa.RecordBatch) -> dict[str, list]:
-        pattern = stem_pattern(stems or [])
-        rows = [(*features(x), *abusive(x, pattern)) for x in texts(batch, text)]
+        rows = [(*features(x), *known.counts(x)) for x in texts(batch, text)]
         return {f"{prefix}{name}": [r[i] for r in rows] for i, name in enumerate(FEATURES)}
 
     return with_columns(docs, count, {f"{prefix}{n}": t for n, t in FEATURES.items()}, keep)
@@ -148,65 +152,91 @@ def votes(prefix: str = ""):
         above, below = F.col(f"{prefix}{top}"), F.col(f"{prefix}{bottom}")
         counts = below > 0 if top != "n_spaced" else (below > 0) & (above > 0)
         ratio = F.when(counts, above / below)
-        parts.append(F.when(ratio <= good, "+").when(ratio >= bad, "-").otherwise("0"))
+        parts.append(F.when(ratio <= good, "+").when((ratio >= bad) & (above >= LEAST.get(top, 0)), "-").otherwise("0"))
     return F.concat(*parts)
 
 
-def fit(counts: dict[str, int], rounds: int = 200, prior: float = 0.85, hold: float = 0.01) -> dict[str, float]:
-    """Posterior probability of good for each vote pattern. counts: documents by pattern.
+def accuracies(seen: dict[tuple[int, str], int]) -> dict[int, tuple[float, float]]:
+    """Of each lexical rule, by its place: how often it votes bad, where it votes, on toxic and on other documents. seen: documents by
+    (toxic, pattern). Half a vote of either kind keeps them from 0 and 1. Nothing without toxic documents."""
+    if not any(n for (toxic, _), n in seen.items() if toxic):
+        return {}
+    out = {}
+    for j, name in enumerate(RULES):
+        if name in LEXICAL:
+            voted = {(t, v): sum(n for (toxic, p), n in seen.items() if bool(toxic) == t and p[j] == v) for t in (True, False) for v in "+-"}
+            out[j] = tuple((voted[t, "-"] + 0.5) / (voted[t, "-"] + voted[t, "+"] + 1) for t in (True, False))
+    return out
+
 
-    A rule's behaviour on a class is its probability of a bad vote when it doesn't abstain. It starts at BAD_VOTES, which
-    also weighs as a pseudo-count of the share `hold` of all documents, so that the classes keep their meaning."""
-    total = sum(counts.values())
-    bad = {cls: [BAD_VOTES[cls]] * len(RULES) for cls in (True, False)}
+def fit(counts: dict[str, int], lexical: dict[int, tuple[float, float]] = {}, rounds: int = 200, hold: float = 0.01) -> dict[str, float]:  # noqa: B006
+    """Posterior probability of good for each vote pattern. counts: documents by pattern; lexical: what `accuracies` gives.
 
-    def posterior(pattern: str) -> float:
-        score = {cls: sum(math.log(bad[cls][j] if v == "-" else 1 - bad[cls][j]) for j, v in enumerate(pattern) if v != "0") for cls in bad}
-        odds = math.log(1 - prior) - math.log(prior) + score[False] - score[True]
-        return 1 / (1 + math.exp(max(-700, min(700, odds))))
+    A rule's behaviour is its probability of a bad vote when it doesn't abstain. That of a rule of shape, on prose and on junk,
+    starts at BAD_VOTES, which also weighs as a pseudo-count of the share `hold` of all documents, so that the kinds keep their
+    meaning; toxic prose has the behaviour of good prose. Lexical rules vote on junk as on good prose. Without `lexical` these rules are none."""
+    total = sum(counts.values())
+    shape = [j for j, name in enumerate(RULES) if name not in LEXICAL]
+    bad = {prose: dict.fromkeys(shape, BAD_VOTES[prose]) for prose in (True, False)}
+    prior = {"good": 0.8, "junk": 0.15, "toxic": 0.05} if lexical else {"good": 0.85, "junk": 0.15}
+
+    def chance(p: float, vote: str) -> float:
+        return 0.0 if vote == "0" else math.log(p if vote == "-" else 1 - p)
+
+    def posterior(pattern: str) -> dict[str, float]:
+        score = {}
+        for kind, share in prior.items():
+            of_shape = sum(chance(bad[kind != "junk"][j], pattern[j]) for j in shape)
+            score[kind] = math.log(share) + of_shape + sum(chance(p[kind != "toxic"], pattern[j]) for j, p in lexical.items())
+        top = max(score.values())
+        odds = {kind: math.exp(x - top) for kind, x in score.items()}
+        return {kind: x / sum(odds.values()) for kind, x in odds.items()}
 
     post = {p: posterior(p) for p in counts}
     for _ in range(rounds if total else 0):
-        prior = min(0.99, max(0.5, sum(n * post[p] for p, n in counts.items()) / total))
-        for cls in bad:
-            for j in range(len(RULES)):
-                mass = {v: sum(n * (post[p] if cls else 1 - post[p]) for p, n in counts.items() if p[j] == v) for v in "+-"}
-                bad[cls][j] = (mass["-"] + BAD_VOTES[cls] * (hold * total + 1)) / (mass["-"] + mass["+"] + hold * total + 1)
+        mass = {kind: sum(n * post[p][kind] for p, n in counts.items()) / total for kind in prior}
+        good = min(0.99, max(0.5, mass["good"]))
+        rest = max(1e-9, sum(mass.values()) - mass["good"])
+        prior = {kind: good if kind == "good" else max(1e-6, (1 - good) * mass[kind] / rest) for kind in prior}
+        for prose in bad:
+            for j in shape:
+                voted = {v: sum(n * (1 - post[p]["junk"] if prose else post[p]["junk"]) for p, n in counts.items() if p[j] == v) for v in "+-"}
+                bad[prose][j] = (voted["-"] + BAD_VOTES[prose] * (hold * total + 1)) / (voted["-"] + voted["+"] + hold * total + 1)
         new = {p: posterior(p) for p in counts}
-        moved = max(abs(new[p] - post[p]) for p in counts)
+        moved = max(abs(new[p]["good"] - post[p]["good"]) for p in counts)
         post = new
         if moved < 1e-9:
             break
-    return post
+    return {p: x["good"] for p, x in post.items()}
 
 
-def verdicts(scored: DataFrame, votes_col: str = "votes") -> dict[str, float]:
-    """Posterior by pattern, fitted to all rows. At most 3 ** len(RULES) patterns come to the driver."""
-    return fit({r[0]: r[1] for r in sorted(scored.groupBy(votes_col).count().collect())})
+def verdicts(scored: DataFrame, labels: DataFrame | None = None) -> dict[str, float]:
+    """Posterior by pattern, fitted to all rows of scored (doc_id, votes), and to the labels. At most 3 ** len(RULES) patterns come to the driver, twice of labelled rows."""
+    counts = {r[0]: r[1] for r in sorted(scored.groupBy("votes").count().collect())}
+    seen = {} if labels is None else {(r[0], r[1]): r[2] for r in labelled(scored, labels).groupBy((F.col("toxic") > 0).cast("int"), "votes").count().collect()}
+    return fit(counts, accuracies(seen))
 
 
 def judged(df: DataFrame, post: dict[str, float], votes_col: str, prefix: str = "") -> DataFrame:
     """Adds quality (posterior of good), base_failed and kept."""
     look_up = F.create_map(*[F.lit(x) for p in post.items() for x in p]) if post else F.lit(None).cast("map<string,double>")
     n = F.col(f"{prefix}n_words")
-    alone = F.lit(False)
-    for j, name in enumerate(RULES):
-        if name in ALONE:
-            alone = alone | (F.substring(votes_col, j + 1, 1) == "-")
     failed = (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
-    return df.withColumns({f"{prefix}quality": look_up[F.col(votes_col)], f"{prefix}base_failed": failed}).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}quality") >= 0.5) & ~alone)
+    return df.withColumns({f"{prefix}quality": look_up[F.col(votes_col)], f"{prefix}base_failed": failed}).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}quality") >= 0.5))
 
 
 def assess(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """doc_id, the counts, votes, quality, base_failed and kept of every row of docs (doc_id, text). labels (doc_id, toxic) are for the stems of toxic wording."""
-    stems = toxic_stems(docs, labels)
-    scored = written(with_features(docs.select("doc_id", "text"), keep=["doc_id"], stems=stems).withColumn("votes", votes()), "quality")
-    return judged(scored, verdicts(scored), "votes")
+    """doc_id, the counts, votes, quality, base_failed and kept of every row of docs (doc_id, text). labels (doc_id, toxic) are for the lexical rules."""
+    known = lexicon(docs, labels)
+    scored = written(with_features(docs.select("doc_id", "text"), keep=["doc_id"], known=known).withColumn("votes", votes()), "quality")
+    return judged(scored, verdicts(scored, labels), "votes")
 
 
 def filtered(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns. Texts are read twice: to fit, and to decide."""
-    stems = toxic_stems(docs, labels)
-    fitted = verdicts(with_features(docs.select("text"), keep=[], stems=stems).select(votes().alias("votes")))
+    known = lexicon(docs, labels)
+    votes_of = written(with_features(docs.select("doc_id", "text"), keep=["doc_id"], known=known).select("doc_id", votes().alias("votes")), "votes")
+    fitted = verdicts(votes_of, labels)
+    dropped(votes_of)
     p = "__quality_"
-    return judged(with_features(docs, prefix=p, stems=stems).withColumn(f"{p}votes", votes(p)), fitted, f"{p}votes", p).filter(f"{p}kept").select(*docs.columns)
+    return judged(with_features(docs, prefix=p, known=known).withColumn(f"{p}votes", votes(p)), fitted, f"{p}votes", p).filter(f"{p}kept").select(*docs.columns)
