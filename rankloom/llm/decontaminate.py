@@ -176,18 +176,19 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     verbatim match with an item) and matches (item, place of the first word in the text and in the item, and words of each match that
     holds a window)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items", "longest", "matches")]
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    # Equal rows are one item before they count for anything.
+    rows = benchmark.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES))
     kind = benchmark.schema[item_id].dataType
     places = T._parse_datatype_string(MATCHES.format(kind.simpleString()))
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     carried = T.StructType([T.StructField("__longest", T.LongType()), T.StructField("__matches", places), T.StructField("__hits", T.ArrayType(T.IntegerType()))])
     told = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(kind)), T.StructField("longest", T.LongType()), T.StructField("matches", places)])
     before = list(dict.fromkeys([*keep, text]))
     out = docs.select(*before, *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
     for b in range(blocks):
         last = b == blocks - 1
-        items = sorted({(r.i, (r.t or "").encode()) for r in rows.filter(F.col("b") == b).collect()}, key=str)
+        items = sorted([(r.i, r.t.encode()) for r in rows.filter(F.col("b") == b).collect()], key=str)
         index = docs.sparkSession.sparkContext.broadcast(Suffixes(items))
         stay = keep if last else before
         schema = T.StructType([docs.schema[c] for c in stay] + list(told if last else carried))
