@@ -4,7 +4,7 @@ Fixed patterns find the seeds: e-mail addresses, IP addresses, card numbers and
 seed are a lexical pattern. Other tokens that look like an identifier are candidates and have such patterns too; each has
 the kinds that its characters allow (`likely`): a token of four digits is no phone number, whatever stands before it.
 
-Patterns and instances are a graph, and rounds alternate on it until the trusted patterns stay the same (ROUNDS at most). A
+Patterns and instances are a graph, and rounds alternate on it until no confidence moves by a millionth. A
 pattern's confidence for a kind is the sum of its instances' beliefs, over their number and one more that counts as 0. Seeds
 count 1 for their kind and 0 for others, candidates of another kind 0; candidates that might be of the kind are left out
 until they are judged, and then have the confidence of their best pattern. A pattern with SUPPORT different instances of
@@ -25,13 +25,14 @@ U+FFFD, which none of the patterns can match. `detect` reads doc_id and text onl
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 10
 CONFIDENCE = 0.8
 SUPPORT = 4
 LEFT = 200
@@ -192,8 +193,9 @@ def likely(v: Column) -> dict[str, Column]:
     return {"email": v.rlike(r"@|[ (\[]at[ )\]]"), "ip": v.rlike(r"^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$"), "card": n.between(12, 19) & bare, "phone": n.between(7, 15) & bare}
 
 
-def trusted(said: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """w (pattern), kind and confidence of the patterns that bootstrapping trusts. said: a row for each mention (kind, v, w)."""
+def trusted(said: DataFrame, rounds: int | None = None) -> DataFrame:
+    """w (pattern), kind and confidence of the patterns that bootstrapping trusts. said: a row for each mention (kind, v, w). rounds:
+    where to stop before confidences do; identifiers more than so many patterns away from a seed are then missed."""
     edges = written(said.select("kind", F.lower("v").alias("v"), F.explode("w").alias("w")).distinct(), "edges", few=True)
     seeds = edges.filter("kind is not null").select("w", "v", "kind", F.lit(1.0).alias("b"), F.lit(False).alias("judged"))
     allows = likely(F.col("v"))
@@ -205,19 +207,18 @@ def trusted(said: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # Patterns of one instance support nothing in any round, and need not be followed.
     several = edges.groupBy("w").agg(F.count_distinct("v").alias("n")).filter(F.col("n") >= SUPPORT).select("w")
     sizes, open_ = written(sizes.join(several, "w", "left_semi"), "sizes", few=True), written(open_.join(several, "w", "left_semi"), "open", few=True)
-    now, before, score, earlier = seeds, None, None, None
-    for _ in range(rounds):
+    now, past, score, earlier = seeds, set(), None, None
+    for _ in itertools.count() if rounds is None else range(rounds):
         per = now.groupBy("w", "kind").agg(F.sum("b").alias("b"), F.count_if(F.col("b") >= CONFIDENCE).alias("support"), F.count_if("judged").alias("judged")).filter(F.col("support") >= SUPPORT)
         wrong = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS])
         score = per.join(sizes, "w").select("w", "kind", (F.col("b") / (F.col("seeds") + F.col("judged") + wrong + 1)).alias("confidence"))
         score = written(score.filter(F.col("confidence") >= CONFIDENCE / 2), "patterns", instead_of=earlier, few=True)
         earlier = score
-        # The last one of these has what the result holds, so the loop may end at any round.
-        sure = score.filter(F.col("confidence") >= CONFIDENCE)
-        state = tuple(sure.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("w", "kind"))).first())
-        if state == before or not state[0]:
+        # Without a pattern that is trusted, none will be: what the others find is worth less than the confidence they lack.
+        state = tuple(score.agg(F.count_if(F.col("confidence") >= CONFIDENCE), F.count(F.lit(1)), F.bit_xor(F.xxhash64("w", "kind", F.round(F.col("confidence") * 1e6).cast("long")))).first())
+        if state in past or not state[0]:
             break
-        before = state
+        past.add(state)
         reached = open_.join(score, ["w", "kind"]).groupBy("v", "kind").agg(F.max("confidence").alias("b"))
         now = seeds.unionByName(open_.join(reached, ["v", "kind"]).select("w", "v", "kind", "b", F.lit(True).alias("judged")))
     return score.filter(F.col("confidence") >= CONFIDENCE)
