@@ -1,4 +1,4 @@
-"""Commands: python -m rankloom.cli rank | ingest | load | match | results | export | evaluate | validate | seed. Each prints what it did as JSON."""
+"""Commands: python -m rankloom.cli rank | ingest | load | match | results | export | evaluate | compare | validate | seed. Each prints what it did as JSON."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.plans.settings import Settings
+
 #: Seconds that a ranking run should stay below, and from which on it says so.
 BUDGET, WARNING = 300.0, 240.0
 
@@ -69,10 +71,10 @@ def match(a: argparse.Namespace, spark: SparkSession) -> dict:
     """Ranks a stored job, or all of them, and stores the results."""
     from rankloom.plans.store import Store
 
-    store = Store(spark, a.store)
+    store, options = Store(spark, a.store), {"alpha": a.alpha, "top": a.top, "pool": a.pool, "as_of": a.as_of}
     if a.job:
-        return {a.job: store.rank(a.job, alpha=a.alpha, top=a.top).count()}
-    return {r[0]: r[1] for r in store.rank_all(alpha=a.alpha, top=a.top).collect()}
+        return {a.job: store.rank(a.job, **options).count()}
+    return {r[0]: r[1] for r in store.rank_all(**options).collect()}
 
 
 def results(a: argparse.Namespace, spark: SparkSession) -> dict:
@@ -91,14 +93,37 @@ def export(a: argparse.Namespace, spark: SparkSession) -> dict:
     return {"job": a.job, "rows": found.count(), "out": a.out}
 
 
+def _read(spark: SparkSession, path: str):
+    from rankloom.sources import readers
+
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else readers.table(spark, path)
+
+
+def _ranking(spark: SparkSession, path: str):
+    return _read(spark, path).select("job_id", "candidate_id", F.col("rank").cast("int").alias("rank"))
+
+
+def _judgments(spark: SparkSession, path: str):
+    return _read(spark, path).select("job_id", "candidate_id", F.col("rel").cast("int").alias("rel"))
+
+
+def compare(a: argparse.Namespace, spark: SparkSession) -> dict:
+    """Metrics of two rankings (job_id, candidate_id, rank) against judgments: baseline, system and what lies between."""
+    from rankloom.operators import evaluate
+    from rankloom.sources import writers
+
+    found = evaluate.compared(_ranking(spark, a.baseline), _ranking(spark, a.system), _judgments(spark, a.judgments), "job_id", "candidate_id", a.k)
+    if a.out:
+        writers.single_json(found, a.out)
+    return {r.metric_name: {"baseline": round(r.baseline_score, 6), "system": round(r.system_score, 6), "delta": round(r.delta, 6)} for r in found.collect()}
+
+
 def evaluate_(a: argparse.Namespace, spark: SparkSession) -> dict:
     """Metrics of results (job_id, candidate_id, rank) against judgments (job_id, candidate_id, rel)."""
     from rankloom.operators import evaluate
-    from rankloom.sources import readers, writers
+    from rankloom.sources import writers
 
-    read = lambda p: spark.read.parquet(p) if p.rstrip("/").endswith(".parquet") else readers.table(spark, p)
-    rows = read(a.results).select("job_id", "candidate_id", F.col("rank").cast("int").alias("rank"))
-    judgments = read(a.judgments).select("job_id", "candidate_id", F.col("rel").cast("int").alias("rel"))
+    rows, judgments = _ranking(spark, a.results), _judgments(spark, a.judgments)
     found = evaluate.summary(rows, judgments, "job_id", "candidate_id")
     if a.out:
         writers.single_json(found, a.out)
@@ -133,14 +158,18 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--" + option.replace("_", "-"), **given)
         p.set_defaults(run=run)
 
+    # What the environment sets is the default of what a command is told.
+    s = Settings.read()
+    stored = {"default": s.warehouse}
     need, text, whole = {"required": True}, {"default": None}, lambda n: {"type": int, "default": n}
     add("rank", rank, candidates=need, out=need, cache=text, query=text, signals={"default": "signals"}, top=whole(100), force_rebuild_cache={"action": "store_true"})
     add("ingest", ingest_, folder=need, out=need)
-    add("load", load, folder=need, store=need)
-    add("match", match, store=need, job=text, alpha={"type": float, "default": 0.5}, top=whole(20))
-    add("results", results, store=need, job=need, limit=whole(100))
-    add("export", export, store=need, job=need, out=need, top=whole(10))
+    add("load", load, folder=need, store=stored)
+    add("match", match, store=stored, job=text, alpha={"type": float, "default": s.alpha}, top=whole(s.top), pool=whole(s.pool), as_of={"default": s.as_of})
+    add("results", results, store=stored, job=need, limit=whole(100))
+    add("export", export, store=stored, job=need, out=need, top=whole(10))
     add("evaluate", evaluate_, results=need, judgments=need, out=text)
+    add("compare", compare, baseline=need, system=need, judgments=need, k=whole(5), out=text)
     add("validate", validate, file=need, size=whole(100))
     add("seed", seed, folder=need)
     return top

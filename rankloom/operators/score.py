@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,15 @@ def rerank_offline(query_text: Column, text: Column) -> Column:
     from rankloom.functions.text import token_set
 
     return token_set(query_text, F.substring(text, 1, 1000)) / 100
+
+
+def rerank_by_model(query_text: Column, text: Column, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Column:
+    """A pair model's logits as 0..1. Each worker loads the model once; pairs go to it a batch at a time. For shortlists only."""
+
+    @F.pandas_udf("double")
+    def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for a, b in batches:
+            yield pd.Series([float(x) for x in model(list(zip(a.fillna(""), b.fillna(""))))], dtype="float64")
+
+    return sigmoid(logits(query_text, text))

@@ -15,7 +15,7 @@ from rankloom.functions import text as X
 from rankloom.functions import vocab as V
 from rankloom.operators import behaviour, embed, evaluate, explain, filters, graph, index, parse, records, rules, score, tables
 from rankloom.operators.sizes import checkpointed
-from rankloom.plans import catalog_io, catalog_records, catalog_search, second_ranker
+from rankloom.plans import catalog_io, catalog_records, catalog_search, catalog_stages, second_ranker
 from rankloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,8 +745,21 @@ def _of_records(name: str):
 for _name in catalog_records.QUERIES:
     _of_records(_name)
 
-for _make, _sql in (*catalog_io.QUERIES.values(), *catalog_search.QUERIES.values()):
+for _make, _sql in (*catalog_io.QUERIES.values(), *catalog_search.QUERIES.values(), *catalog_stages.QUERIES.values()):
     query(_sql)(_make)
 
 for _name, _of in (("stored_index_topk", "bm25_topk"), ("stored_index_okapi", "bm25_okapi_all_queries")):
     query(SQL[_of])(getattr(catalog_search, _name))
+
+_AP = "SELECT item_id, coalesce(sum(CASE WHEN rel >= 1 THEN hits / rank END) / nullif(max(total), 0), 0) AS value FROM (SELECT j.*, sum((rel >= 1)::INT) OVER (PARTITION BY item_id ORDER BY rank) AS hits FROM j) JOIN (SELECT item_id, count(*) FILTER (rel >= 1) AS total FROM ideal GROUP BY ALL) USING (item_id) GROUP BY item_id"
+query(f"""WITH {JUDGED}, per AS (SELECT a.value AS ndcg_10, b.value AS ndcg_50, ap.value AS average_precision, p.v AS precision_5, p.m AS mrr
+  FROM ({NDCG.format(10)}) a JOIN ({NDCG.format(50)}) b USING (item_id) JOIN ({_AP}) ap USING (item_id) JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS v, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS m FROM j GROUP BY item_id) p USING (item_id))
+SELECT round(avg(ndcg_10), 6)::DOUBLE AS ndcg_10, round(avg(ndcg_50), 6)::DOUBLE AS ndcg_50, round(avg(average_precision), 6)::DOUBLE AS average_precision, round(avg(precision_5), 6)::DOUBLE AS precision_5, round(avg(mrr), 6)::DOUBLE AS mrr,
+  round(avg(0.5 * ndcg_10 + 0.3 * ndcg_50 + 0.15 * average_precision + 0.05 * precision_5), 6)::DOUBLE AS composite FROM per""")(catalog_stages.system_metrics)
+
+query(f"""WITH {JUDGED}, asked AS (SELECT DISTINCT item_id FROM ideal), words AS (SELECT q.item_id, d.doc_id, count(*) AS overlap FROM (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM benchmark) q JOIN (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9+#.]+'))) AS term FROM documents) d USING (term) GROUP BY ALL),
+known AS (SELECT item_id, doc_id, rel FROM rk JOIN rel USING (doc_id)), b AS (SELECT item_id, doc_id, rank, coalesce(rel, 0) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM words) LEFT JOIN known USING (item_id, doc_id) WHERE rank <= 50),
+p AS (SELECT 'Precision@5' AS metric_name, avg(coalesce(x, 0)) AS baseline, avg(coalesce(y, 0)) AS system FROM asked LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, count(*) FILTER (rank <= 5 AND rel >= 1) / 5 AS y FROM j GROUP BY ALL) USING (item_id)),
+m AS (SELECT 'MRR', avg(coalesce(x, 0)), avg(coalesce(y, 0)) FROM asked LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS x FROM b GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, coalesce(1 / min(CASE WHEN rel >= 1 THEN rank END), 0) AS y FROM j GROUP BY ALL) USING (item_id)),
+d AS (SELECT 'NDCG@5', avg(coalesce(x.value, 0)), avg(coalesce(y.value, 0)) FROM asked LEFT JOIN ({NDCG.format(5).replace('FROM j', 'FROM b')}) x USING (item_id) LEFT JOIN ({NDCG.format(5)}) y USING (item_id))
+SELECT metric_name, round(baseline, 6)::DOUBLE AS baseline_score, round(system, 6)::DOUBLE AS system_score, round(system - baseline, 6)::DOUBLE AS delta FROM (FROM p UNION ALL FROM m UNION ALL FROM d)""")(catalog_stages.baseline_against_system)

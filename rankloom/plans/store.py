@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import records, tables
+from rankloom.operators.sizes import checkpointed
 from rankloom.plans import second_ranker
 from rankloom.sources import readers, writers
+from rankloom.sources.keyed import Keyed
 
 
 class Store:
-    """Parquet tables under one folder. Lookups filter by key, which reaches the scan; rankings have a partition for each query."""
+    """Tables under one folder: candidates and jobs laid out by key, of which a change rewrites and a lookup reads only the buckets
+    concerned; rankings, with a partition for each query."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -19,15 +22,19 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def keyed(self, name: str) -> Keyed:
+        return Keyed(self.spark, self.path(name))
+
     def table(self, name: str) -> DataFrame:
-        writers.recovered(self.spark, self.path(name))
+        if (stored := self.keyed(name)).exists():
+            return stored.rows()
         if not readers.exists(self.spark, self.path(name)):
             raise second_ranker.NotFound(f"no {name}")
         return self.spark.read.parquet(self.path(name))
 
     def save(self, name: str, rows: DataFrame) -> int:
         """Lays rows over the stored ones by id and says how many there are then. Columns that are new to the table are added."""
-        writers.upsert(self.spark, rows, self.path(name), "id")
+        self.keyed(name).upsert(rows)
         return self.table(name).count()
 
     def listed(self, name: str, limit: int = 100, after: str | None = None) -> DataFrame:
@@ -40,7 +47,8 @@ class Store:
         rows = readers.table(self.spark, path)
         entities = name == "candidates"
         canonical, faults = (tables.canonical_entities(rows), tables.entity_faults()) if entities else (tables.canonical_queries(rows), tables.query_faults())
-        good, bad = records.split_valid(canonical.withColumn("row_index", F.monotonically_increasing_id()), faults, path, name, "id", "row_index")
+        # Saved and counted from one parse of the file.
+        good, bad = map(checkpointed, records.split_valid(canonical.withColumn("row_index", F.monotonically_increasing_id()), faults, path, name, "id", "row_index"))
         self.save(name, good.drop("row_index"))
         return {"accepted": good.count(), "refused": bad.count()}
 
@@ -48,7 +56,8 @@ class Store:
         return {name: readers.exists(self.spark, self.path(name)) for name in ("candidates", "jobs", "rankings")}
 
     def one(self, name: str, key: str) -> DataFrame:
-        return self.table(name).filter(F.col("id") == F.lit(key)).limit(1)
+        stored = self.keyed(name)
+        return (stored.rows([key]) if stored.exists() else self.table(name).filter(F.col("id") == F.lit(key))).limit(1)
 
     def rank(self, job_id: str, **options) -> DataFrame:
         """Ranks one query, replaces its stored results and returns them as stored."""

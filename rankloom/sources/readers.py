@@ -41,16 +41,18 @@ def json_lines_or_none(spark: SparkSession, path: str, schema: T.StructType) ->
     return json_lines(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def numbered_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records with row_index, the physical line from 0: blank lines count but give no record. Lines of one file keep their order.
-
-    Numbers come from counts by partition, so no task sees all lines."""
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    starts = lines.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = lines.join(F.broadcast(starts.withColumn("before", before)), "p").withColumn("row_index", F.col("before") + F.col("m") - F.col("first"))
-    parsed = at.filter(F.btrim("value") != "").select("row_index", "value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.select("row_index", F.col("value").alias("raw"), "r.*")
+def numbered_lines(spark: SparkSession, path: str, schema: T.StructType, file: str | None = None) -> DataFrame:
+    """Records with row_index, the physical line from 0 in their file: blank lines count but give no record. file: the name of a column for the file's path.
+
+    Numbers come from the lines of each split (a file's part, by where it begins) and the splits before it in the same file, so they hold
+    for any number of files and any size of splits, in whatever order Spark deals these out; no task sees all lines."""
+    split = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o"))
+    lines = spark.read.text(path).select("value", split.alias("_split"), F.monotonically_increasing_id().alias("_m"))
+    starts = lines.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_split.f").orderBy("_split.o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lines.join(starts.withColumn("_before", before), "_split").withColumn("row_index", F.col("_before") + F.col("_m") - F.col("_first"))
+    parsed = at.filter(F.btrim("value") != "").select("_split", "row_index", "value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    return parsed.select(*([F.col("_split.f").alias(file)] if file else []), "row_index", F.col("value").alias("raw"), "r.*")
 
 
 def suffix(path: str) -> str:
