@@ -128,7 +128,8 @@ def implied_distance(spark, sf_dir):
 
 
 @query(None)
-def near_pairs(spark, sf_dir):
-    """All pairs of different texts of documents whose token-set ratio reaches 99."""
+def near_text_counts(spark, sf_dir):
+    """Of every different text of documents, by the least id that has it: how many other texts reach a token-set ratio of 99."""
     one = table(spark, sf_dir, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return similar.near_pairs(one, "doc_id", "text").select("x", "y", F.round("score", 6).alias("score"))
+    found = similar.near_pairs(one, "doc_id", "text").select(F.explode(F.array("x", "y")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return one.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -109,11 +109,11 @@ def canonical_constraints(spark, sf_dir):
 # ---- vectors and prompts
 
 
-@query("SELECT vec_id, i, round((CASE WHEN size > 0 THEN x / size ELSE x END)::FLOAT::DOUBLE, 5) AS value FROM (SELECT vec_id, unnest(range(1, 81)) AS i, coalesce(embedding[unnest(range(1, 81))]::DOUBLE, 0) AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS size FROM embeddings) UNION ALL SELECT vec_id, -i, round((CASE WHEN size > 0 THEN x / size ELSE x END)::FLOAT::DOUBLE, 5) FROM (SELECT vec_id, unnest(range(1, 33)) AS i, embedding[unnest(range(1, 33))]::DOUBLE AS x, sqrt(list_sum(list_transform(embedding[1:32], lambda y: y::DOUBLE * y::DOUBLE))) AS size FROM embeddings)")
+@query("SELECT vec_id, i, round((CASE WHEN size > 0 THEN x / size ELSE x END)::FLOAT::DOUBLE, 5) + 0 AS value FROM (SELECT vec_id, unnest(range(1, 81)) AS i, coalesce(embedding[unnest(range(1, 81))]::DOUBLE, 0) AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS size FROM embeddings) UNION ALL SELECT vec_id, -i, round((CASE WHEN size > 0 THEN x / size ELSE x END)::FLOAT::DOUBLE, 5) + 0 FROM (SELECT vec_id, unnest(range(1, 33)) AS i, embedding[unnest(range(1, 33))]::DOUBLE AS x, sqrt(list_sum(list_transform(embedding[1:32], lambda y: y::DOUBLE * y::DOUBLE))) AS size FROM embeddings)")
 def fitted_vectors(spark, sf_dir):
     """Vectors padded to 80 dimensions, and cut to 32 (places below 0), then of length 1."""
     e = table(spark, sf_dir, "embeddings")
-    out = [e.select("vec_id", F.posexplode(embed.fitted(F.col("embedding"), n)).alias("i", "x")).select("vec_id", ((F.col("i") + 1) * sign).cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("value")) for n, sign in ((80, 1), (32, -1))]
+    out = [e.select("vec_id", F.posexplode(embed.fitted(F.col("embedding"), n)).alias("i", "x")).select("vec_id", ((F.col("i") + 1) * sign).cast("long").alias("i"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("value")) for n, sign in ((80, 1), (32, -1))]
     return out[0].unionByName(out[1])
 
 
@@ -143,7 +143,7 @@ def reranked_lists(spark, sf_dir):
     rows = o.select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice").cast("double") / 500000, 9).alias("composite"), F.row_number().over(at).alias("place"))
     logit = 4 * (F.col("id") % 97 / 97) - 2
     found = second_ranker.reranked(rows, score.sigmoid(logit), 0.3, 5)
-    return found.select("job_id", "id", F.col("original_rank").cast("long").alias("original_rank"), F.col("rank").cast("long").alias("rank"), r6("final_score").alias("final_score"), (F.col("original_rank") - F.col("rank")).cast("long").alias("moved"))
+    return found.select("job_id", "id", F.col("original_rank").cast("long").alias("original_rank"), F.col("rank").cast("long").alias("rank"), r6(F.round("final_score", 9)).alias("final_score"), (F.col("original_rank") - F.col("rank")).cast("long").alias("moved"))
 
 
 @query(None)
