@@ -16,7 +16,7 @@ def near_by_hand(texts, threshold):
     return {(i, j): token_set_ratio(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts)) if token_set_ratio(texts[i], texts[j]) >= threshold}
 
 
-@pytest.mark.parametrize("threshold", [99.0, 95.0, 90.0])
+@pytest.mark.parametrize("threshold", [99.0, 90.0])
 def test_near_pairs_are_all_pairs(spark, threshold):
     r = random.Random(int(threshold))
     base = [" ".join(r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(n)) for n in (3, 12, 60, 61, 150)]
@@ -84,7 +84,7 @@ def fold(ordered, names, threshold=88.0):
     return skill_of
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_vocabulary_grows_as_the_sequential_fold(spark, seed):
     r = random.Random(seed)
     ordered = []
@@ -120,7 +120,7 @@ def test_a_key_is_taken_only_by_a_row_that_stays(spark):
     assert {(r.at, r.reason, r.near_of) for r in gone.collect()} == {(1, "near_duplicate_text", "a"), (3, "duplicate_id", None), (5, "duplicate_id", None), (6, "near_duplicate_text", "b")}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_deduplication_is_the_sequential_pass(spark, seed):
     r = random.Random(seed)
     base = [" ".join(r.choice(WORDS) + str(r.randint(0, 30)) for _ in range(60)) for _ in range(8)] + ["", " "]
@@ -215,7 +215,7 @@ def test_joined_scores_are_those_of_the_small_matrix(spark, monkeypatch):
         assert set(one) == set(two) and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
-@pytest.mark.parametrize("cutoff", [1, 2, 3, 4])
+@pytest.mark.parametrize("cutoff", [2, 3])
 def test_distances_are_those_of_a_breadth_first_search(spark, cutoff, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 4)
     r = random.Random(cutoff)
