@@ -53,6 +53,12 @@ def test_negatives_match_brute_force_over_many_blocks(spark):
     assert want and negatives_of(spark, rows) == want == negatives_of(spark, rows, rows=37, anchors=3)
 
 
+def test_pairs_of_blocks_are_never_broadcast(spark):
+    held = spark.createDataFrame([(b, b) for b in range(3)], "block long, n long")
+    pairs = negatives.paired(held, held, 3)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() == 9
+
+
 def test_negatives_of_nulls_repeats_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 4)], i % 2) for i in range(120)] + [(50, [1.0, 2.0], 0)] * 3 + [(None, [1.0, 3.0], 1)] * 2
     rows += [(100, None, 1), (150, [1.0, None], 0), (200, [1.0, float("nan")], 0), (250, [float("inf"), 1.0], 0), (300, [1.0, 2.0], None), (350, [], 0), (400, [2.0], 1), (450, [0.5, -3.0, 1.0], 1)]
