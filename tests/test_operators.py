@@ -285,3 +285,10 @@ def test_only_small_tables_are_broadcast(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("s"))
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(small(df)) and not hinted(small(df, 1000))
+
+
+def test_company_names_that_end_in_a_number(spark):
+    texts = {1: "Engineer at Acme 1000, Jan 2015 - Feb 2018", 2: "Engineer at Acme 31415 | 2015 to Present", 3: "Engineer at Acme, 2015 - 2018", 4: "Engineer at Acme, Jan 2015"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, t string")
+    got = {r.id: r.experience_entries[0].company for r in parse.experience(docs, "id", "t", "2026-06-17").collect()}
+    assert got == {1: "Acme 1000", 2: "Acme 31415", 3: "Acme", 4: "Acme"}
