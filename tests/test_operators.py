@@ -287,6 +287,13 @@ def test_only_small_tables_are_broadcast(spark):
     assert hinted(small(df)) and not hinted(small(df, 1000))
 
 
+def test_fixed_rounds_the_binary_value(spark):
+    rng = random.Random(5)
+    values = [k / 200 for k in range(-41, 400)] + [k / 1000 for k in range(0, 3000, 7)] + [rng.random() * 10 ** rng.randint(-4, 5) for _ in range(500)] + [5e5 + 0.125, 0.0, 1e-12, 99.95, 2.0**20 - 0.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[explain.fixed(F.col("v"), n).alias(f"f{n}") for n in (1, 2)]).collect()
+    assert [(r.f1, r.f2) for r in rows] == [(f"{r.v:.1f}", f"{r.v:.2f}") for r in rows]
+
+
 def test_company_names_that_end_in_a_number(spark):
     texts = {1: "Engineer at Acme 1000, Jan 2015 - Feb 2018", 2: "Engineer at Acme 31415 | 2015 to Present", 3: "Engineer at Acme, 2015 - 2018", 4: "Engineer at Acme, Jan 2015"}
     docs = spark.createDataFrame(list(texts.items()), "id int, t string")
