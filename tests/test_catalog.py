@@ -38,3 +38,11 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lines_of_one_number_stay_as_stored(spark, db, tmp_path):
+    db.execute(f"COPY (SELECT * REPLACE (1 AS l_orderkey, k AS l_partkey, 5 AS l_linenumber, 'R' AS l_returnflag, 1.0 AS l_quantity) FROM (SELECT * FROM lineitem LIMIT 1), (VALUES (9), (10), (8)) t(k)) TO '{tmp_path}/lineitem.parquet'".replace("SELECT * REPLACE (", "SELECT * EXCLUDE k REPLACE ("))
+    db.execute(f"COPY (SELECT * REPLACE (1 AS o_orderkey) FROM orders LIMIT 1) TO '{tmp_path}/orders.parquet'")
+    for name, flag in (("inconsistency_flags_a", "expert_zero_duration"), ("inconsistency_flags_b", "expert_skill_zero_duration")):
+        flags = BASE[name](spark, str(tmp_path)).first().flags.split(";")
+        assert [f for f in flags if f.startswith(flag)] == [f"{flag}:{k}" for k in (9, 10, 8)]
