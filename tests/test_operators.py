@@ -299,3 +299,18 @@ def test_company_names_that_end_in_a_number(spark):
     docs = spark.createDataFrame(list(texts.items()), "id int, t string")
     got = {r.id: r.experience_entries[0].company for r in parse.experience(docs, "id", "t", "2026-06-17").collect()}
     assert got == {1: "Acme 1000", 2: "Acme 31415", 3: "Acme", 4: "Acme"}
+
+
+def test_distances_do_not_pair_the_nodes_of_a_hub(spark, monkeypatch):
+    made, whole = [], graph.met_at
+    monkeypatch.setattr(graph, "met_at", lambda *a: (lambda df: (made.append(df.count()), df)[1])(whole(*a)))
+    edges = spark.createDataFrame([(f"c{i}", "hub") for i in range(200)] + [("hub", "far")], "src string, dst string")
+    nodes = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    got = {(r.src, r.dst): r.distance for r in graph.distances(edges, nodes([f"c{i}" for i in range(200)]), nodes(["hub", "far"]), 3).collect()}
+    assert got == {(f"c{i}", d): n for i in range(200) for d, n in (("hub", 1), ("far", 2))} and max(made) < 2000
+
+
+def test_pieces_of_a_hub_are_dealt_to_tasks(spark):
+    side = lambda c: spark.range(40).select(F.lit(1).alias("node"), F.col("id").alias(c))
+    met = graph.met_at(side("a"), side("b"), "node", 10)
+    assert met.count() == 1600 and max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < 1600
