@@ -314,3 +314,34 @@ def test_pieces_of_a_hub_are_dealt_to_tasks(spark):
     side = lambda c: spark.range(40).select(F.lit(1).alias("node"), F.col("id").alias(c))
     met = graph.met_at(side("a"), side("b"), "node", 10)
     assert met.count() == 1600 and max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < 1600
+
+
+def test_nearest_vectors_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    q, rows = rng.normal(size=(2048, 4)), rng.normal(size=(6000, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000, 0, -1), pa.int64()), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    tracemalloc.start()
+    of, ids, scores = index.nearest([batch], q, 3, 2, pa.int64())
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+    unit = np.round(q @ index.unit(batch.column(1)).T, 2)
+    for i in range(0, 2048, 97):
+        want = sorted(zip(-unit[i], range(6000, 0, -1)))[:3]
+        assert [(-s, v) for o, v, s in zip(of, ids.to_pylist(), scores) if o == i] == [(pytest.approx(s), v) for s, v in want]
+
+
+def test_heads_leave_out_what_no_list_can_hold(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))) for i in range(400)], "d int, t string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a b"), (2, "f"), (3, "zz")], "q int, t2 string")
+    order = [F.desc("score"), F.asc("d")]
+    for bm25 in (index.bm25_a, index.bm25_b):
+        whole, some = (bm25(docs, asked, "d", "t", "q", "t2", first).withColumn("score", F.round("score", 6)) for first in (None, 5))
+        assert sorted(index.top_k(some, 5, "q", order).collect()) == sorted(index.top_k(whole, 5, "q", order).collect())
+        assert bm25 is index.bm25_b or some.count() < whole.count()
