@@ -235,3 +235,17 @@ def test_distances_are_those_of_a_breadth_first_search(spark, cutoff, monkeypatc
     nodes = lambda x: spark.createDataFrame([(n,) for n in x], "node string")
     got = graph.distances(spark.createDataFrame(list(edges), "src string, dst string"), nodes(sources), nodes(targets), cutoff)
     assert {(x.src, x.dst): x.distance for x in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("form", ["a", "b"])
+def test_many_queries_are_one_pass_over_the_store(spark, tmp_path, monkeypatch, form):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for i in range(120)], "id int, t string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice("abcdefghz") for _ in range(3))) for q in range(40)], "q int, qt string")
+    text_store.write(docs, "id", "t", f"{tmp_path}/i", form)
+    monkeypatch.setattr(text_store, "DRIVER", 0)
+    monkeypatch.setattr(text_store.Store, "many", lambda *_: pytest.fail("blocks are read round by round"))
+    found = text_store.Store(spark, f"{tmp_path}/i").search(asked, "q", "qt", 4)
+    bm25 = index.bm25_a if form == "a" else index.bm25_b
+    want = index.top_k(bm25(docs, asked, "id", "t", "q", "qt").withColumn("score", F.round("score", 6)), 4, "q", [F.desc("score"), F.asc("id")])
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r.q, r.id, r.rank, r.score) for r in want.collect())
