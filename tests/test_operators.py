@@ -345,3 +345,14 @@ def test_heads_leave_out_what_no_list_can_hold(spark):
         whole, some = (bm25(docs, asked, "d", "t", "q", "t2", first).withColumn("score", F.round("score", 6)) for first in (None, 5))
         assert sorted(index.top_k(some, 5, "q", order).collect()) == sorted(index.top_k(whole, 5, "q", order).collect())
         assert bm25 is index.bm25_b or some.count() < whole.count()
+
+
+def test_keyword_lists_are_cut_where_documents_are(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 9)))) for i in range(300)], "d int, t string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a b B c d e"), (2, "f g h"), (3, "zz")], "q int, t2 string")
+    words = lambda df, c: df.withColumn("w", F.split(F.lower(c), " "))
+    whole = index.keyword_overlap(words(docs, "t"), words(asked, "t2"), "d", "w", "q", "w")
+    some = index.keyword_lists(docs, asked, "d", "t", "q", "t2", 4)
+    order = [F.desc("overlap"), F.asc("d")]
+    assert sorted(index.top_k(some, 4, "q", order).collect()) == sorted(index.top_k(whole, 4, "q", order).collect()) and some.count() < whole.count()
