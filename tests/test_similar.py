@@ -46,6 +46,25 @@ def test_near_pairs_of_nothing(spark):
     assert similar.near_pairs(rows, "id", "t").collect() == [] == similar.near_pairs(rows.limit(0), "id", "t").collect()
 
 
+def test_near_pairs_by_blocks_and_of_repeated_rows(spark, monkeypatch):
+    r = random.Random(8)
+    base = [" ".join(r.choice(WORDS) + str(r.randint(0, 400)) for _ in range(n)) for n in (30, 31, 60, 61, 61)]
+    texts = list(dict.fromkeys(base + [t[:i] + "q" + t[i + 1 :] for t in base for i in r.sample(range(len(t)), 12)]))
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    rows = spark.createDataFrame(list(enumerate(texts)) * 3, "id int, t string").repartition(3)
+    got = sorted((x.x, x.y) for x in similar.near_pairs(rows, "id", "t").collect())
+    assert got == sorted(near_by_hand(texts, 99)) and len(got) > 100
+
+
+def test_texts_that_share_their_rarest_tokens_are_no_candidates(spark):
+    r = random.Random(9)
+    texts = [" ".join(["rarest", "token", *("".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(40))]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    told = similar.heads(rows, similar.counters(rows), 99.0)
+    assert told.count() == 300 and similar.edited_pairs(told, 0.99).count() == 0
+    assert told.filter("size(rare) > 0").count() == 0
+
+
 def test_similar_names_are_all_pairs(spark):
     r = random.Random(2)
     known = {" ".join(r.sample(WORDS, r.randint(1, 3))) for _ in range(60)} | {"a", "ab", "abc", "new new york"}
