@@ -356,3 +356,11 @@ def test_keyword_lists_are_cut_where_documents_are(spark):
     some = index.keyword_lists(docs, asked, "d", "t", "q", "t2", 4)
     order = [F.desc("overlap"), F.asc("d")]
     assert sorted(index.top_k(some, 4, "q", order).collect()) == sorted(index.top_k(whole, 4, "q", order).collect()) and some.count() < whole.count()
+
+
+def test_roles_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "Engineer at Acme, Jan 2020 - Present\nBuilt things"), (2, "-")], "id int, t string")
+    found = parse.experience(rows, "id", "t", "2026-06-17")
+    assert {r.id: [x.title for x in r.experience_entries] for r in found.collect()} == {1: ["Engineer"], 2: []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "@| at " in line]
