@@ -46,3 +46,17 @@ def test_lines_of_one_number_stay_as_stored(spark, db, tmp_path):
     for name, flag in (("inconsistency_flags_a", "expert_zero_duration"), ("inconsistency_flags_b", "expert_skill_zero_duration")):
         flags = BASE[name](spark, str(tmp_path)).first().flags.split(";")
         assert [f for f in flags if f.startswith(flag)] == [f"{flag}:{k}" for k in (9, 10, 8)]
+
+
+@pytest.mark.parametrize("name", ["hybrid_shortlist", "second_shortlist"])
+def test_shortlists_leave_the_documents_where_they_are(spark, name):
+    """Joined with short lists, documents are neither sorted nor dealt out by their ids."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = plan.count("FileScan parquet")
+    assert scans and plan.count("BroadcastHashJoin") >= scans

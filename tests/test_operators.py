@@ -364,3 +364,42 @@ def test_roles_are_read_once(spark):
     assert {r.id: [x.title for x in r.experience_entries] for r in found.collect()} == {1: ["Engineer"], 2: []}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "@| at " in line]
+
+
+def test_dense_vectors_are_the_sums_of_hashed_tokens_and_need_no_shuffle(spark):
+    texts = ["c++ c# .net C++ a b", "", None, "É x.y Z", " ".join(f"w{i % 37}" for i in range(900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    cells: dict = {}
+    for r in embed.sparse(df, "id", F.col("t"), 16).collect():
+        cells.setdefault(r.id, [0.0] * 16)[r.bucket] = r.value
+    made = embed.dense(df, "id", F.col("t"), 16)
+    for r in made.collect():
+        size = math.sqrt(sum(x * x for x in cells.get(r.id, [])))
+        assert r.vector == (pytest.approx([x / size for x in cells[r.id]], rel=1e-6) if size else [0.0] * 16)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_and_counts_do_not_depend_on_the_size_of_a_step(spark, monkeypatch):
+    from rankloom.functions.text import FORM_B
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "b", "c", "D", "e#", "zz"]) for _ in range(r.randint(0, 30))) for _ in range(60)] + [None, "", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b b"), (2, "e# d q"), (3, "qq"), (4, None)], "q int, w string")
+    told = lambda: {(x.q, x.id): x.score for x in index.bm25_b(docs, asked, "id", "t", "q", "w").collect()}
+    counts = lambda: {x.term: (x.df, x.cf, x.max_tf) for x in index.vocabulary(docs, "t", FORM_B).collect()}
+    scores, vocab = told(), counts()
+    monkeypatch.setattr(index, "SCORES", 4)
+    monkeypatch.setattr(index, "FLUSH", 3)
+    assert counts() == vocab and told() == pytest.approx(scores)
+    n, length = vocab[None][0], vocab[None][1]
+    raw = {w: math.log(n - df + 0.5) - math.log(df + 0.5) for w, (df, _, _) in vocab.items() if w}
+    mean = sum(raw.values()) / len(raw)
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in raw.items()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = [w.decode() for w in FORM_B.terms(t)]
+        for q, query in ((1, ["a", "b", "b"]), (2, ["e#", "d", "q"])):
+            if any(w in words for w in query):
+                want[q, i] = sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) * n / length)) for w in query if w in words)
+    assert scores == pytest.approx(want)

@@ -65,3 +65,10 @@ def test_token_set_ratio():
 def test_cosine_of_a_zero_vector_is_zero(spark):
     row = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0], [2.0, 4.0])], "a array<float>, b array<float>, c array<float>").select(X.cosine(F.col("a"), F.col("b")).alias("x"), X.cosine(F.col("b"), F.col("c")).alias("y")).first()
     assert row.x == 0 and row.y == pytest.approx(1)
+
+
+def test_last_tokens_of_the_shortest_texts_that_have_too_many(spark):
+    texts = ["a b c", "a b c d", "\na b c", "\na b\n", "\na b c\n", "  a b  c ", "abcdefgh", "", None, "a\nb\tc  d"]
+    want = ["a b c", "b c d", "a b c", "a b ", "b c ", "  a b  c ", "abcdefgh", "", None, "b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [r.x for r in df.select("id", X.last_tokens(F.col("t"), 3).alias("x")).orderBy("id").collect()] == want
