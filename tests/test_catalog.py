@@ -48,6 +48,18 @@ def test_lines_of_one_number_stay_as_stored(spark, db, tmp_path):
         assert [f for f in flags if f.startswith(flag)] == [f"{flag}:{k}" for k in (9, 10, 8)]
 
 
+def test_lines_without_a_number_or_a_whole_quantity(spark, db, tmp_path):
+    """As the SQL has them, in one thread: ties are as stored there."""
+    lines = [(1, 9, None, "R", 1.0), (1, 8, 2, "R", 1.5), (1, 7, 1, "R", None), (2, 6, 1, "R", None), (3, 5, 1, "R", 2.5), (3, 4, 1, "R", 0.5), (4, 3, 1, "R", 0.6), (4, 2, 1, None, 72.6), (5, None, 1, "R", 1.0), (None, 1, 1, "R", 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 20000.0), (2, 20000.0), (3, 0.0), (4, 62500.0), (5, None), (6, 1.0)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("inconsistency_flags_a",):
+        assert sorted(map(tuple, BASE[name](spark, str(tmp_path)).collect()), key=str) == sorted(con.execute(entry.catalog.SQL[name]).fetchall(), key=str)
+
+
 @pytest.mark.parametrize("name, joins", [("hybrid_shortlist", 1), ("second_shortlist", 2), ("rerank_blend", 1)])
 def test_shortlists_leave_the_documents_where_they_are(spark, name, joins):
     """Joined with short lists, documents are neither sorted nor dealt out by their ids."""
