@@ -140,6 +140,11 @@ def test_a_pair_model_can_rerank(spark):
     assert got[1] == pytest.approx(1 / (1 + 2.718281828459045**-4)) and got[2] > got[1] > 0.5 > got[3]
 
 
+def test_whole_texts_are_reranked(spark):
+    rows = spark.createDataFrame([("needle thread", "hay " * 300 + "needle thread"), ("needle thread", "hay " * 3)], "a string, b string")
+    assert [r.s == 1.0 for r in rows.select(score.rerank_offline(F.col("a"), F.col("b")).alias("s")).collect()] == [True, False]
+
+
 def test_reranked_keeps_ties_in_their_order(spark):
     rows = spark.createDataFrame([("j", f"c{i}", c, i, r) for i, (c, r) in enumerate([(0.5, 0.1), (0.9, 0.0), (0.5, 0.1), (0.1, 0.9)])], "job_id string, id string, composite double, place int, r double")
     got = [(r.id, r.original_rank, r["rank"]) for r in second_ranker.reranked(rows, F.col("r"), 0.5, 3).orderBy("rank").collect()]
