@@ -403,3 +403,11 @@ def test_scores_and_counts_do_not_depend_on_the_size_of_a_step(spark, monkeypatc
             if any(w in words for w in query):
                 want[q, i] = sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) * n / length)) for w in query if w in words)
     assert scores == pytest.approx(want)
+
+
+def test_roles_are_read_in_one_pass_over_the_text(spark):
+    rows = spark.createDataFrame([("1", "- Cook at Acme, 2019 - 2020\n- Ran 2021 to Present"), ("2", "<b>\n\nmade soup"), ("3", "<b>"), ("4", None)], "id string, t string")
+    found = parse.experience(rows, "id", "t", "2026-06-01")
+    assert {r.id: [(e.title, e.start, e.end) for e in r.experience_entries] for r in found.collect()} == {"1": [("Cook", " 2019", "2020"), ("Ran", " 2021", "Present")], "2": [("made soup", None, None)], "3": [], "4": []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Window" not in plan
