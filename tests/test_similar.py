@@ -65,6 +65,20 @@ def test_texts_that_share_their_rarest_tokens_are_no_candidates(spark):
     assert told.filter("size(rare) > 0").count() == 0
 
 
+def test_meetings_of_one_token_are_not_written(spark, monkeypatch):
+    """Of the texts that have a short text's rarest token, only those with all its tokens are compared with it, block by block or not."""
+    texts = ["rare often much", *(f"rare {'often' if i % 2 else 'seldom'} {'much' if i % 3 else 'little'} w{i} v{i}" for i in range(60)), *(f"often much seldom little u{i}" for i in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = near_by_hand(texts, 99)
+    for entries, meetings in ((1 << 22, 1 << 21), (16, 8)):
+        monkeypatch.setattr(similar, "ENTRIES", entries)
+        monkeypatch.setattr(similar, "MEETINGS", meetings)
+        told = similar.heads(rows, similar.counters(rows), 99.0)
+        met = {(r.x, r.y) for r in similar.held_pairs(told, rows, 1 / 99).collect()}
+        assert {p for p in met if p[0] == 0} == want.keys() and len(want) == 20
+        assert {(r.x, r.y) for r in similar.near_pairs(rows, "k", "t").collect()} == want.keys()
+
+
 def test_similar_names_are_all_pairs(spark):
     r = random.Random(2)
     known = {" ".join(r.sample(WORDS, r.randint(1, 3))) for _ in range(60)} | {"a", "ab", "abc", "new new york"}
